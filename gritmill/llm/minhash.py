@@ -9,8 +9,10 @@ two signatures agree in a place with probability sum(min weights) / sum(max weig
 document are ever made, whatever its length.
 
 Documents whose signatures agree in a whole band meet in a bucket. Links are verified on the whole multisets. Buckets
-are not expanded into pairs: representatives are compared with the members, buckets whose members are all in one class
-are done, and the others are split by the triangle inequality of the Jaccard distance until nothing is open.
+are not expanded into pairs. Shingles that no other candidate has bound a pair's similarity from above, so most pairs are
+ruled out by four numbers. Representatives, the most central member first, are compared with the members that remain;
+buckets whose members are all in one class are done, and the others are split by the triangle inequality of the Jaccard
+distance until nothing is open.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ PLACES = 96
 ROWS = 4
 THRESHOLD = 0.8
 #: Buckets of at most so many documents compare all their members at once.
-SMALL = 8
+SMALL = 3
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -214,15 +216,43 @@ def _sets(words: int):
     return run
 
 
+def _own_items(sets: DataFrame, open_: DataFrame, ws: Workspace) -> DataFrame:
+    """(id, n, own) of the documents in buckets of more than SMALL: the size of the multiset and how much of it none of
+    the others has. Such shingles are in no intersection, which bounds the similarity of a pair from above without
+    looking at it. Ids with several texts get nulls: no bound."""
+    large = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select("key")
+    heavy = open_.join(large, "key", "left_semi").select("id").distinct()
+    mine = ws.cut(sets.join(heavy, "id", "left_semi"), "heavy")
+    once = mine.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    own = once.groupBy("id").agg(F.count("*").alias("own"))
+    size = mine.groupBy("id").agg(F.when(F.count("*") == 1, F.max(F.size("items"))).alias("n"))
+    return ws.cut(size.join(own, "id", "left").select("id", "n", F.when(F.col("n").isNotNull(), F.coalesce("own", F.lit(0))).alias("own")), "own")
+
+
+def _most() -> F.Column:
+    """The largest similarity that (n, own) of a member and a representative allow; null where unknown."""
+    common = F.least(F.col("n") - F.col("own"), F.col("rep_n") - F.col("rep_own"))
+    known = F.col("big") & F.col("n").isNotNull() & F.col("rep_n").isNotNull()
+    return F.when(known, common / (F.col("n") + F.col("rep_n") - common))
+
+
 def _representatives(open_: DataFrame, q: int, turn: int) -> DataFrame:
-    """(key, rep, main): about q members of each bucket by a hash that is the same in all buckets, all of a small one."""
+    """Of each bucket the member with the least share of shingles of its own (main), and from the second turn on about q
+    more by a hash that is the same in all buckets; all members of a small bucket."""
     rank = F.xxhash64("id", F.lit(turn))
     part = (F.shiftrightunsigned(rank, 11).cast("double")) / F.lit(float(1 << 53))
-    sizes = open_.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(rank, "id")).alias("least"))
+    share = F.coalesce(F.col("own") / F.col("n"), F.lit(1.0))
+    sizes = open_.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(share, rank, "id")).alias("least"))
+    chosen = (F.col("size") <= SMALL) | (F.col("id") == F.col("least.id"))
+    if q > 1:
+        chosen = chosen | (part * F.col("size") < q)
     return (
         open_.join(sizes, "key")
-        .where((F.col("size") <= SMALL) | (part * F.col("size") < q) | (F.col("id") == F.col("least.id")))
-        .select("key", F.col("id").alias("rep"), (F.col("id") == F.col("least.id")).alias("main"))
+        .where(chosen)
+        .select(
+            "key", F.col("id").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n"), F.col("own").alias("rep_own"),
+            (F.col("id") == F.col("least.id")).alias("main"), (F.col("size") > SMALL).alias("big"),
+        )
     )
 
 
@@ -261,38 +291,48 @@ def near_duplicates(
     sets = ws.cut(plain.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>").where("size(items) > 0"), "sets")
 
     copies = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = ws.cut(copies.limit(0), "links")
-    q, turn = SMALL, 0
+    links, stars, q, turn = copies.limit(0), copies.limit(0), 1, 0
+    open_ = open_.join(_own_items(sets, open_, ws), "id", "left").withColumn("comp", F.col("id"))
+    # a document with more shingles of its own than the threshold leaves over links with nothing in a large bucket
+    possible = F.coalesce((F.col("n") - F.col("own")) / F.col("n") >= threshold, F.lit(True))
+    large = open_.groupBy("key").agg((F.count("*") > SMALL).alias("large"))
+    open_ = ws.cut(open_.join(large, "key").where(~F.col("large") | possible).drop("large"), "open")
     while open_.limit(1).count():
         reps = ws.cut(_representatives(open_, q, turn), "reps")
-        met = open_.join(reps, "key").where("id <> rep")
-        pairs = met.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
+        may = F.coalesce(_most() >= threshold, F.lit(True))
+        # the main one is compared with all members, the others with those of other components
+        pairs = open_.join(reps, "key").where((F.col("id") != F.col("rep")) & may & (F.col("main") | (F.col("comp") != F.col("rep_comp"))))
+        pairs = pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         inter = F.size(F.array_intersect("x", "y"))
         seen = ws.cut(both.select("a", "b", (inter / (F.size("x") + F.size("y") - inter)).alias("s")).groupBy("a", "b").agg(F.max("s").alias("s")), "seen")
-        links = ws.cut(links.union(seen.where(F.col("s") >= threshold).select("a", "b")), "links")
+        links = stars.union(seen.where(F.col("s") >= threshold).select("a", "b"))
         # what the round leaves open: members that were no representative, against those the triangle inequality allows
+        mains = open_.join(reps.where("main"), "key").where("id <> rep").withColumn("most", F.coalesce(_most(), F.lit(1.0)))
         rest = (
-            met.where("main")
-            .join(reps.select("key", F.col("rep").alias("id")), ["key", "id"], "left_anti")
+            mains.join(reps.select("key", F.col("rep").alias("id")), ["key", "id"], "left_anti")
             .withColumn("a", F.greatest("id", "rep"))
             .withColumn("b", F.least("id", "rep"))
-            .join(seen, ["a", "b"])
+            .join(seen, ["a", "b"], "left")
+            .withColumn("s", F.coalesce("s", "most"))
         )
         near, far = F.col("s") >= 2 * threshold - 1, F.col("s") < threshold
         sides = F.array_compact(F.array(F.when(near, F.lit(0)), F.when(far, F.lit(1))))
-        split = rest.select("id", F.explode(sides).alias("side"), "key").select("id", F.xxhash64("key", "side").alias("key"))
+        split = rest.select("id", F.explode(sides).alias("side"), "key", "n", "own").select("id", F.xxhash64("key", "side").alias("key"), "n", "own")
         new = ws.cut(split, "split")
         if new.limit(1).count():
             found = components(links, ws)
-            labelled = new.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-            nxt = ws.cut(new.join(mixed, "key", "left_semi"), "buckets")
-            ws.drop(new)
+            stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            links = stars
+            labelled = new.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+            labelled = ws.cut(labelled.select("key", "id", "comp", "n", "own"), "labelled")
+            mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            nxt = ws.cut(labelled.join(mixed, "key", "left_semi"), "buckets")
+            ws.drop(new, labelled)
             new = nxt
-        ws.drop(reps, open_)
-        open_, q, turn = new, q * 4, turn + 1
+        ws.drop(reps)
+        open_, q, turn = new, 4 if q == 1 else 2 * q, turn + 1
 
     found = components(links.union(copies), ws)
     ids = signed.groupBy("id").agg(F.max("n_words").alias("n_words"))
