@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, blocks, buffer_of, mix64, texts, tune
@@ -32,6 +32,8 @@ ROWS = 4
 THRESHOLD = 0.8
 #: Buckets of at most so many documents compare all their members at once.
 SMALL = 3
+#: Steps of the histogram of shares by which representatives are chosen.
+LEVELS = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -237,17 +239,20 @@ def _most() -> F.Column:
 
 
 def _representatives(open_: DataFrame, q: int, turn: int) -> DataFrame:
-    """Of each bucket the member with the least share of shingles of its own (main), and from the second turn on about q
-    more by a hash that is the same in all buckets; all members of a small bucket."""
-    rank = F.xxhash64("id", F.lit(turn))
-    part = (F.shiftrightunsigned(rank, 11).cast("double")) / F.lit(float(1 << 53))
+    """Of each bucket the member with the least share of shingles of its own (main), and about q with the least shares
+    (by a histogram of shares, so that no bucket is sorted); all members of a small bucket."""
     share = F.coalesce(F.col("own") / F.col("n"), F.lit(1.0))
-    sizes = open_.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(share, rank, "id")).alias("least"))
+    level = F.floor(share * LEVELS)
+    marked = open_.withColumn("level", level)
+    counts = marked.groupBy("key", "level").agg(F.count("*").alias("c"), F.min(F.struct(share.alias("share"), F.xxhash64("id", F.lit(turn)).alias("rank"), "id")).alias("least"))
+    by = Window.partitionBy("key").orderBy("level")
+    upto = counts.withColumn("before", F.sum("c").over(by) - F.col("c"))
+    sizes = upto.groupBy("key").agg(F.sum("c").alias("size"), F.min("least").alias("least"), F.max(F.when(F.col("before") < q, F.col("level"))).alias("last"))
     chosen = (F.col("size") <= SMALL) | (F.col("id") == F.col("least.id"))
     if q > 1:
-        chosen = chosen | (part * F.col("size") < q)
+        chosen = chosen | (F.col("level") < F.col("last")) | ((F.col("level") == F.col("last")) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(LEVELS)) < q))
     return (
-        open_.join(sizes, "key")
+        marked.join(sizes, "key")
         .where(chosen)
         .select(
             "key", F.col("id").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n"), F.col("own").alias("rep_own"),
@@ -256,6 +261,19 @@ def _representatives(open_: DataFrame, q: int, turn: int) -> DataFrame:
     )
 
 
+def _undecided(labelled: DataFrame, threshold: float) -> DataFrame:
+    """Members of buckets of several components that may link to one of another component. The least own part of the
+    other components, o, bounds what a member can reach: (n - own) / (n + o)."""
+    least = labelled.groupBy("key", "comp").agg(F.min(F.coalesce("own", F.lit(0))).alias("o"))
+    low = least.groupBy("key").agg(F.min(F.struct("o", "comp")).alias("first"), F.count("*").alias("parts")).where("parts > 1")
+    # the second: the least of all components but the one that has the first
+    second = least.join(low, "key").where("comp <> first.comp").groupBy("key").agg(F.min("o").alias("second"))
+    both = low.join(second, "key").select("key", F.col("first.o").alias("o1"), F.col("first.comp").alias("c1"), "second")
+    other = F.when(F.col("comp") == F.col("c1"), F.col("second")).otherwise(F.col("o1"))
+    can = F.coalesce((F.col("n") - F.col("own")) / (F.col("n") + other) >= threshold, F.lit(True))
+    return labelled.join(both, "key").where(can).select("key", "id", "comp", "n", "own")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -327,12 +345,11 @@ def near_duplicates(
             links = stars
             labelled = new.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
             labelled = ws.cut(labelled.select("key", "id", "comp", "n", "own"), "labelled")
-            mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            nxt = ws.cut(labelled.join(mixed, "key", "left_semi"), "buckets")
+            nxt = ws.cut(_undecided(labelled, threshold), "buckets")
             ws.drop(new, labelled)
             new = nxt
         ws.drop(reps)
-        open_, q, turn = new, 4 if q == 1 else 2 * q, turn + 1
+        open_, q, turn = new, 16 if q == 1 else 4 * q, turn + 1
 
     found = components(links.union(copies), ws)
     ids = signed.groupBy("id").agg(F.max("n_words").alias("n_words"))
