@@ -29,6 +29,7 @@ REVISIT_BYTES = 100
 #: All records carry one date, so that runs agree byte by byte.
 DATE = "2024-01-01T00:00:00Z"
 _BINS = 4096
+_PIECE = 1 << 14
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -81,13 +82,16 @@ def member(data: bytes) -> bytes:
 
 def parse(stream: bytes):
     """(headers, block) of each record of a file, one gzip member after the other; digests are checked."""
-    rest = stream
-    while rest:
-        z = zlib.decompressobj(31)
-        data = z.decompress(rest) + z.flush()
-        if not z.eof:
-            raise ValueError("a gzip member is cut short")
-        rest = z.unused_data
+    at, view = 0, memoryview(stream)
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            piece = view[at : at + _PIECE]
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        data = b"".join(parts)
         head, _, body = data.partition(b"\r\n\r\n")
         first, *lines = head.decode().split("\r\n")
         if first != "WARC/1.1":
@@ -227,8 +231,7 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
         body = body.where("id is not null").unionByName(nulls.select("id", "kind", F.col("o").alias("original"), "url", "payload"))
     notes = decided.where("original is not null and id is not null").select("id", F.lit(0).alias("kind"), "original", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")).distinct()
     rows = body.union(notes).select(shard.alias("shard"), "id", "kind", "original", "url", "payload")
-    tasks = min(len(starts) + 1, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = rows.repartition(tasks, "shard").sortWithinPartitions("shard", "id", "kind", "url", "payload")
+    ordered = rows.repartitionById(len(starts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", "kind", "url", "payload")
     written = ws.cut(ordered.mapInArrow(_write(root, roll), _REPORT_SQL), "report")
     committed = written.mapInArrow(_commit(root), _REPORT_SQL)
     committed.drop("temporary").write.parquet(f"{root}/manifest")
