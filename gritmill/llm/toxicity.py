@@ -142,20 +142,28 @@ def train(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6, bits: int
     w[:, 0], w[:, 1] = -0.3, 0.3
     e -= e.mean(axis=1, keepdims=True)
     bias = np.zeros(2, np.float32)
-    grams = [(ids, ok) for ids, ok in word_ngrams(data, bits)]
-    _, row, start = words_of(data, offsets, np.zeros(size, np.float32))
+
+    def measured(weights):
+        """words_of over the sample, block by block, so that memory follows the block."""
+        found = []
+        for a, b in blocks(offsets):
+            value, row, start = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], weights)
+            found.append((value.astype(np.float32), (row + a).astype(np.int32), start + offsets[a]))
+        return [np.concatenate(x) for x in zip(*found)]
+
+    _, row, start = measured(np.zeros(size, np.float32))
     stop = np.append(np.flatnonzero(data == 32), len(data))
     stop = stop[np.searchsorted(stop, start, "right")]
 
     def bag(first, end):
         a, b = start[first], stop[end - 1]
-        return np.concatenate([ids[a:b][ok[a:b]] for ids, ok in grams])
+        return np.concatenate([ids[ok] for ids, ok in word_ngrams(data[a : b + 1], bits)])
 
     pool: dict[int, np.ndarray] = {}
     marks: dict[int, int] = {}
     for turn in range(turns):
         weights = e @ (w[:, 1] - w[:, 0])
-        value, _, _ = words_of(data, offsets, weights)
+        value, _, _ = measured(weights)
         mean, first, end, at = windows(value, row, len(rows))
         fitted = ~held[at]
         chosen: list[int] = []
