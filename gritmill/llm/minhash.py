@@ -34,6 +34,9 @@ THRESHOLD = 0.8
 SMALL = 3
 #: Steps of the histogram of shares by which representatives are chosen.
 LEVELS = 256
+#: Bytes of text and points of signatures that the kernels take at a time (a longer text is taken alone, whole).
+BLOCK_BYTES = 1 << 18
+POINTS = 250_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -45,7 +48,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R^i and R^-i modulo 2^64 for i < n."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, BLOCK_BYTES)
         r = 0x5851F42D4C957F2D
         with np.errstate(over="ignore"):
             for name, x in (("up", r), ("down", pow(r, -1, 1 << 64))):
@@ -138,7 +141,7 @@ def signatures(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int,
         x, t, step = np.zeros(len(r)), 0, 1
         flat = out.reshape(-1)
         while len(r):
-            pieces = max(1, len(r) * step // 2_000_000)
+            pieces = -(-len(r) * step // POINTS)
             alive = []
             for part in np.array_split(np.arange(len(r)), pieces):
                 u = mix64(k[part, None] + np.arange(t + 1, t + step + 1, dtype=np.uint64) * _BASE)
@@ -176,7 +179,7 @@ def _sign(words: int, places: int, rows: int):
         for batch in batches:
             text = pc.utf8_lower(texts(batch.column(1)))
             data, offsets = buffer_of(text)
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, BLOCK_BYTES):
                 row, key, weight, prints, count = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 keys = band_keys(signatures(row, key, weight, b - a, places), rows)
                 some = count > 0
@@ -201,7 +204,7 @@ def _sets(words: int):
     def run(batches):
         for batch in batches:
             data, offsets = buffer_of(pc.utf8_lower(texts(batch.column(1))))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, BLOCK_BYTES):
                 row, key, weight, _, _ = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 each = np.repeat(np.arange(len(row)), weight)
                 nth = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
