@@ -313,6 +313,7 @@ def near_duplicates(
 
     copies = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links, stars, q, turn = copies.limit(0), copies.limit(0), 1, 0
+    found = copies.limit(0).toDF("node", "component")
     open_ = open_.join(_own_items(sets, open_, ws), "id", "left").withColumn("comp", F.col("id"))
     # a document with more shingles of its own than the threshold leaves over links with nothing in a large bucket
     possible = F.coalesce((F.col("n") - F.col("own")) / F.col("n") >= threshold, F.lit(True))
@@ -323,11 +324,12 @@ def near_duplicates(
         may = F.coalesce(_most() >= threshold, F.lit(True))
         # the main one is compared with all members, the others with those of other components
         pairs = open_.join(reps, "key").where((F.col("id") != F.col("rep")) & may & (F.col("main") | (F.col("comp") != F.col("rep_comp"))))
-        pairs = pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
+        cross = (F.col("comp") != F.col("rep_comp")).alias("cross")
+        pairs = pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b"), cross).distinct()
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         inter = F.size(F.array_intersect("x", "y"))
-        seen = ws.cut(both.select("a", "b", (inter / (F.size("x") + F.size("y") - inter)).alias("s")).groupBy("a", "b").agg(F.max("s").alias("s")), "seen")
+        seen = ws.cut(both.select("a", "b", "cross", (inter / (F.size("x") + F.size("y") - inter)).alias("s")).groupBy("a", "b", "cross").agg(F.max("s").alias("s")), "seen")
         links = stars.union(seen.where(F.col("s") >= threshold).select("a", "b"))
         # what the round leaves open: members that were no representative, against those the triangle inequality allows
         mains = open_.join(reps.where("main"), "key").where("id <> rep").withColumn("most", F.coalesce(_most(), F.lit(1.0)))
@@ -343,7 +345,8 @@ def near_duplicates(
         split = rest.select("id", F.explode(sides).alias("side"), "key", "n", "own").select("id", F.xxhash64("key", "side").alias("key"), "n", "own")
         new = ws.cut(split, "split")
         if new.limit(1).count():
-            found = components(links, ws)
+            if seen.where(F.col("cross") & (F.col("s") >= threshold)).limit(1).count():  # else the components stay as they are
+                found = components(links, ws)
             stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             links = stars
             labelled = new.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
