@@ -50,3 +50,38 @@ def version_key(version: Column) -> Column:
 def logistic(logit: Column, a: float = -1.0, b: float = 0.0) -> Column:
     """1 / (1 + exp(a * logit + b))."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(logit * a + b))
+
+
+#: Fixed values of the public CVSS v3.1 specification: weights of the metric values.
+CVSS_WEIGHTS = {
+    "AV": {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2},
+    "AC": {"L": 0.77, "H": 0.44},
+    "UI": {"N": 0.85, "R": 0.62},
+    "PR": {"N": 0.85, "L": 0.62, "H": 0.27},
+    "PR changed": {"N": 0.85, "L": 0.68, "H": 0.5},
+    "CIA": {"N": 0.0, "L": 0.22, "H": 0.56},
+}
+
+
+def cvss_base(vector: Column) -> Column:
+    """The CVSS v3.0/3.1 base score of a vector string; null for null, other versions and vectors without a valid AV,
+    AC, PR or UI. Missing or unknown C, I and A count as none, a missing scope as unchanged."""
+    metrics = F.str_to_map(F.upper(vector), F.lit("/"), F.lit(":"))
+
+    def weight(name: str, table: str) -> Column:
+        out = F.lit(None).cast("double")
+        for k, v in CVSS_WEIGHTS[table].items():
+            out = F.when(metrics[name] == k, F.lit(v)).otherwise(out)
+        return out
+
+    changed = F.coalesce(metrics["S"] == "C", F.lit(False))
+    safe = F.lit(1.0)
+    for name in ("C", "I", "A"):
+        safe = safe * (1 - F.coalesce(weight(name, "CIA"), F.lit(0.0)))
+    iss = 1 - safe
+    pr = F.when(changed, weight("PR", "PR changed")).otherwise(weight("PR", "PR"))
+    exploit = 8.22 * weight("AV", "AV") * weight("AC", "AC") * pr * weight("UI", "UI")
+    wide = 1.08 * (7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, 15) + exploit)
+    raw = F.when(iss <= 0, F.lit(0.0)).otherwise(F.least(F.lit(10.0), F.when(changed, wide).otherwise(6.42 * iss + exploit)))
+    known = F.upper(vector).rlike(r"CVSS:3\.[01]/") & exploit.isNotNull()  # greatest and least skip nulls
+    return F.when(known, F.greatest(F.lit(0.0), F.ceil(F.round(raw * 100000) / 10000) / 10))

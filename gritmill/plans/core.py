@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import SEVERITY_RANK, clamp, logistic, pct_delta, posture_score, ranked, round_half_up, version_key
+from ..functions import SEVERITY_RANK, clamp, cvss_base, logistic, pct_delta, posture_score, ranked, round_half_up, version_key
 from ..operators import graph, intervals, relational, text
 from ..sources import table
 
@@ -365,6 +365,33 @@ def defect_scoring(spark, d):
     return f.select("l_suppkey", F.round(p, 4).alias("probability"), clamp(round_half_up(100 * p), 5, 98).cast("long").alias("score"))
 
 
+@query("""WITH f AS (SELECT l_suppkey, count(*) AS lines, count(DISTINCT l_partkey) AS fan_in, count(*) FILTER (l_returnflag='R') AS smells FROM lineitem GROUP BY l_suppkey),
+  p AS (SELECT *, 1/(1+exp(-0.9812037165617706*(0.8294944851331408 + 0.957*(lines-998.0886)/1952.563 + -0.0875*(fan_in-43.1646)/114.7328 + 1.1824*(smells-5.8443)/12.8372) + -0.3323704321727805)) AS pr FROM f)
+  SELECT l_suppkey, lines, round(pr,4) AS probability, CAST(greatest(5,least(98,floor(100*pr+0.5))) AS BIGINT) AS score FROM p ORDER BY score DESC, lines DESC, l_suppkey LIMIT 10""")
+def hotspots(spark, d):
+    """The ten suppliers with the highest scores; more lines first, then the smaller key."""
+    lines = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("lines"))
+    return defect_scoring(spark, d).join(lines, "l_suppkey").orderBy(F.desc("score"), F.desc("lines"), "l_suppkey").limit(10)
+
+
+_CVSS_KEYS = {"AV": "NALP", "AC": "LH", "PR": "NLH", "UI": "NR", "S": "UC", "C": "NLH", "I": "NLH", "A": "NLH"}
+
+
+@query("""WITH k AS (SELECT p_partkey, p_partkey % 4 AS av, p_partkey // 4 % 2 AS ac, p_partkey // 8 % 3 AS pr, p_partkey // 24 % 2 AS ui, p_partkey // 48 % 2 AS s,
+    p_partkey // 96 % 3 AS c, p_partkey // 288 % 3 AS i, p_partkey // 864 % 3 AS a FROM part),
+  w AS (SELECT *, 8.22::DOUBLE * [0.85,0.62,0.55,0.2][av+1]::DOUBLE * [0.77,0.44][ac+1]::DOUBLE * (CASE WHEN s=1 THEN [0.85,0.68,0.5][pr+1] ELSE [0.85,0.62,0.27][pr+1] END)::DOUBLE * [0.85,0.62][ui+1]::DOUBLE AS e,
+    1 - (1-[0,0.22,0.56][c+1]::DOUBLE) * (1-[0,0.22,0.56][i+1]::DOUBLE) * (1-[0,0.22,0.56][a+1]::DOUBLE) AS iss FROM k),
+  b AS (SELECT *, CASE WHEN iss<=0 THEN 0 WHEN s=1 THEN least(10, 1.08*(7.52*(iss-0.029) - 3.25*pow(iss-0.02,15) + e)) ELSE least(10, 6.42*iss + e) END AS raw FROM w)
+  SELECT p_partkey, CAST(greatest(0, ceil(round(raw*100000)/10000)/10) AS DOUBLE) AS cvss FROM b""")
+def cvss(spark, d):
+    """Base scores of a vector for each part, its metric values spelled by the digits of the key."""
+    vector, step = F.lit("CVSS:3.1"), 1
+    for name, values in _CVSS_KEYS.items():
+        digit = (F.floor(F.col("p_partkey") / step) % len(values)).cast("int")
+        vector, step = F.concat(vector, F.lit(f"/{name}:"), F.substring(F.lit(values), digit + 1, F.lit(1))), step * len(values)
+    return table(spark, d, "part").select("p_partkey", cvss_base(vector).alias("cvss"))
+
+
 @query("""WITH s AS (SELECT doc_id, quality, 1/(1+exp(-(CAST(n_chars AS DOUBLE)-2000)/2000)) AS p FROM labels JOIN documents USING (doc_id)), b AS (SELECT *, least(4, CAST(floor(p*5) AS INTEGER)) AS bin FROM s)
   SELECT bin, count(*) AS n, round(avg(p),6) AS confidence, round(avg(quality),6) AS accuracy FROM b GROUP BY bin""")
 def calibration_ece(spark, d):

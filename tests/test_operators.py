@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from gritmill.functions import pct_delta, round_half_up, version_key
+from gritmill.functions import cvss_base, pct_delta, round_half_up, version_key
 from gritmill.operators import graph, intervals, relational
 
 
@@ -32,3 +32,13 @@ def test_diff_and_merge(spark):
     got = {r.k: r.change for r in relational.snapshot_diff(a, b, ["k"], "v").collect()}
     assert got == {"x": "REMOVED", "y": "UNCHANGED", "z": "MODIFIED", "w": "ADDED"}
     assert dict(map(tuple, relational.merge_rows(a, b, ["k"]).collect())) == {"x": 1, "y": 2, "z": 4, "w": 5}
+
+
+def test_cvss(spark):
+    cases = [
+        ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:H", 7.5),
+        ("cvss:3.0/av:n/ac:l/pr:n/ui:r/s:c/c:l/i:l/a:n", 6.1), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N", 0.0),
+        ("CVSS:3.1/AV:X/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", None), ("CVSS:2.0/AV:N", None), ("", None), (None, None),
+    ]
+    df = spark.createDataFrame(cases, "v string, want double")
+    assert df.where(~cvss_base(F.col("v")).eqNullSafe(F.col("want"))).count() == 0
