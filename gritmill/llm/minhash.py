@@ -9,10 +9,11 @@ two signatures agree in a place with probability sum(min weights) / sum(max weig
 document are ever made, whatever its length.
 
 Documents whose signatures agree in a whole band meet in a bucket. Links are verified on the whole multisets. Buckets
-are not expanded into pairs. Shingles that no other candidate has bound a pair's similarity from above, so most pairs are
-ruled out by four numbers. Representatives, the most central member first, are compared with the members that remain;
-buckets whose members are all in one class are done, and the others are split by the triangle inequality of the Jaccard
-distance until nothing is open.
+are not expanded into pairs. Shingles that no other candidate has, and the bits that a hashed bitmap of one shingle
+multiset has and the other's lacks, are in no intersection; they bound a pair's similarity from above, so most pairs are
+ruled out inside the join, by a few numbers. Representatives, the most central member first, are compared with the
+members that remain; buckets whose members are all in one class are done, and the others are split by the triangle
+inequality of the Jaccard distance until nothing is open.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ ROWS = 4
 THRESHOLD = 0.8
 #: Buckets of at most so many documents compare all their members at once.
 SMALL = 3
+#: Representatives of a large bucket in the rounds after the first, which has one; more by this factor each round.
+MORE = 1024, 16
+#: Words of the bitmap of a multiset. It tells texts of up to about 1000 shingles apart; for longer ones its bound is
+#: looser, which costs exact comparisons but no link.
+BITMAP = [f"w{k}" for k in range(16)]
 #: Steps of the histogram of shares by which representatives are chosen.
 LEVELS = 256
 #: Bytes of text and points of signatures that the kernels take at a time (a longer text is taken alone, whole).
@@ -199,7 +205,7 @@ def _sign(words: int, places: int, rows: int):
 
 
 def _sets(words: int):
-    """The multiset of a text as a set: each repeat of a shingle gets a hash of its own."""
+    """The multiset of a text as a set, and a bitmap of it: each repeat of a shingle gets a hash of its own."""
 
     def run(batches):
         for batch in batches:
@@ -210,56 +216,66 @@ def _sets(words: int):
                 nth = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
                 value = np.where(nth == 0, key[each], mix64(key[each] + nth.astype(np.uint64) * _ODD[4]))
                 sizes = np.bincount(row[each], minlength=b - a)
+                bits = np.zeros((b - a, 64 * len(BITMAP)), np.uint8)
+                bits[row[each], (value % np.uint64(bits.shape[1])).astype(np.int64)] = 1
+                bits = np.packbits(bits, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(value.view(np.int64))),
+                        *(pa.array(np.ascontiguousarray(w)) for w in bits.T),
                     ],
-                    names=["id", "items"],
+                    names=["id", "items", *BITMAP],
                 )
 
     return run
 
 
 def _own_items(sets: DataFrame, open_: DataFrame, ws: Workspace) -> DataFrame:
-    """(id, n, own) of the documents in buckets of more than SMALL: the size of the multiset and how much of it none of
-    the others has. Such shingles are in no intersection, which bounds the similarity of a pair from above without
-    looking at it. Ids with several texts get nulls: no bound."""
+    """(id, n, own, bitmap) of the documents in buckets of more than SMALL: the size of the multiset, how much of it none
+    of the others has, and its bitmap. Such shingles are in no intersection, which bounds the similarity of a pair from
+    above without looking at its texts. Ids with several texts get nulls: no bound."""
     large = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select("key")
     heavy = open_.join(large, "key", "left_semi").select("id").distinct()
     mine = ws.cut(sets.join(heavy, "id", "left_semi"), "heavy")
     once = mine.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    own = once.groupBy("id").agg(F.count("*").alias("own"))
-    size = mine.groupBy("id").agg(F.when(F.count("*") == 1, F.max(F.size("items"))).alias("n"))
-    return ws.cut(size.join(own, "id", "left").select("id", "n", F.when(F.col("n").isNotNull(), F.coalesce("own", F.lit(0))).alias("own")), "own")
+    once = once.groupBy("id").agg(F.count("*").alias("own"))
+    size = mine.groupBy("id").agg(F.when(F.count("*") == 1, F.max(F.size("items"))).alias("n"), *(F.max(w).alias(w) for w in BITMAP))
+    own = F.when(F.col("n").isNotNull(), F.coalesce("own", F.lit(0))).alias("own")
+    return ws.cut(size.join(once, "id", "left").select("id", "n", own, *BITMAP), "own")
 
 
 def _most() -> F.Column:
-    """The largest similarity that (n, own) of a member and a representative allow; null where unknown."""
-    common = F.least(F.col("n") - F.col("own"), F.col("rep_n") - F.col("rep_own"))
+    """The largest similarity that sizes, own parts and bitmaps of a member and a representative allow; null where unknown."""
+    mine, theirs = F.lit(0), F.lit(0)
+    for w in BITMAP:
+        a, b = F.col(w), F.col(f"rep_{w}")
+        mine, theirs = mine + F.bit_count(a.bitwiseAND(F.bitwise_not(b))), theirs + F.bit_count(b.bitwiseAND(F.bitwise_not(a)))
+    common = F.least(F.col("n") - F.greatest(F.col("own"), mine), F.col("rep_n") - F.greatest(F.col("rep_own"), theirs))
     known = F.col("big") & F.col("n").isNotNull() & F.col("rep_n").isNotNull()
     return F.when(known, common / (F.col("n") + F.col("rep_n") - common))
 
 
 def _representatives(open_: DataFrame, q: int, turn: int) -> DataFrame:
     """Of each bucket the member with the least share of shingles of its own (main), and about q with the least shares
-    (by a histogram of shares, so that no bucket is sorted); all members of a small bucket."""
+    (by a histogram of shares, so that no bucket is sorted); all members of a small bucket, or where q reaches its size."""
     share = F.coalesce(F.col("own") / F.col("n"), F.lit(1.0))
     level = F.floor(share * LEVELS)
     marked = open_.withColumn("level", level)
     counts = marked.groupBy("key", "level").agg(F.count("*").alias("c"), F.min(F.struct(share.alias("share"), F.xxhash64("id", F.lit(turn)).alias("rank"), "id")).alias("least"))
     by = Window.partitionBy("key").orderBy("level")
     upto = counts.withColumn("before", F.sum("c").over(by) - F.col("c"))
-    sizes = upto.groupBy("key").agg(F.sum("c").alias("size"), F.min("least").alias("least"), F.max(F.when(F.col("before") < q, F.col("level"))).alias("last"))
+    sizes = upto.groupBy("key").agg(F.sum("c").alias("size"), F.min("least").alias("least"), F.max(F.when(F.col("before") < q, F.struct("level", "before", "c"))).alias("last"))
     chosen = (F.col("size") <= SMALL) | (F.col("id") == F.col("least.id"))
     if q > 1:
-        chosen = chosen | (F.col("level") < F.col("last")) | ((F.col("level") == F.col("last")) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(LEVELS)) < q))
+        drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) * F.col("last.c") < (q - F.col("last.before")) * (1 << 20)
+        chosen = chosen | (F.col("level") < F.col("last.level")) | ((F.col("level") == F.col("last.level")) & drawn)
     return (
         marked.join(sizes, "key")
         .where(chosen)
         .select(
             "key", F.col("id").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n"), F.col("own").alias("rep_own"),
-            (F.col("id") == F.col("least.id")).alias("main"), (F.col("size") > SMALL).alias("big"),
+            (F.col("id") == F.col("least.id")).alias("main"), (F.col("size") > SMALL).alias("big"), *(F.col(w).alias(f"rep_{w}") for w in BITMAP),
         )
     )
 
@@ -274,7 +290,7 @@ def _undecided(labelled: DataFrame, threshold: float) -> DataFrame:
     both = low.join(second, "key").select("key", F.col("first.o").alias("o1"), F.col("first.comp").alias("c1"), "second")
     other = F.when(F.col("comp") == F.col("c1"), F.col("second")).otherwise(F.col("o1"))
     can = F.coalesce((F.col("n") - F.col("own")) / (F.col("n") + other) >= threshold, F.lit(True))
-    return labelled.join(both, "key").where(can).select("key", "id", "comp", "n", "own")
+    return labelled.join(both, "key").where(can).select(labelled.columns)
 
 
 def near_duplicates(
@@ -309,7 +325,7 @@ def near_duplicates(
     shared = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     open_ = ws.cut(exploded.join(shared, "key", "left_semi"), "buckets")
     wanted = ws.cut(open_.select("id").distinct(), "wanted")
-    sets = ws.cut(plain.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>").where("size(items) > 0"), "sets")
+    sets = ws.cut(plain.join(wanted, "id", "left_semi").mapInArrow(_sets(words), f"id long, items array<long>, {', '.join(f'{w} long' for w in BITMAP)}").where("size(items) > 0"), "sets")
 
     copies = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links, stars, q, turn = copies.limit(0), copies.limit(0), 1, 0
@@ -322,14 +338,12 @@ def near_duplicates(
     while open_.limit(1).count():
         reps = ws.cut(_representatives(open_, q, turn), "reps")
         may = F.coalesce(_most() >= threshold, F.lit(True))
-        # the main one is compared with all members, the others with those of other components
-        pairs = open_.join(reps, "key").where((F.col("id") != F.col("rep")) & may & (F.col("main") | (F.col("comp") != F.col("rep_comp"))))
-        cross = (F.col("comp") != F.col("rep_comp")).alias("cross")
-        pairs = pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b"), cross).distinct()
+        pairs = open_.join(reps, "key").where((F.col("id") != F.col("rep")) & may & (F.col("comp") != F.col("rep_comp")))
+        pairs = pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         inter = F.size(F.array_intersect("x", "y"))
-        seen = ws.cut(both.select("a", "b", "cross", (inter / (F.size("x") + F.size("y") - inter)).alias("s")).groupBy("a", "b", "cross").agg(F.max("s").alias("s")), "seen")
+        seen = ws.cut(both.select("a", "b", (inter / (F.size("x") + F.size("y") - inter)).alias("s")).groupBy("a", "b").agg(F.max("s").alias("s")), "seen")
         links = stars.union(seen.where(F.col("s") >= threshold).select("a", "b"))
         # what the round leaves open: members that were no representative, against those the triangle inequality allows
         mains = open_.join(reps.where("main"), "key").where("id <> rep").withColumn("most", F.coalesce(_most(), F.lit(1.0)))
@@ -338,24 +352,24 @@ def near_duplicates(
             .withColumn("a", F.greatest("id", "rep"))
             .withColumn("b", F.least("id", "rep"))
             .join(seen, ["a", "b"], "left")
-            .withColumn("s", F.coalesce("s", "most"))
         )
-        near, far = F.col("s") >= 2 * threshold - 1, F.col("s") < threshold
+        # without a comparison (in one component already) a member may be on either side
+        near, far = F.coalesce("s", "most") >= 2 * threshold - 1, F.coalesce(F.col("s") < threshold, F.lit(True))
         sides = F.array_compact(F.array(F.when(near, F.lit(0)), F.when(far, F.lit(1))))
-        split = rest.select("id", F.explode(sides).alias("side"), "key", "n", "own").select("id", F.xxhash64("key", "side").alias("key"), "n", "own")
+        split = rest.select("id", F.explode(sides).alias("side"), "key", "n", "own", *BITMAP).select("id", F.xxhash64("key", "side").alias("key"), "n", "own", *BITMAP)
         new = ws.cut(split, "split")
         if new.limit(1).count():
-            if seen.where(F.col("cross") & (F.col("s") >= threshold)).limit(1).count():  # else the components stay as they are
+            if seen.where(F.col("s") >= threshold).limit(1).count():  # else the components stay as they are
                 found = components(links, ws)
             stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             links = stars
             labelled = new.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-            labelled = ws.cut(labelled.select("key", "id", "comp", "n", "own"), "labelled")
+            labelled = ws.cut(labelled.select("key", "id", "comp", "n", "own", *BITMAP), "labelled")
             nxt = ws.cut(_undecided(labelled, threshold), "buckets")
             ws.drop(new, labelled)
             new = nxt
         ws.drop(reps)
-        open_, q, turn = new, 16 if q == 1 else 4 * q, turn + 1
+        open_, q, turn = new, MORE[0] if q == 1 else MORE[1] * q, turn + 1
 
     found = components(links.union(copies), ws)
     ids = signed.groupBy("id").agg(F.max("n_words").alias("n_words"))
