@@ -34,7 +34,7 @@ THRESHOLD = 0.8
 #: Buckets of at most so many documents compare all their members at once.
 SMALL = 3
 #: Representatives of a large bucket in the rounds after the first, which has one; more by this factor each round.
-MORE = 1024, 16
+MORE = 16, 16
 #: Words of the bitmap of a multiset. It tells texts of up to about 1000 shingles apart; for longer ones its bound is
 #: looser, which costs exact comparisons but no link.
 BITMAP = [f"w{k}" for k in range(16)]
@@ -242,18 +242,35 @@ def _own_items(sets: DataFrame, open_: DataFrame, ws: Workspace) -> DataFrame:
     once = once.groupBy("id").agg(F.count("*").alias("own"))
     size = mine.groupBy("id").agg(F.when(F.count("*") == 1, F.max(F.size("items"))).alias("n"), *(F.max(w).alias(w) for w in BITMAP))
     own = F.when(F.col("n").isNotNull(), F.coalesce("own", F.lit(0))).alias("own")
-    return ws.cut(size.join(once, "id", "left").select("id", "n", own, *BITMAP), "own")
+    return ws.cut(size.join(once, "id", "left").select("id", "n", own, sum(F.bit_count(w) for w in BITMAP).alias("bits"), *BITMAP), "own")
+
+
+def _known() -> F.Column:
+    return F.col("big") & F.col("n").isNotNull() & F.col("rep_n").isNotNull()
+
+
+def _common_bits() -> F.Column:
+    """How many bits the bitmaps of a member and a representative share."""
+    x = F.lit(0)
+    for w in BITMAP:
+        x = x + F.bit_count(F.col(w).bitwiseAND(F.col(f"rep_{w}")))
+    return x
+
+
+def _may_link(threshold: float) -> F.Column:
+    """Whether sizes, own parts and bitmaps let a member and a representative link; true where unknown. The bits are
+    counted last and once: this runs inside the join, for all that meet in a bucket."""
+    need = threshold / (1 + threshold) * (F.col("n") + F.col("rep_n")) - 1e-6
+    sizes = (F.col("n") - F.col("own") >= need) & (F.col("rep_n") - F.col("rep_own") >= need)
+    bits = _common_bits() >= need + F.greatest(F.col("bits") - F.col("n"), F.col("rep_bits") - F.col("rep_n"))
+    return ~_known() | (sizes & bits)
 
 
 def _most() -> F.Column:
     """The largest similarity that sizes, own parts and bitmaps of a member and a representative allow; null where unknown."""
-    mine, theirs = F.lit(0), F.lit(0)
-    for w in BITMAP:
-        a, b = F.col(w), F.col(f"rep_{w}")
-        mine, theirs = mine + F.bit_count(a.bitwiseAND(F.bitwise_not(b))), theirs + F.bit_count(b.bitwiseAND(F.bitwise_not(a)))
+    mine, theirs = F.col("bits") - _common_bits(), F.col("rep_bits") - _common_bits()
     common = F.least(F.col("n") - F.greatest(F.col("own"), mine), F.col("rep_n") - F.greatest(F.col("rep_own"), theirs))
-    known = F.col("big") & F.col("n").isNotNull() & F.col("rep_n").isNotNull()
-    return F.when(known, common / (F.col("n") + F.col("rep_n") - common))
+    return F.when(_known(), common / (F.col("n") + F.col("rep_n") - common))
 
 
 def _representatives(open_: DataFrame, q: int, turn: int) -> DataFrame:
@@ -274,7 +291,7 @@ def _representatives(open_: DataFrame, q: int, turn: int) -> DataFrame:
         marked.join(sizes, "key")
         .where(chosen)
         .select(
-            "key", F.col("id").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n"), F.col("own").alias("rep_own"),
+            "key", F.col("id").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n"), F.col("own").alias("rep_own"), F.col("bits").alias("rep_bits"),
             (F.col("id") == F.col("least.id")).alias("main"), (F.col("size") > SMALL).alias("big"), *(F.col(w).alias(f"rep_{w}") for w in BITMAP),
         )
     )
@@ -337,8 +354,7 @@ def near_duplicates(
     open_ = ws.cut(open_.join(large, "key").where(~F.col("large") | possible).drop("large"), "open")
     while open_.limit(1).count():
         reps = ws.cut(_representatives(open_, q, turn), "reps")
-        may = F.coalesce(_most() >= threshold, F.lit(True))
-        pairs = open_.join(reps, "key").where((F.col("id") != F.col("rep")) & may & (F.col("comp") != F.col("rep_comp")))
+        pairs = open_.join(reps, "key").where((F.col("id") != F.col("rep")) & _may_link(threshold) & (F.col("comp") != F.col("rep_comp")))
         pairs = pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
@@ -356,7 +372,7 @@ def near_duplicates(
         # without a comparison (in one component already) a member may be on either side
         near, far = F.coalesce("s", "most") >= 2 * threshold - 1, F.coalesce(F.col("s") < threshold, F.lit(True))
         sides = F.array_compact(F.array(F.when(near, F.lit(0)), F.when(far, F.lit(1))))
-        split = rest.select("id", F.explode(sides).alias("side"), "key", "n", "own", *BITMAP).select("id", F.xxhash64("key", "side").alias("key"), "n", "own", *BITMAP)
+        split = rest.select("id", F.explode(sides).alias("side"), "key", "n", "own", "bits", *BITMAP).select("id", F.xxhash64("key", "side").alias("key"), "n", "own", "bits", *BITMAP)
         new = ws.cut(split, "split")
         if new.limit(1).count():
             if seen.where(F.col("s") >= threshold).limit(1).count():  # else the components stay as they are
@@ -364,7 +380,7 @@ def near_duplicates(
             stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             links = stars
             labelled = new.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-            labelled = ws.cut(labelled.select("key", "id", "comp", "n", "own", *BITMAP), "labelled")
+            labelled = ws.cut(labelled.select("key", "id", "comp", "n", "own", "bits", *BITMAP), "labelled")
             nxt = ws.cut(_undecided(labelled, threshold), "buckets")
             ws.drop(new, labelled)
             new = nxt
