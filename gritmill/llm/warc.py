@@ -143,12 +143,14 @@ def _write(root: str, roll: int):
             return {"shard": shard, "seq": seq, "temporary": temporary, "file": f"part-{shard:06d}-{seq:05d}.warc.gz", "records": records, "bytes": size, "sha256": digest.hexdigest()}
 
         open_, shard_now, seq = None, None, 0
-        decided: tuple = (None, None)
+        decided_page, decided = None, {}  # originals by digest of the payloads of one id
         report = []
         for batch in batches:
-            for shard, page, kind, original, url, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, page, kind, digest, original, url, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if page != decided_page:
+                    decided_page, decided = page, {}
                 if kind == 0:
-                    decided = (page, original)
+                    decided[digest] = original
                     continue
                 if shard != shard_now:
                     if open_:
@@ -162,7 +164,7 @@ def _write(root: str, roll: int):
                     out.write(head)
                     open_ = [out, shard, seq, temporary, 0, len(head), hashlib.sha256(head)]
                 data = payload or b""
-                mine = original if page is None else decided[1] if decided[0] == page and page is not None else None
+                mine = original if page is None else decided.get(hashlib.sha256(data).hexdigest()) if decided else None
                 z = member(record(page, url, data, mine))
                 open_[0].write(z)
                 open_[4] += 1
@@ -223,14 +225,14 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
     edges = F.array(*[F.lit(x).cast("long") for x in starts]) if starts else F.array().cast("array<bigint>")
     shard = F.coalesce(F.size(F.filter(edges, lambda x: x <= F.col("id"))), F.lit(0)).cast("long")
     url = F.col(url_col).cast("string")
-    body = pages.select(F.col(id_col).cast("long").alias("id"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("original"), url.alias("url"), F.col(html_col).cast("binary").alias("payload"))
+    body = pages.select(F.col(id_col).cast("long").alias("id"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("original"), url.alias("url"), F.col(html_col).cast("binary").alias("payload"))
     first = decided.where("id is null and original is not null").count()
     if first:  # rows without an id carry their original themselves
         own = decided.where("id is null and original is not null").select("digest", F.col("original").alias("o")).distinct()
-        nulls = body.where("id is null").withColumn("digest", F.sha2(F.coalesce("payload", F.lit(b"")), 256)).join(own, "digest", "left")
-        body = body.where("id is not null").unionByName(nulls.select("id", "kind", F.col("o").alias("original"), "url", "payload"))
-    notes = decided.where("original is not null and id is not null").select("id", F.lit(0).alias("kind"), "original", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")).distinct()
-    rows = body.union(notes).select(shard.alias("shard"), "id", "kind", "original", "url", "payload")
+        nulls = body.where("id is null").drop("digest").withColumn("digest", F.sha2(F.coalesce("payload", F.lit(b"")), 256)).join(own, "digest", "left")
+        body = body.where("id is not null").unionByName(nulls.select("id", "kind", "digest", F.col("o").alias("original"), "url", "payload"))
+    notes = decided.where("original is not null and id is not null").select("id", F.lit(0).alias("kind"), "digest", "original", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")).distinct()
+    rows = body.union(notes).select(shard.alias("shard"), "id", "kind", "digest", "original", "url", "payload")
     ordered = rows.repartitionById(len(starts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", "kind", "url", "payload")
     written = ws.cut(ordered.mapInArrow(_write(root, roll), _REPORT_SQL), "report")
     committed = written.mapInArrow(_commit(root), _REPORT_SQL)

@@ -142,6 +142,17 @@ def test_warc(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_decides_by_payload_when_an_id_repeats(spark):
+    a, b, c, own = ("<p>" + x * 200 for x in "abco")
+    rows = [(1, "u", a), (2, "u", b), (9, "u", a), (9, "u", b), (9, "u", c), (9, "u", "tiny"), (9, "u", own), (9, "u", None), (10, "u", own)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.payload_digest): (r.record_type, r.refers_to) for r in warc.archive(df, shard_bytes=300, roll=200).collect()}
+    key = lambda i, h: (i, hashlib.sha256((h or "").encode()).hexdigest())
+    want = {key(i, h): ("response", None) for i, _, h in rows}
+    want |= {key(9, a): ("revisit", 1), key(9, b): ("revisit", 2), key(10, own): ("revisit", 9)}
+    assert got == want
+
+
 def test_bpe_equals_tiktoken(spark, docs):
     import public_tokenizers as P
     import tiktoken
