@@ -234,6 +234,16 @@ def degree_metrics(spark, d):
     return out.select("node", F.col("fan_in").cast("int").alias("fan_in"), F.col("fan_out").cast("long").alias("fan_out"))
 
 
+@query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
+  SELECT s_suppkey AS node, 0::BIGINT AS fan_in, count(l_partkey) AS fan_out FROM supplier LEFT JOIN e ON l_suppkey=s_suppkey GROUP BY 1
+  UNION ALL SELECT -p_partkey-1, count(l_suppkey), 0 FROM part LEFT JOIN e ON l_partkey=p_partkey GROUP BY 1""")
+def degree_metrics_whole(spark, d):
+    """Degrees of all suppliers and parts (-key-1) over all lineitem edges."""
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"))
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")).union(table(spark, d, "part").select(-F.col("p_partkey") - 1))
+    return graph.degrees(e, nodes)
+
+
 _SUCC = "SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts) AS dst FROM events"
 
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from gritmill.functions import cvss_base, pct_delta, round_half_up, version_key
 from gritmill.operators import graph, intervals, relational
+from gritmill.plans import core
 
 
 def test_pct_delta(spark):
@@ -42,3 +43,18 @@ def test_cvss(spark):
     ]
     df = spark.createDataFrame(cases, "v string, want double")
     assert df.where(~cvss_base(F.col("v")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def _tables(spark, folder, **frames):
+    for name, df in frames.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_degrees_of_suppliers_and_parts(spark, tmp_path):
+    d = _tables(
+        spark, tmp_path, supplier=spark.createDataFrame([(0,), (1,), (2,)], "s_suppkey long"), part=spark.createDataFrame([(0,), (1,), (2,)], "p_partkey long"),
+        lineitem=spark.createDataFrame([(0, 0, 50.0), (0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0)], "l_suppkey long, l_partkey long, l_quantity double"),
+    )
+    got = {r.node: (r.fan_in, r.fan_out) for r in core.QUERIES["degree_metrics_whole"](spark, d).collect()}
+    assert got == {0: (0, 2), 1: (0, 1), 2: (0, 0), -1: (1, 0), -2: (2, 0), -3: (0, 0)}
