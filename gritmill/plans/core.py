@@ -429,6 +429,16 @@ def tree_rollup(spark, d):
     return p.select(F.explode(pre).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
 
 
+@query(r"""WITH p AS (SELECT list_filter(string_split(regexp_replace(regexp_replace(url,'^[a-z]+://',''),'[?#].*$',''),'/'), lambda x: x<>'') AS parts FROM pages WHERE url IS NOT NULL)
+  SELECT array_to_string(parts[1:i],'/') AS prefix, count(*) AS n FROM (SELECT parts, unnest(range(1,len(parts)+1)) AS i FROM p) GROUP BY 1""")
+def tree_rollup_whole(spark, d):
+    """Prefixes of every depth, the page itself as the leaf."""
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    p = table(spark, d, "pages").where("url is not null").select(F.filter(F.split(bare, "/"), lambda x: x != "").alias("parts")).where("size(parts) > 0")
+    pre = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", 1, i), "/"))
+    return p.select(F.explode(pre).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props,'$.k') AS BIGINT)) AS BIGINT) AS total_k, count(json_extract_string(props,'$.k')) AS n FROM events GROUP BY event_type")
 def json_extract(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("long")

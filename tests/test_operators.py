@@ -58,3 +58,9 @@ def test_degrees_of_suppliers_and_parts(spark, tmp_path):
     )
     got = {r.node: (r.fan_in, r.fan_out) for r in core.QUERIES["degree_metrics_whole"](spark, d).collect()}
     assert got == {0: (0, 2), 1: (0, 1), 2: (0, 0), -1: (1, 0), -2: (2, 0), -3: (0, 0)}
+
+
+def test_tree_rollup_reaches_the_leaves(spark, tmp_path):
+    d = _tables(spark, tmp_path, pages=spark.createDataFrame([(1, "http://h/a/b/c?x#y"), (2, "http://h/a/b/"), (3, "http://h"), (4, None), (5, "")], "page_id long, url string"))
+    got = {r.prefix: r.n for r in core.QUERIES["tree_rollup_whole"](spark, d).collect()}
+    assert got == {"h": 3, "h/a": 2, "h/a/b": 2, "h/a/b/c": 1}
