@@ -384,6 +384,48 @@ def hotspots(spark, d):
     return defect_scoring(spark, d).join(lines, "l_suppkey").orderBy(F.desc("score"), F.desc("lines"), "l_suppkey").limit(10)
 
 
+#: (weight, mean, deviation) of all features of the defect model, in its order.
+_FEATURES_WHOLE = {
+    "lines": (0.957, 998.0886, 1952.563), "function_count": (-0.4329, 37.5443, 91.7371), "class_count": (-0.278, 4.4962, 15.9435), "import_count": (1.3524, 9.9646, 18.7364),
+    "export_count": (0.8165, 36.057, 89.5209), "avg_complexity": (-0.0807, 3.3122, 4.4512), "max_complexity": (0.7963, 12.0051, 17.5816), "fan_in": (-0.0875, 43.1646, 114.7328),
+    "fan_out": (-0.5085, 212.3266, 405.4502), "smells": (1.1824, 5.8443, 12.8372), "has_test": (0.0, 0.0, 1.0),
+}
+_DEFECT_WHOLE = """WITH f AS (SELECT l_suppkey, count(*) AS lines, count(DISTINCT date_trunc('month', l_shipdate)) AS function_count, count(DISTINCT l_returnflag) AS class_count,
+    count(*) FILTER (l_linestatus='O' AND l_quantity<=2) AS import_count, count(*) FILTER (l_linestatus='F' AND l_quantity<=5) AS export_count, avg(l_linenumber) AS avg_complexity, max(l_linenumber) AS max_complexity,
+    count(DISTINCT l_partkey) AS fan_in, count(DISTINCT l_orderkey) AS fan_out, count(*) FILTER (l_returnflag='R' AND l_quantity>=49) AS smells, max(CASE WHEN l_discount=0 THEN 1 ELSE 0 END) AS has_test FROM lineitem GROUP BY l_suppkey),
+  g AS (SELECT *, 0.8294944851331408::DOUBLE + 0.957::DOUBLE*(lines-998.0886::DOUBLE)/1952.563::DOUBLE - 0.4329::DOUBLE*(function_count-37.5443::DOUBLE)/91.7371::DOUBLE - 0.278::DOUBLE*(class_count-4.4962::DOUBLE)/15.9435::DOUBLE
+    + 1.3524::DOUBLE*(import_count-9.9646::DOUBLE)/18.7364::DOUBLE + 0.8165::DOUBLE*(export_count-36.057::DOUBLE)/89.5209::DOUBLE - 0.0807::DOUBLE*(avg_complexity-3.3122::DOUBLE)/4.4512::DOUBLE
+    + 0.7963::DOUBLE*(max_complexity-12.0051::DOUBLE)/17.5816::DOUBLE - 0.0875::DOUBLE*(fan_in-43.1646::DOUBLE)/114.7328::DOUBLE - 0.5085::DOUBLE*(fan_out-212.3266::DOUBLE)/405.4502::DOUBLE
+    + 1.1824::DOUBLE*(smells-5.8443::DOUBLE)/12.8372::DOUBLE + 0.0::DOUBLE*has_test AS logit FROM f),
+  p AS (SELECT *, 1/(1+exp(-0.9812037165617706::DOUBLE*logit - 0.3323704321727805::DOUBLE)) AS pr FROM g),
+  s AS (SELECT l_suppkey, lines, round(pr,4) AS probability, CAST(greatest(5,least(98,floor(100*pr+0.5))) AS BIGINT) AS score FROM p)"""
+
+
+def _defects_whole(spark, d):
+    """Analogs of all features by supplier: lines; ship months, return flags; small open and finished lines; mean and
+    largest line number; parts, orders; large returns; whether a line has no discount. Counts lie in the model's scale."""
+    f = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
+        F.count("*").alias("lines"), F.count_distinct(F.trunc("l_shipdate", "month")).alias("function_count"), F.count_distinct("l_returnflag").alias("class_count"),
+        F.count_if((F.col("l_linestatus") == "O") & (F.col("l_quantity") <= 2)).alias("import_count"), F.count_if((F.col("l_linestatus") == "F") & (F.col("l_quantity") <= 5)).alias("export_count"), F.avg("l_linenumber").alias("avg_complexity"), F.max("l_linenumber").alias("max_complexity"),
+        F.count_distinct("l_partkey").alias("fan_in"), F.count_distinct("l_orderkey").alias("fan_out"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49)).alias("smells"), F.max(F.when(F.col("l_discount") == 0, 1).otherwise(0)).alias("has_test"),
+    )
+    logit = F.lit(_MODEL[0])
+    for name, (w, mu, sd) in _FEATURES_WHOLE.items():
+        logit = logit + F.lit(w) * (F.col(name) - mu) / sd
+    p = logistic(logit, _MODEL[1], _MODEL[2])
+    return f.select("l_suppkey", "lines", F.round(p, 4).alias("probability"), clamp(round_half_up(100 * p), 5, 98).cast("long").alias("score"))
+
+
+@query(f"{_DEFECT_WHOLE} SELECT l_suppkey, probability, score FROM s")
+def defect_scoring_whole(spark, d):
+    return _defects_whole(spark, d).select("l_suppkey", "probability", "score")
+
+
+@query(f"{_DEFECT_WHOLE} SELECT l_suppkey, lines, probability, score FROM s ORDER BY score DESC, lines DESC, l_suppkey LIMIT 10")
+def hotspots_whole(spark, d):
+    return _defects_whole(spark, d).orderBy(F.desc("score"), F.desc("lines"), "l_suppkey").limit(10)
+
+
 _CVSS_KEYS = {"AV": "NALP", "AC": "LH", "PR": "NLH", "UI": "NR", "S": "UC", "C": "NLH", "I": "NLH", "A": "NLH"}
 
 

@@ -1,3 +1,6 @@
+import datetime
+import math
+
 from pyspark.sql import functions as F
 
 from gritmill.functions import cvss_base, pct_delta, round_half_up, version_key
@@ -64,3 +67,20 @@ def test_tree_rollup_reaches_the_leaves(spark, tmp_path):
     d = _tables(spark, tmp_path, pages=spark.createDataFrame([(1, "http://h/a/b/c?x#y"), (2, "http://h/a/b/"), (3, "http://h"), (4, None), (5, "")], "page_id long, url string"))
     got = {r.prefix: r.n for r in core.QUERIES["tree_rollup_whole"](spark, d).collect()}
     assert got == {"h": 3, "h/a": 2, "h/a/b": 2, "h/a/b/c": 1}
+
+
+def test_defect_scores_sum_all_features(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(1, 1, 0, 1, 50.0, "R", "O", 0.0, day), (1, 2, 0, 2, 2.0, "R", "O", 0.1, day), (2, 2, 0, 7, 5.0, "N", "F", 0.1, day + datetime.timedelta(40)), (3, 3, 1, 1, 9.0, "N", "F", 0.1, day)]
+    d = _tables(spark, tmp_path, lineitem=spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_discount double, l_shipdate timestamp_ntz"))
+    # lines, ship months, flags, small open, small finished, mean and largest line number, parts, orders, large returns, no discount
+    vectors = {0: (3, 2, 2, 1, 1, 10 / 3, 7, 2, 2, 1, 1), 1: (1, 1, 1, 0, 0, 1, 1, 1, 1, 0, 0)}
+    model = [
+        (0.957, 998.0886, 1952.563), (-0.4329, 37.5443, 91.7371), (-0.278, 4.4962, 15.9435), (1.3524, 9.9646, 18.7364), (0.8165, 36.057, 89.5209), (-0.0807, 3.3122, 4.4512),
+        (0.7963, 12.0051, 17.5816), (-0.0875, 43.1646, 114.7328), (-0.5085, 212.3266, 405.4502), (1.1824, 5.8443, 12.8372), (0, 0, 1),
+    ]
+    got = {r.l_suppkey: (r.probability, r.score) for r in core.QUERIES["defect_scoring_whole"](spark, d).collect()}
+    for key, x in vectors.items():
+        logit = 0.8294944851331408 + sum(w * (v - mu) / sd for v, (w, mu, sd) in zip(x, model))
+        p = 1 / (1 + math.exp(-0.9812037165617706 * logit - 0.3323704321727805))
+        assert got[key] == (round(p, 4), max(5, min(98, math.floor(100 * p + 0.5))))
