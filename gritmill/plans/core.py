@@ -55,6 +55,18 @@ def conditional_pivot(spark, d):
     return e.groupBy("user_id").agg(*[F.max(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in ("click", "error", "purchase")])
 
 
+@query("""WITH p AS (SELECT user_id, max(CASE WHEN event_type='click' THEN value ELSE 0 END) AS click, max(CASE WHEN event_type='error' THEN value ELSE 0 END) AS error,
+    max(CASE WHEN event_type='purchase' THEN value ELSE 0 END) AS purchase FROM events GROUP BY user_id)
+  SELECT count(*) AS users, round(sum(click),4) AS click_sum, round(avg(click),4) AS click_avg, max(click) AS click_max, round(sum(error),4) AS error_sum, round(avg(error),4) AS error_avg, max(error) AS error_max,
+    round(sum(purchase),4) AS purchase_sum, round(avg(purchase),4) AS purchase_avg, max(purchase) AS purchase_max, count(*) FILTER (error > 0) AS with_errors FROM p""")
+def conditional_pivot_whole(spark, d):
+    """Global statistics over the pivot, 0 for a kind that a user has not."""
+    kinds = ("click", "error", "purchase")
+    p = table(spark, d, "events").groupBy("user_id").agg(*[F.max(F.when(F.col("event_type") == k, F.col("value")).otherwise(0.0)).alias(k) for k in kinds])
+    stats = [x for k in kinds for x in (F.round(F.sum(k), 4).alias(f"{k}_sum"), F.round(F.avg(k), 4).alias(f"{k}_avg"), F.max(k).alias(f"{k}_max"))]
+    return p.agg(F.count("*").alias("users"), *stats, F.count_if(F.col("error") > 0).alias("with_errors"))
+
+
 @query("""SELECT user_id, count(*) FILTER (event_type='click') AS click, count(*) FILTER (event_type='error') AS error,
   count(*) FILTER (event_type='purchase') AS purchase, count(*) FILTER (event_type='signup') AS signup, count(*) FILTER (event_type='view') AS "view" FROM events GROUP BY user_id""")
 def eav_to_wide(spark, d):
@@ -95,6 +107,13 @@ def search_ilike(spark, d):
     return table(spark, d, "part").where(F.col("p_name").ilike("%1%") & F.col("p_type").ilike("%e%")).select("p_partkey", "p_name")
 
 
+@query("""SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%ed%' OR p_brand ILIKE '%ed%' OR p_type ILIKE '%ed%' OR list_contains(string_split(p_name,' '),'bolt')""")
+def search_ilike_whole(spark, d):
+    """A pattern in one of three columns, or a word among the name's."""
+    match = F.col("p_name").ilike("%ed%") | F.col("p_brand").ilike("%ed%") | F.col("p_type").ilike("%ed%") | F.array_contains(F.split("p_name", " "), "bolt")
+    return table(spark, d, "part").where(match).select("p_partkey", "p_name")
+
+
 @query("SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-29 00:00:00'")
 def ttl_filter(spark, d):
     return table(spark, d, "events").where("ts > timestamp_ntz'2024-01-29 00:00:00'").select("event_id", "user_id")
@@ -204,6 +223,19 @@ def pairwise_trajectory(spark, d):
     return p.groupBy("week").agg(F.count_if(F.col("before") == 0).alias("new_users"), F.count_if((F.col("before") == 1) & (F.col("now") == 1)).alias("persistent"), F.count_if(F.col("now") == 0).alias("resolved"))
 
 
+@query(f"""WITH v AS (SELECT *, {_WEEK} AS week FROM events), m AS (SELECT min(week) AS lo, max(week) AS hi FROM v), w AS (SELECT DISTINCT user_id, week FROM v WHERE event_type='error')
+  SELECT coalesce(b.week, a.week+1) AS week, count(*) FILTER (a.week IS NULL) AS new_users, count(*) FILTER (a.week IS NOT NULL AND b.week IS NOT NULL) AS persistent, count(*) FILTER (b.week IS NULL) AS resolved
+  FROM (SELECT w.* FROM w, m WHERE week<hi) a FULL JOIN (SELECT w.* FROM w, m WHERE week>lo) b ON a.user_id=b.user_id AND b.week=a.week+1 GROUP BY 1""")
+def pairwise_trajectory_whole(spark, d):
+    """All consecutive pairs from the first to the last week of the events."""
+    e = table(spark, d, "events").select("user_id", "event_type", _week().alias("week"))
+    ends = F.broadcast(e.agg(F.min("week").alias("lo"), F.max("week").alias("hi")))  # one row
+    w = e.where("event_type = 'error'").select("user_id", "week").distinct().join(ends)
+    votes = w.where("week > lo").select("user_id", "week", F.lit(1).alias("now"), F.lit(0).alias("before")).union(w.where("week < hi").select("user_id", F.col("week") + 1, F.lit(0), F.lit(1)))
+    p = votes.groupBy("user_id", "week").agg(F.max("now").alias("now"), F.max("before").alias("before"))
+    return p.groupBy("week").agg(F.count_if(F.col("before") == 0).alias("new_users"), F.count_if((F.col("before") == 1) & (F.col("now") == 1)).alias("persistent"), F.count_if(F.col("now") == 0).alias("resolved"))
+
+
 @query("""SELECT a.p_partkey, CASE WHEN b.k > a.k THEN 'upgrade' WHEN b.k < a.k THEN 'downgrade' ELSE 'same' END AS transition FROM
   (SELECT p_partkey, [p_size, CAST(floor(p_retailprice) AS BIGINT)] AS k FROM part) a JOIN (SELECT p_partkey-1 AS p, [p_size, CAST(floor(p_retailprice) AS BIGINT)] AS k FROM part) b ON a.p_partkey=b.p""")
 def version_transition(spark, d):
@@ -322,6 +354,21 @@ def rule_engine(spark, d):
     ])
 
 
+@query(f"""WITH a AS ({_ORDER_AGG}) SELECT l_orderkey, 'TOO_MANY_LINES' AS rule, 'high' AS severity, CAST(n AS DOUBLE) AS measured FROM a WHERE n>=8
+  UNION ALL SELECT l_orderkey,'LARGE_QUANTITY','medium',CAST(q AS DOUBLE) FROM a WHERE q>200 UNION ALL SELECT l_orderkey,'RETURNS','low',CAST(ret AS DOUBLE) FROM a WHERE ret>=3
+  UNION ALL SELECT l_orderkey,'MANY_SUPPLIERS','medium',CAST(sup AS DOUBLE) FROM a WHERE sup>=7 UNION ALL SELECT l_orderkey,'DEEP_DISCOUNT','low',CAST(disc AS DOUBLE) FROM a WHERE disc>=0.1
+  UNION ALL SELECT l_orderkey,'LARGE_LINES',CASE WHEN q>45*n THEN 'high' ELSE 'medium' END,q::DOUBLE/n FROM a WHERE q>40*n""")
+def rule_engine_whole(spark, d):
+    """Six threshold rules; the last one's severity depends on the measured value."""
+    c = F.col
+    return relational.rule_rows(_orders_agg(spark, d), ["l_orderkey"], [
+        ("TOO_MANY_LINES", "high", c("n") >= 8, c("n")), ("LARGE_QUANTITY", "medium", c("q") > 200, c("q")),
+        ("RETURNS", "low", c("ret") >= 3, c("ret")), ("MANY_SUPPLIERS", "medium", c("sup") >= 7, c("sup")),
+        ("DEEP_DISCOUNT", "low", c("disc") >= 0.1, c("disc")),
+        ("LARGE_LINES", "high", c("q") > 45 * c("n"), c("q") / c("n")), ("LARGE_LINES", "medium", (c("q") > 40 * c("n")) & (c("q") <= 45 * c("n")), c("q") / c("n")),
+    ])
+
+
 @query(f"""WITH a AS ({_ORDER_AGG}), s AS (SELECT *, CAST(greatest(0,least(100, 5 + least(25, floor(25.0*q/300+0.5)) + least(20, floor(1.5*n+0.5)) + least(25, 10*ret) + least(15, floor(3.0*sup+0.5)))) AS BIGINT) AS score FROM a)
   SELECT l_orderkey, score, CASE WHEN score>=80 THEN 'CRITICAL' WHEN score>=60 THEN 'HIGH' WHEN score>=30 THEN 'MEDIUM' ELSE 'LOW' END AS category,
   CASE WHEN score>=85 OR ret>=4 THEN 'BLOCKED' WHEN ret>=3 OR score>=60 THEN 'CHANGES_REQUESTED' WHEN score>=35 OR q>150 THEN 'WARNING' ELSE 'APPROVED' END AS gate FROM s""")
@@ -453,6 +500,17 @@ def calibration_ece(spark, d):
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("confidence"), F.round(F.avg("quality"), 6).alias("accuracy"))
 
 
+@query("""WITH s AS (SELECT quality, 1/(1+exp(-(CAST(n_chars AS DOUBLE)-2000)/2000)) AS p FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+  b AS (SELECT least(4, CAST(floor(p*5) AS INTEGER)) AS bin, count(*) AS n, avg(p) AS confidence, avg(quality) AS accuracy FROM s GROUP BY 1)
+  SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(abs(accuracy-confidence)*n)/sum(n),6) AS ece FROM b""")
+def calibration_ece_whole(spark, d):
+    """The expected calibration error over the five bins."""
+    j = table(spark, d, "labels").select("doc_id", "quality").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").where("quality is not null and n_chars is not null")
+    b = j.withColumn("p", logistic((F.col("n_chars").cast("double") - 2000) / 2000)).withColumn("bin", F.least(F.lit(4), F.floor(F.col("p") * 5).cast("int")))
+    g = b.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("confidence"), F.avg("quality").alias("accuracy"))
+    return g.agg(F.sum("n").alias("n"), F.round(F.sum(F.abs(F.col("accuracy") - F.col("confidence")) * F.col("n")) / F.sum("n"), 6).alias("ece"))
+
+
 @query("""SELECT CASE WHEN l_quantity<=10 THEN '0-10' WHEN l_quantity<=25 THEN '11-25' WHEN l_quantity<=40 THEN '26-40' ELSE '41+' END AS bucket, count(*) AS n,
   round(count(*)*100.0::DOUBLE/(SELECT count(*) FROM lineitem),3) AS pct FROM lineitem GROUP BY 1""")
 def histogram_buckets(spark, d):

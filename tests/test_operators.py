@@ -84,3 +84,29 @@ def test_defect_scores_sum_all_features(spark, tmp_path):
         logit = 0.8294944851331408 + sum(w * (v - mu) / sd for v, (w, mu, sd) in zip(x, model))
         p = 1 / (1 + math.exp(-0.9812037165617706 * logit - 0.3323704321727805))
         assert got[key] == (round(p, 4), max(5, min(98, math.floor(100 * p + 0.5))))
+
+
+def test_trajectory_takes_its_weeks_from_the_data(spark, tmp_path):
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(n)
+    rows = [(1, "error", day(35)), (1, "error", day(42)), (2, "error", day(42)), (1, "view", day(49))]
+    d = _tables(spark, tmp_path, events=spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz"))
+    assert {tuple(r) for r in core.QUERIES["pairwise_trajectory_whole"](spark, d).collect()} == {(7, 1, 1, 0), (8, 0, 0, 2)}
+
+
+def test_calibration_error(spark, tmp_path):
+    d = _tables(spark, tmp_path, labels=spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"), documents=spark.createDataFrame([(1, 2000), (2, 2000), (3, 90_000)], "doc_id long, n_chars long"))
+    assert tuple(core.QUERIES["calibration_ece_whole"](spark, d).first()) == (3, 0.0)
+    d = _tables(spark, tmp_path / "b", labels=spark.createDataFrame([(1, 1)], "doc_id long, quality int"), documents=spark.createDataFrame([(1, 2000)], "doc_id long, n_chars long"))
+    assert tuple(core.QUERIES["calibration_ece_whole"](spark, d).first()) == (1, 0.5)
+
+
+def test_rule_search_and_pivot_parts(spark, tmp_path):
+    d = _tables(
+        spark, tmp_path, lineitem=spark.createDataFrame([(1, 48.0, 0.1, "N", 1), (2, 42.0, 0.0, "N", 1)], "l_orderkey long, l_quantity double, l_discount double, l_returnflag string, l_suppkey long"),
+        part=spark.createDataFrame([(1, "x bolt", "b", "t"), (2, "x bolts", "b", "t"), (3, "x", "RED", "t")], "p_partkey long, p_name string, p_brand string, p_type string"),
+        events=spark.createDataFrame([(1, "click", 2.0), (1, "error", 3.0), (2, "click", 4.0)], "user_id long, event_type string, value double"),
+    )
+    assert {(r.l_orderkey, r.rule, r.severity) for r in core.QUERIES["rule_engine_whole"](spark, d).collect()} == {(1, "DEEP_DISCOUNT", "low"), (1, "LARGE_LINES", "high"), (2, "LARGE_LINES", "medium")}
+    assert {r.p_partkey for r in core.QUERIES["search_ilike_whole"](spark, d).collect()} == {1, 3}
+    r = core.QUERIES["conditional_pivot_whole"](spark, d).first()
+    assert (r.users, r.click_sum, r.click_avg, r.error_avg, r.purchase_max, r.with_errors) == (2, 6.0, 3.0, 1.5, 0.0, 1)
