@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import logging
 import tempfile
 import uuid
 import zipfile
@@ -53,9 +55,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path through Hadoop's file system API."""
-    with contextlib.suppress(Exception):
+    try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception as error:
+        logging.getLogger(__name__).warning("scratch path %s stays: %s", path, str(error)[:300])
+
+
+#: Scratch paths that are still there; they are deleted when the process ends.
+_ROOTS: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_ROOTS.items()):
+        with contextlib.suppress(Exception):  # the session may be gone
+            if spark.sparkContext._jsc is not None:
+                remove(spark, path)
 
 
 class Workspace:
@@ -63,6 +79,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, scratch(spark, name), 0
+        _ROOTS[self.root] = spark
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes the rows as Parquet and reads them back: executors may be lost without losing them."""
@@ -78,8 +95,17 @@ class Workspace:
             if path := getattr(t, "_scratch_path", None):
                 remove(self.spark, path)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Writes the result and deletes all other tables; the result itself goes when the session's process ends."""
+        path = f"{self.root}-result"
+        _ROOTS[path] = self.spark
+        df.write.option("compression", "zstd").parquet(path)
+        self.close()
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def close(self) -> None:
         remove(self.spark, self.root)
+        _ROOTS.pop(self.root, None)
 
 
 def crc_of(col: Column) -> Column:

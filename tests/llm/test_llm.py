@@ -46,13 +46,45 @@ def test_components(spark):
 
 def test_near_duplicates_edge_cases(spark, docs, clash):
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, None: None}
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(clash).collect()} == got
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "None"]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, b, "x"), (None, b, "x"), (None, c, "x"), (None, c, "y"), (3, "", "x"), (3, None, "x"), (None, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 string")
+    got = collections.Counter((r.doc_id, r.class_id, r.n_words, r.kept) for r in minhash.near_duplicates(df).collect())
+    want = [(1, 1, 40, True), (1, 1, 40, True), (2, 1, 40, False), (None, 1, 40, False), (None, None, 40, True), (3, 3, 0, True), (None, None, 0, True)]
+    assert got == collections.Counter(want)
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    kept = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, c), (3, ""), (None, "")], key=str)
+    assert sorted(map(str, minhash.drop_near_duplicates(df).collect())) == sorted(map(str, minhash.drop_near_duplicates(df).collect()))
+
+
+def test_kernels_work_in_pieces(monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = ["".join(rng.choice(list("ab  \n"), int(rng.integers(0, 60)))) for _ in range(40)] + ["x" * 70]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t) for t in rows])
+    whole = minhash.shingles(data, offsets)
+    sig = minhash.signatures(*whole[:3], len(rows))
+    h, row = minhash.word_hashes(data, offsets)
+    assert list(row) == [r for r, t in enumerate(rows) for _ in t.split()]
+    assert len(set(h.tolist())) == len({w for t in rows for w in t.split()})
+    for size in (1, 3, 16):
+        monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+        monkeypatch.setattr(minhash, "POINTS", 7)
+        again = minhash.shingles(data, offsets)
+        assert all((x == y).all() for x, y in zip([*whole[:3], *whole[3]], [*again[:3], *again[3]]))
+        assert (minhash.signatures(*again[:3], len(rows)) == sig).all()
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(3000)]
