@@ -25,8 +25,10 @@ from .common import texts, tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 assert array("I").itemsize == 4 and sys.byteorder == "little"
-#: Pre-tokens that a worker remembers; beyond, it forgets all and begins anew.
-REMEMBERED = 400_000
+#: Pre-tokens that a task remembers; beyond, it forgets all and begins anew.
+REMEMBERED = 100_000
+#: Characters after which a longer text is cut, where its pattern allows.
+PIECE_CHARS = 1 << 18
 #: Longer pre-tokens are encoded each time and not remembered.
 REMEMBERED_CHARS = 64
 
@@ -72,6 +74,8 @@ _FAST = {
     ).findall
 }
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xc0-\u024f]*").fullmatch
+#: A space between letters: with that pattern a pre-token always begins there, whatever stands before.
+_SEAM = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 class Codec:
@@ -106,8 +110,32 @@ class Codec:
         for t, w in zip(new, whole):
             self.known[t] = array("I", next(parts) if w is None else (w,)).tobytes()
 
+    def pieces(self, text: str) -> list[str]:
+        """A long text cut where a pre-token begins in any case; one that has no such place is one piece."""
+        out, at = [], 0
+        while self.fast and len(text) - at > PIECE_CHARS and (seam := _SEAM.search(text, at + PIECE_CHARS)):
+            out.append(text[at : seam.start()])
+            at = seam.start()
+        return [*out, text[at:]]
+
     def encode(self, values: list[str]) -> list[bytes]:
-        """Ids of whole texts, packed as little-endian unsigned 32-bit integers."""
+        """Ids of whole texts, packed as little-endian unsigned 32-bit integers. Texts are taken a few at a time."""
+        out: list[bytes] = []
+        held, size = [], 0
+        for text in values:
+            if len(text) > PIECE_CHARS:
+                out += self._encode(held)
+                out.append(b"".join(self._encode([p])[0] for p in self.pieces(text)))
+                held, size = [], 0
+                continue
+            held.append(text)
+            size += len(text)
+            if size > PIECE_CHARS:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, values: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut, out, known = [], [], self.known
@@ -142,10 +170,13 @@ def _codec(key: str, model: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _model(docs: DataFrame, path: str | None, pattern: str | None):
+def _model(docs: DataFrame, path: str | None, pattern: str | None, most: int | None = None):
     import public_tokenizers as P
 
-    model, pattern = serialise(read_ranks(path or P.path(VOCABULARY))), pattern or P.PATTERN
+    tokens = read_ranks(path or P.path(VOCABULARY))
+    if most is not None and len(tokens) > most:
+        raise ValueError(f"the vocabulary has more than {most} tokens")
+    model, pattern = serialise(tokens), pattern or P.PATTERN
     key = hashlib.sha256(model + pattern.encode()).hexdigest()
     return key, tune(docs.sparkSession).sparkContext.broadcast(model), pattern
 
@@ -180,22 +211,43 @@ def decode(rows: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", pa
     return rows.withColumn(bytes_col, run(F.col(ids_col)))
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, text_col: str = "text", data_col: str = "data", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Adds the token ids of every whole text as packed little-endian unsigned 16-bit integers, which
+    :func:`packing.pack` takes; null texts count as empty. The vocabulary must have at most 65536 tokens."""
+    key, model, pattern = _model(docs, path, pattern, 1 << 16)
+
+    @F.pandas_udf("binary")
+    def run(text):
+        import pandas as pd
+
+        codec = _codec(key, model.value, pattern)
+        values = texts(pa.Array.from_pandas(text, type=pa.string())).to_pylist()
+        return pd.Series([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in codec.encode(values)])
+
+    return docs.withColumn(data_col, run(F.col(text_col)))
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = False) -> DataFrame:
     """Per row: the id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256
-    (of the bytes decoded from those ids): encoding, decoding and hashing in one pass, so that ids of whole corpora
-    needn't be kept. Null texts count as empty; null ids stay; repeated rows give repeated results."""
+    (of the bytes decoded from those ids): encoding, decoding and hashing in one pass. With ``ids`` the packed ids come
+    too (binary). Null texts count as empty; null ids stay; repeated rows give repeated results."""
     key, model, pattern = _model(docs, path, pattern)
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if ids else 4]
 
     def run(batches):
         codec = _codec(key, model.value, pattern)
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, all_ = [], [], [], []
             for packed in codec.encode(texts(batch.column(1)).to_pylist()):
                 n.append(len(packed) // 4)
                 a.append(hashlib.sha256(packed).hexdigest())
                 b.append(hashlib.sha256(codec.decode(packed)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if ids:
+                    all_.append(packed)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(all_, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+        codec.known.clear()  # workers live on; what they remember shouldn't
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

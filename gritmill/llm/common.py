@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; texts may be very long, so batches are kept small.
 BATCH_ROWS = 256
-#: Bytes of text that the numpy kernels take at a time (a longer text is taken alone, whole).
-BLOCK_BYTES = 1 << 20
+#: Bytes of text that the numpy kernels take at a time; they take longer texts in pieces.
+BLOCK_BYTES = 1 << 18
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -142,6 +142,14 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES):
         first = last
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), elementwise."""
     x = x ^ (x >> np.uint64(30))

@@ -17,16 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffer_of, crc_of, texts, tune
-from .sampling import labelled_sample
+from .common import BLOCK_BYTES, blocks, buffer_of, crc_of, free_name, texts, tune
+from .sampling import sample_rows
 
 UNKNOWN = "und"
 BUCKETS_LOG2 = 15
 DIM = 16
 SIZES = (2, 3, 4)
-#: Training rows of each language at most, and their size in bytes.
+#: Training rows of each language at most.
 PER_LANGUAGE = 800
-TRAIN_TEXT_BYTES = 40_000
 
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
@@ -51,7 +50,21 @@ def _padded(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(data, offsets, table):
-    """Per row: the sum of the table's rows over its n-grams, and their number."""
+    """Per row: the sum of the table's rows over its n-grams, and their number. A row longer than a block is taken in
+    pieces that overlap by an n-gram."""
+    rows = len(offsets) - 1
+    if rows == 1 and len(data) > BLOCK_BYTES:
+        out, count = np.zeros((1, table.shape[1])), np.zeros(1)
+        for p in range(0, len(data), BLOCK_BYTES):
+            part = data[p : p + BLOCK_BYTES + max(SIZES) - 1]
+            more, n = _block_sums(part, np.array([0, len(part)]), table, BLOCK_BYTES)
+            out, count = out + more, count + n
+        return out, count
+    return _block_sums(data, offsets, table, len(data))
+
+
+def _block_sums(data, offsets, table, limit):
+    """As _sums, of the n-grams that start before ``limit``."""
     rows = len(offsets) - 1
     out, count = np.zeros((rows, table.shape[1])), np.zeros(rows)
     for ids, valid in ngram_ids(data, int(np.log2(len(table) - 1))):
@@ -62,6 +75,7 @@ def _sums(data, offsets, table):
         np.add.at(mask, np.minimum(offsets[:-1], len(ids)), 1)
         np.add.at(mask, np.minimum(owner_end, len(ids)), -1)
         good = valid & (np.cumsum(mask[:-1]) > 0)
+        good[limit:] = False
         ids = np.where(good, ids, len(table) - 1)
         at = np.minimum(offsets[:-1], len(ids) - 1)
         out += np.add.reduceat(table[ids], at, axis=0, dtype=np.float64)
@@ -166,12 +180,10 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 12, batch: i
 
 
 def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE, learn=None) -> LanguageModel:
-    """Trains on a sample of at most about ``per_language`` documents of each language; rows whose crc32(doc_id as
-    text) mod 4 is 2 are never learned from. ``learn`` may replace that condition on doc_id."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text"), F.col("lang").alias("label"))
-    rows = rows.where(crc_of(F.col("id")) % 4 != 2 if learn is None else learn).where("text is not null and label is not null")
-    sample = labelled_sample(rows.select("id", "text"), rows.select("id", "label"), per_language, TRAIN_TEXT_BYTES, "language")
-    return train(sample)
+    """Trains on a sample of at most about ``per_language`` documents of each language, each row with its own label; rows
+    whose crc32(doc_id as text) mod 4 is 2 are never learned from. ``learn`` may replace that condition on id."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label"))
+    return train(sample_rows(rows.where(crc_of(F.col("id")) % 4 != 2 if learn is None else learn), per_language, "language"))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", columns: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -192,7 +204,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", colu
         names = np.where(lettered, np.array(m.languages, dtype=object)[best], UNKNOWN)
         return pd.DataFrame({"lang_pred": names, "score": score, "rejected": ~lettered | (score < m.threshold)})
 
-    out = docs.withColumn("__language", predict(F.col(text_col)))
+    held = free_name(docs.withColumns({c: F.lit(0) for c in columns}), "language")
+    out = docs.withColumn(held, predict(F.col(text_col)))
     for name, field in zip(columns, ("lang_pred", "score", "rejected")):
-        out = out.withColumn(name, F.col("__language")[field])
-    return out.drop("__language")
+        out = out.withColumn(name, F.col(held)[field])
+    return out.drop(held)

@@ -350,10 +350,13 @@ def _links(open_: DataFrame, sets: DataFrame, threshold: float, ws: Workspace) -
         reps = ws.cut(_representatives(open_, q, turn), "reps")
         # a pair is met in the first bucket only that the member shares with those its representative has
         once = F.array_min(F.array_intersect("keys", "rep_keys")) == F.col("key")
-        met = open_.join(reps, "key").where((F.col("node") != F.col("rep")) & (F.col("comp") != F.col("rep_comp")) & _may_link(threshold) & once)
-        pairs = met.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
-        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+        met = open_.repartition("key", "node").join(reps, "key").where((F.col("node") != F.col("rep")) & (F.col("comp") != F.col("rep_comp")) & _may_link(threshold) & once)
+        pairs = ws.cut(met.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "pairs")
+        # the sets of these pairs alone are moved: a written table's size is known, so a small one is broadcast to the scan
+        need = ws.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need")
+        own = ws.cut(sets.select("node", "items").join(need, "node", "left_semi"), "compared")
+        left = pairs.join(own.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+        both = left.join(own.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         inter = F.size(F.array_intersect("x", "y"))
         seen = ws.cut(both.select("a", "b", (inter / (F.size("x") + F.size("y") - inter)).alias("s")), "seen")
         close = seen.where(F.col("s") >= threshold).select("a", "b")
@@ -373,14 +376,15 @@ def _links(open_: DataFrame, sets: DataFrame, threshold: float, ws: Workspace) -
         # without a comparison (in one component already) a member may be on either side
         near, far = F.coalesce("s", "most") >= 2 * threshold - 1, F.coalesce(F.col("s") < threshold, F.lit(True))
         sides = F.array_compact(F.array(F.when(near, F.lit(0)), F.when(far, F.lit(1))))
-        split = rest.select("node", F.explode(sides).alias("side"), "key", *KNOWN).select("node", F.xxhash64("key", "side").alias("key"), *KNOWN)
+        # buckets with one main are one from here on: what meets in any of them meets there, once
+        split = rest.select("node", "rep", F.explode(sides).alias("side"), *KNOWN).select("node", F.xxhash64("rep", "side").alias("key"), *KNOWN).distinct()
         if found is None:
             labelled = split.withColumn("comp", F.col("node"))
         else:
             labelled = split.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         labelled = ws.cut(labelled, "labelled")
         open_ = ws.cut(_undecided(labelled, threshold), "open")
-        ws.drop(lists, reps, seen, labelled)
+        ws.drop(lists, reps, pairs, need, own, seen, labelled)
         q, turn = MORE[0] if q == 1 else MORE[1] * q, turn + 1
     return found if found is not None else empty.toDF("node", "component")
 

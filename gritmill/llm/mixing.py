@@ -131,7 +131,7 @@ def mix(
 
     A document belongs to the source in ``source_col``, or to all those in the array ``sources_col`` (repeats count
     once; null is a source of its own, an empty array none: nothing is taken of it). ``taken`` is copies x size, at most
-    ``copies`` times the size. source_size and target are those of source_col. Rows of one id are taken together, those
+    ``copies`` times the size. source_size (words of all members of a source) and target are those of source_col's. Rows of one id are taken together, those
     with a null id too. Null and empty texts have size 0. Runs agree, as only hashes of ids decide. Only one row per
     source and per pattern reaches the driver. An empty table gives an empty one.
     """
@@ -143,11 +143,11 @@ def mix(
     rows = docs.withColumn("__size", size).withColumn("__own", own).withColumn("__in", member).withColumn("__u", seeded(F.col(id_col), seed)).withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     base = ws.cut(rows.select("__own", "__in", "__u", "__id", "__size"), "sizes")
 
-    sums = {r[0]: int(r[1]) for r in base.groupBy("__own").agg(F.sum("__size")).collect()}
     capacity = {tuple(r[0]): int(r[1]) for r in base.groupBy("__in").agg(F.sum("__size")).collect()}
-    for p in capacity:
+    sums: dict = {r[0]: 0 for r in base.select("__own").distinct().collect()}
+    for p, words in capacity.items():  # a source's size is that of all documents that belong to it
         for s in p:
-            sums.setdefault(s, 0)
+            sums[s] = sums.get(s, 0) + words
     target = quotas(sums, weights, share, copies)
     flow = route(capacity, target, copies)
     plan = []

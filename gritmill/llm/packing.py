@@ -160,17 +160,19 @@ def pack(rows: DataFrame, root: str | None = None, id_col: str = "doc_id", data_
     ws = Workspace(spark, "packing")
     width = np.dtype(dtype).itemsize
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")).where(F.octet_length("data") > 0)
+    plain = ws.cut(plain, "ids")  # ids may come from a Python stage, which should run once
     step = length * width
     total = plain.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
     cut = plain.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.octet_length("data") - 1) / step))))
     cut = cut.select("id", "piece", F.substring(F.col("data"), (F.col("piece") * step + 1).cast("int"), F.lit(step)).alias("data"))
     cut = cut.withColumn("group", F.pmod(seeded(F.concat_ws(":", F.col("id").cast("string"), F.col("piece").cast("string"), F.crc32("data").cast("string")), seed), F.lit(groups)))
-    tasks = min(groups, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = min(groups, 100_000)  # one matrix a task, as far as the scheduler goes
     dealt = cut.select("group", "id", "piece", "data").repartition(tasks, "group").sortWithinPartitions("group", "id", "piece", "data")
     report = ws.cut(dealt.mapInArrow(_pack(root, dtype, length, pad), _REPORT_SQL), "report")
     report.select("temporary", "file").distinct().mapInArrow(_commit(root), "temporary string, file string").write.parquet(f"{root}/manifest")
     remove(spark, f"{root}/_temporary")
+    ws.drop(plain)
     return report.drop("temporary")
 
 

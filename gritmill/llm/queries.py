@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, caps, chunking, language, minhash, mixing, packing, quality, toxicity, warc
-from .common import crc_of
+from .common import Workspace, crc_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = crc_of(F.col("id")) % 5 != 0
     model, prior = quality.fit_quality(docs, _table(spark, sf_dir, "labels"), learn=held)
-    out = quality.classify(docs, model, prior)
+    ws = Workspace(spark, "quality")
+    scored = ws.cut(quality.with_evidence(docs, model).select("doc_id", "evidence"), "scored")
+    out = quality.judge(scored, ws, prior)
     return out.select("doc_id", (crc_of(F.col("doc_id")) % 5 == 0).alias("held_out"), "evidence", "site_log_odds", "score", "rejected")
 
 
@@ -59,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mixing.mix(docs)
     m = F.col("__mix")
-    return out.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), F.round(m["target"], 3).alias("target"), m["taken"].alias("taken"))
+    return out.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +71,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-level ids: each UTF-8 byte is an id, 255 pads."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
-    return packing.pack(docs)
+    """The token ids of op9, as unsigned 16-bit integers, packed into rows."""
+    docs = bpe.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack(docs, dtype="<u2", pad=0xFFFF)
 
 
 QUERIES = {
@@ -118,7 +120,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT d.*, p.source_size, p.target, p.whole, CASE WHEN p.source_size > 0 THEN p.words - p.whole * p.source_size ELSE 0 END AS more,
                      sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
               FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-        SELECT doc_id, size, source_size, round(target, 3) AS target,
+        SELECT doc_id, size, source_size, target,
                CAST(size * (whole + CASE WHEN more > 0 AND (upto <= more OR (upto - size <= more AND upto - more < more - (upto - size))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM r
     """,

@@ -5,31 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import seeded
+#: Bytes of text that a sample has at most, about, and rows.
+SAMPLE_BYTES = 32 << 20
+SAMPLE_ROWS = 12_000
+#: Windows that stand for a text beyond its share of SAMPLE_BYTES, spread evenly over the whole text.
+WINDOWS = 8
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, text_bytes: int, seed: str) -> list[tuple[str, str]]:
-    """At most about ``bound`` texts of each label, chosen by a seeded hash of the id: [(text, label)], in a fixed order.
+def spread(text: Column, limit: int) -> Column:
+    """The text, or if it has more than ``limit`` characters, WINDOWS pieces of whole words spread evenly over it."""
+    size = max(1, limit // WINDOWS)
+    parts = []
+    for k in range(WINDOWS):
+        at = (F.lit(1) + F.floor((F.length(text) - size) * k / (WINDOWS - 1))).cast("int")
+        part = F.substring(text, at, F.lit(size))
+        if k:
+            part = F.regexp_replace(part, r"^\S*\s+", "")
+        parts.append(F.regexp_replace(part, r"\s+\S*$", "") if k < WINDOWS - 1 else part)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat_ws(" ", *parts))
 
-    ``docs`` has (id, text), ``labels`` (id, label). Sizes are counted first, so that the hash bound of each label
-    gives about ``bound`` rows; texts over ``text_bytes`` bytes are not taken for training. The chosen ids are few
-    (``bound`` times the number of labels), so the join with the texts broadcasts them whatever the input's size.
-    """
-    known = labels.where("id is not null and label is not null").select("id", "label")
+
+def sample_rows(rows: DataFrame, bound: int, seed: str) -> list[tuple[str, str]]:
+    """At most about ``bound`` distinct rows of each label of ``rows`` (id, text, label): [(text, label)], in a fixed order.
+
+    Labels are counted first; rows are drawn by a seeded hash of id and text, so rows that repeat an id are drawn one by
+    one, and equal rows count once. With many labels each gets fewer rows, so that SAMPLE_ROWS bounds them all; texts
+    longer than their share of SAMPLE_BYTES take part by windows spread over the whole text."""
+    rows = rows.where("text is not null and label is not null").select("id", "text", "label")
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(SAMPLE_ROWS).collect()}
+    if not sizes:
+        return []
+    bound = max(1, min(bound, SAMPLE_ROWS // len(sizes)))
+    limit = max(256, SAMPLE_BYTES // sum(min(n, bound) for n in sizes.values()))
+    part = F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rates = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, min(1.0, bound / n))])
+    drawn = rows.where(part < F.element_at(rates, F.col("label"))).select("id", "label", spread(F.col("text"), limit).alias("text"))
+    found = [tuple(r) for r in drawn.distinct().collect()]
+    found.sort(key=lambda r: (str(r[0]), str(r[1]), r[2]))
+    return [(text, label) for _, label, text in found]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: str) -> list[tuple[str, str]]:
+    """As :func:`sample_rows` of ``docs`` (id, text) with the labels in ``labels`` (id, label). Ids are drawn first, twice
+    as many as rows are wanted, so that what the join broadcasts is bounded whatever the input's size; a label holds for
+    every row of its id."""
+    known = labels.where("id is not null and label is not null").select("id", "label").distinct()
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
-    part = seeded(F.col("id"), seed) / F.lit(float(1 << 60))
-    take: Column = F.lit(False)
-    for label, n in sizes.items():
-        take = take | ((F.col("label") == F.lit(label)) & (part < min(1.0, bound / n)))
-    chosen = known.where(take).distinct()
-    rows = (
-        docs.where(F.octet_length("text") <= text_bytes)
-        .join(F.broadcast(chosen), "id")
-        .select("id", "label", "text")
-        .distinct()
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["id"], str(r["label"]), r["text"]))
-    return [(r["text"], r["label"]) for r in rows]
+    part = F.pmod(F.xxhash64(F.lit(f"{seed}:id"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rates = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, min(1.0, 2 * bound / n))])
+    chosen = known.where(part < F.element_at(rates, F.col("label")))
+    return sample_rows(docs.join(F.broadcast(chosen), "id").select("id", "text", "label"), bound, seed)

@@ -1,11 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its byte n-grams (3 to 5 bytes, with the white space beside the word as its ends), each hashed to
-an embedding; unseen misspellings share n-grams with words that were learned. The embeddings of ``WINDOW`` consecutive
-words are averaged and a linear softmax scores the window; a document counts as its worst window, so a few words stand
-out in a long text as in a short one. Training is joint and by turns: windows are scored, the worst one of each sampled
-document takes the document's label (beside random windows of clean documents), and embeddings and softmax are updated
-by SGD. The worst window's score becomes a probability by a logistic fit on documents kept back.
+A word is the bag of its character n-grams (3 to 5 characters, with the white space beside the word as its ends), each
+hashed to an embedding; unseen misspellings share n-grams with words that were learned. The embeddings of ``WINDOW``
+consecutive words are averaged and a linear softmax scores the window; a document counts as its worst window, so a few
+words stand out in a long text as in a short one. Training is joint and by turns: windows are scored, the worst one of
+each sampled document takes the document's label (beside random windows of clean documents), and embeddings and softmax,
+both of random beginnings, are updated by SGD with steps scaled alike (Adagrad). The worst window's score becomes a
+probability by a logistic fit on documents kept back.
 """
 
 from __future__ import annotations
@@ -18,28 +19,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffer_of, crc_of, texts, tune
+from .common import BLOCK_BYTES, blocks, buffer_of, crc_of, free_name, texts, tune
 from .sampling import labelled_sample
 
 BITS = 18
 DIM = 8
 WINDOW = 4
-#: Training rows of each label at most, and their size in bytes.
+#: Training rows of each label at most.
 PER_LABEL = 2500
-TRAIN_TEXT_BYTES = 40_000
+#: Step of Adagrad, for embeddings and softmax alike.
+RATE = 0.3
+#: Windows of a step.
+BATCH = 192
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[*range(33), *b".,;:!?()[]{}\"'`|<>/\\"]] = 32
 
 
 def _padded(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts, each between spaces, as code points, and the offsets of the texts."""
     data, offsets = buffer_of(pc.binary_join_element_wise(" ", pc.utf8_lower(array), " ", ""))
-    return _FOLD[data], offsets
+    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)))
+    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(chars < 256, _FOLD[np.minimum(chars, 255)], chars).astype(np.uint32), lead[offsets]
 
 
 def word_ngrams(data: np.ndarray, bits: int = BITS):
-    """For n of 3 to 5: (bucket, valid) of the n-gram at each byte; only its ends may be white space."""
-    h = data.astype(np.uint32)
+    """For n of 3 to 5: (bucket, valid) of the n-gram at each character; only its ends may be white space."""
+    h = data
     solid = data != 32
     ok = None
     for n in range(2, 6):
@@ -53,7 +60,22 @@ def word_ngrams(data: np.ndarray, bits: int = BITS):
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray):
-    """Mean weight of the n-grams of each word: (word's mean, its row, its first byte), in order."""
+    """Mean weight of the n-grams of each word: (word's mean, its row, its first character), in order. A row longer than
+    a block is taken in pieces that begin and end at white space."""
+    if len(offsets) == 2 and len(data) > BLOCK_BYTES:
+        gaps, found, at = np.flatnonzero(data == 32), [], 0
+        while at < len(data) - 1:
+            k = np.searchsorted(gaps, min(at + BLOCK_BYTES, len(data) - 1))
+            end = int(gaps[min(k, len(gaps) - 1)])
+            end = end if end > at else len(data) - 1
+            value, row, start = _block_words(data[at : end + 1], np.array([0, end + 1 - at]), weights)
+            found.append((value, row, start + at))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*found))
+    return _block_words(data, offsets, weights)
+
+
+def _block_words(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray):
     total, count = np.zeros(len(data)), np.zeros(len(data), np.int32)
     for ids, ok in word_ngrams(data, int(np.log2(len(weights)))):
         total[: len(ids)] += weights[ids] * ok
@@ -95,6 +117,7 @@ class ToxicityModel:
     bias: float
     slope: float
     shift: float
+    embeddings: np.ndarray | None = None  # for inspection; scores need the weights alone
 
     def margins(self, array: pa.Array) -> np.ndarray:
         found = [np.zeros(0)]
@@ -137,11 +160,10 @@ def train(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6, bits: int
     rng = np.random.default_rng(seed)
     data, offsets = _padded(pa.array([t for t, _ in rows]))
     held = np.arange(len(rows)) % 5 == 4
-    e = rng.normal(0, 0.05, (size, DIM)).astype(np.float32)
-    w = np.zeros((DIM, 2), np.float32)
-    w[:, 0], w[:, 1] = -0.3, 0.3
-    e -= e.mean(axis=1, keepdims=True)
+    e = rng.normal(0, 0.1, (size, DIM)).astype(np.float32)
+    w = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
+    e_sum, w_sum = np.zeros(size, np.float32), np.zeros(w.shape, np.float32)
 
     def measured(weights):
         """words_of over the sample, block by block, so that memory follows the block."""
@@ -185,11 +207,10 @@ def train(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6, bits: int
                 pool[k] = bag(first[k], end[k])
             marks[k] = int(y[at[k]])
         keys = np.array(sorted(pool))
-        for epoch in range(3 if turn else 2):
+        for _ in range(3 if turn else 2):
             order = rng.permutation(keys)
-            step = 20.0 / (1 + 0.5 * turn)
-            for i in range(0, len(order), 64):
-                part = order[i : i + 64]
+            for i in range(0, len(order), BATCH):
+                part = order[i : i + BATCH]
                 bags = [pool[k] for k in part]
                 ids = np.concatenate(bags)
                 n = np.array([len(b) for b in bags])
@@ -199,11 +220,17 @@ def train(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6, bits: int
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(part)), [marks[k] for k in part]] -= 1
-                back = (p @ w.T) / n[:, None]
-                w -= 0.002 * (hidden.T @ p)
-                bias -= 0.002 * p.sum(axis=0)
-                np.add.at(e, ids, -step * np.repeat(back, n, axis=0).astype(np.float32))
-    model = ToxicityModel((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0)
+                back = np.repeat((p @ w.T) / n[:, None], n, axis=0).astype(np.float32)
+                grad = hidden.T @ p
+                w_sum += grad * grad
+                w -= RATE * grad / np.sqrt(w_sum + 1e-8)
+                bias -= 0.1 * RATE * p.sum(axis=0) / len(part)
+                by = np.argsort(ids)
+                edge = np.flatnonzero(np.diff(ids[by].astype(np.int64), prepend=-1))
+                used, g = ids[by[edge]], np.add.reduceat(back[by], edge, axis=0)
+                e_sum[used] += (g * g).mean(axis=1)
+                e[used] -= RATE * g / np.sqrt(e_sum[used] + 1e-10)[:, None]
+    model = ToxicityModel((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0, e)
     back = np.flatnonzero(held) if len(set(y[held].tolist())) == 2 else np.arange(len(rows))
     margin = np.maximum(model.margins(pa.array([rows[k][0] for k in back])), -50)
     model.slope, model.shift = _logistic(margin, y[back])
@@ -216,7 +243,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"))
     known = known.where(crc_of(F.col("id")) % 5 != 0 if learn is None else learn).where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     plain = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text")
-    return train(labelled_sample(plain, known, per_label, TRAIN_TEXT_BYTES, "toxicity"))
+    return dataclasses.replace(train(labelled_sample(plain, known, per_label, "toxicity")), embeddings=None)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", columns: tuple[str, str] = ("score", "predicted")) -> DataFrame:
@@ -231,5 +258,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
         return pd.Series(cast.value.scores(texts(pa.Array.from_pandas(text, type=pa.string()))))
 
-    out = docs.withColumn("__toxicity", score(F.col(text_col)))
-    return out.withColumn(columns[0], F.col("__toxicity")).withColumn(columns[1], (F.col("__toxicity") >= 0.5).cast("int")).drop("__toxicity")
+    held = free_name(docs.withColumns({c: F.lit(0) for c in columns}), "toxicity")
+    out = docs.withColumn(held, score(F.col(text_col)))
+    return out.withColumn(columns[0], F.col(held)).withColumn(columns[1], (F.col(held) >= 0.5).cast("int")).drop(held)

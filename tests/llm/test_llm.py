@@ -1,12 +1,13 @@
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
 import numpy as np
 import pytest
 
-from gritmill.llm import bpe, caps, chunking, language, minhash, mixing, packing, quality, toxicity, warc
+from gritmill.llm import bpe, caps, chunking, language, minhash, mixing, packing, quality, sampling, toxicity, warc
 from gritmill.llm.components import components
 from gritmill.llm.common import Workspace
 
@@ -245,6 +246,47 @@ def test_packing(spark, docs):
     assert packing.pack(data.limit(0)).count() == 0
 
 
+def test_packing_of_token_ids(spark, docs):
+    from gritmill.llm.common import scratch
+
+    root = scratch(spark, "packed")
+    report = packing.pack(bpe.pack(docs.select("doc_id", "text")), root, dtype="<u2", length=128, pad=0xFFFF)
+    back = collections.defaultdict(dict)
+    for r in packing.unpack(spark, root, report, dtype="<u2").collect():
+        back[r.id][r.piece] = np.frombuffer(bytes(r.data), "<u2").astype("<u4")
+    want = {r.doc_id: r.ids for r in bpe.encode(docs).collect() if r.ids}
+    assert {i: np.concatenate([p[k] for k in sorted(p)]).tolist() for i, p in back.items()} == {i: list(x) for i, x in want.items()}
+
+
+def test_best_fit_against_scanning_all_rows():
+    rng = np.random.default_rng(11)
+    for _ in range(30):
+        lengths, length = rng.integers(1, 50, 60).tolist(), 64
+        open_, want = [], [0] * len(lengths)
+        for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+            fits = [room for room in open_ if room >= lengths[k]]
+            if fits:
+                open_[open_.index(min(fits))] -= lengths[k]
+            else:
+                open_.append(length - lengths[k])
+        rows = packing.best_fit(lengths, length)
+        left = collections.Counter(length - sum(n for n, r in zip(lengths, rows) if r == row) for row in set(rows))
+        assert left == collections.Counter(open_)
+
+
+def test_digests_equal_tiktoken(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    tokens = bpe.read_ranks(P.path(bpe.VOCABULARY))
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in bpe.digest(table, ids=True).collect()}
+    for i, t in table.collect():
+        ids = np.array(e.encode_ordinary(t or ""), "<u4").tobytes()
+        assert (got[i].n_tokens, got[i].ids_sha256, bytes(got[i].ids)) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), ids)
+
+
 def test_best_fit():
     rows = packing.best_fit([6, 5, 4, 3, 2], 10)
     assert rows[0] == rows[2] and rows[1] == rows[3] == rows[4] and max(rows) == 1
@@ -292,6 +334,14 @@ def test_toxicity_finds_misspellings(spark, docs, clash):
     assert toxicity.train([("a", 0)]).scores(pa.array(["b", ""])).max() < 0.5
 
 
+def test_embeddings_have_more_than_one_direction():
+    rng = np.random.default_rng(6)
+    rows = [(" ".join([_prose(rng, ["th", "ing", "er"], 20), *(["vermin"] * (k % 2))]), k % 2) for k in range(200)]
+    m = toxicity.train(rows, turns=3, bits=12)
+    values = np.linalg.svd(m.embeddings - m.embeddings.mean(axis=0), compute_uv=False)
+    assert values[1] > 0.05 * values[0] and values[4] > 0.01 * values[0]
+
+
 def test_quality(spark, docs, clash):
     rng = np.random.default_rng(7)
     rows = [(_prose(rng, ["th", "ing"], 50), 1) for _ in range(80)] + [(_prose(rng, ["th", "$$$", "!!"], 50), 0) for _ in range(40)]
@@ -299,3 +349,113 @@ def test_quality(spark, docs, clash):
     out = {str(r.doc_id): r for r in quality.classify(docs, m, 0.8).collect()}
     assert len(out) == 8 and all(0 <= r.score <= 1 for r in out.values())
     assert quality.classify(docs.limit(0), m, 0.8).count() == 0 and quality.classify(clash, m, 0.8).count() == len(DOCS)
+    words_only = quality.train([(f"alpha {w} common text here", 1) for w in "abcdefgh" * 10] + [(f"omega {w} common text here", 0) for w in "abcdefgh" * 10], epochs=200)
+    import pyarrow as pa
+
+    good, bad = words_only.evidence(pa.array(["common alpha text", "common omega text"]))
+    assert good > 1 > -1 > bad
+
+
+def test_site_rates_against_plain_python(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"h{int(x)}", f"p{int(y)}", float(e)) for i, (x, y, e) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 3, 300), rng.normal(0, 3, 300)))]
+    scored = spark.createDataFrame([(i, (e, h, p)) for i, h, p, e in rows], "doc_id long, evidence struct<e: double, host: string, path: string>")
+    prior = 0.7
+    got = {r.doc_id: (r.site_log_odds, r.score) for r in quality.judge(scored, Workspace(spark, "t"), prior).collect()}
+    own = {i: 1 / (1 + np.exp(-(e + np.log(prior / (1 - prior))))) for i, _, _, e in rows}
+    group = lambda key: {k: [i for i, h, p, _ in rows if key(h, p) == k] for k in {key(h, p) for _, h, p, _ in rows}}
+    hosts, paths = group(lambda h, p: h), group(lambda h, p: (h, p))
+
+    def strength(groups, mu):
+        n = np.array([len(x) for x in groups.values()], float)
+        r = np.array([sum(own[i] for i in x) / len(x) for x in groups.values()])
+        mean = np.array([mu(k) for k in groups])
+        var = (mean * (1 - mean) * n).sum() / n.sum()
+        between = ((n * (r - mean) ** 2).sum() - (len(n) - 1) * var) / (n.sum() - (n * n).sum() / n.sum())
+        return min(max(var / between - 1 if between > 1e-9 else 1e4, 1.0), 1e4)
+
+    mu = (sum(own.values()) + 1) / (len(rows) + 2)
+    a = strength(hosts, lambda k: mu)
+    b = strength(paths, lambda k: (sum(own[i] for i in hosts[k[0]]) + mu * a) / (len(hosts[k[0]]) + a))
+    for i, h, p, e in rows:
+        other_h, other_p = [j for j in hosts[h] if j != i], [j for j in paths[h, p] if j != i]
+        host = (sum(own[j] for j in other_h) + mu * a) / (len(other_h) + a)
+        rate = (sum(own[j] for j in other_p) + host * b) / (len(other_p) + b)
+        site = np.clip(np.log(rate / (1 - rate)), -4, 4)
+        assert abs(got[i][0] - site) < 1e-9 and abs(got[i][1] - 1 / (1 + np.exp(-(e + site)))) < 1e-9
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    text = _prose(rng, ["th", "ing", "é", "ß", "日本"], 3000)
+    array = pa.array([text])
+    lang = language.train([(_prose(rng, ["th", "ing"], 30), "en") for _ in range(20)] + [(_prose(rng, ["ß", "é"], 30), "de") for _ in range(20)], epochs=2)
+    tox = toxicity.train([("a fine day it is " + w, k) for k, w in enumerate(["today", "vermin"] * 20) for k in [k % 2]], turns=2, bits=12)
+    whole = lang.probabilities(array)[0], tox.margins(array), quality.features(array)
+    for module in (language, toxicity, quality):
+        monkeypatch.setattr(module, "BLOCK_BYTES", 501)
+    again = lang.probabilities(array)[0], tox.margins(array), quality.features(array)
+    assert all(np.allclose(x, y) for x, y in zip(whole, again))
+    import public_tokenizers as P
+
+    codec = bpe.Codec(bpe.serialise(bpe.read_ranks(P.path(bpe.VOCABULARY))), P.PATTERN)
+    text = "It's  fine, a b  c1 d 2 e\n f. " * 400 + text
+    one = codec.encode([text])
+    monkeypatch.setattr(bpe, "PIECE_CHARS", 97)
+    assert codec.encode([text, "", "a b", text]) == [one[0], b"", *codec.encode(["a b"]), one[0]] and len(codec.pieces(text)) > 50
+
+
+def test_samples_are_bounded_and_keep_a_rows_own_label(spark):
+    long = " ".join(f"w{i}" for i in range(50_000))
+    df = spark.createDataFrame([(1, "en text", "en"), (1, "de text", "de"), (2, long, "en"), (2, long, "en"), (3, None, "en"), (4, "x", None)], "id long, text string, label string")
+    got = sampling.sample_rows(df, 10, "s")
+    assert {(t, k) for t, k in got if t != long} == {("en text", "en"), ("de text", "de")} and len(got) == 3
+    import unittest.mock
+
+    with unittest.mock.patch.object(sampling, "SAMPLE_BYTES", 3000):
+        pieces = next(t for t, _ in sampling.sample_rows(df, 10, "s") if len(t) > 20).split()
+    assert len(" ".join(pieces)) <= 1100 and set(pieces) <= set(long.split()) and pieces[0] == "w0" and pieces[-1] == "w49999"
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "id long, label int")
+    assert sorted(k for _, k in sampling.labelled_sample(df.select("id", "text"), labels, 10, "s")) == [0, 1, 1]
+    assert sampling.sample_rows(df.limit(0), 10, "s") == []
+
+
+def test_flow_of_overlapping_sources_against_brute_force(spark):
+    capacity, quota = {("a", "b"): 2, ("b", "c"): 2, ("a",): 1, ("c",): 1}, {"a": 3, "b": 2, "c": 4}
+    flow = mixing.route(capacity, quota)
+    arcs = [(p, s) for p in capacity for s in p]
+
+    def cost(f):
+        out = 0
+        for p, words in capacity.items():
+            sent = sum(n for (q, _), n in f.items() if q == p)
+            if sent > 2 * words:
+                return None
+            out += sent + 2 * max(0, sent - words)
+        return out if all(sum(n for (_, t), n in f.items() if t == s) <= q for s, q in quota.items()) else None
+
+    best = max((sum(v), -c) for v in itertools.product(range(5), repeat=len(arcs)) if (c := cost(dict(zip(arcs, v)))) is not None)
+    mine = {(p, s): n for p, to in flow.items() for s, n in to.items()}
+    assert (sum(mine.values()), -cost(mine)) == best
+
+
+def test_mix_of_overlapping_sources(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 9))), "a", [["a"], ["a", "b"], ["b", "c"], ["c"]][int(rng.integers(4))]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, sources array<string>")
+    got = mixing.mix(df, sources_col="sources").collect()
+    words = {i: len(t.split()) for i, t, *_ in rows}
+    sizes = {s: sum(words[i] for i, _, _, m in rows if s in m) for s in "abc"}
+    target = mixing.quotas(sizes)
+    assert all(r["__mix"].taken in (0, words[r.doc_id], 2 * words[r.doc_id]) for r in got)
+    capacity = collections.Counter()
+    for i, _, _, m in rows:
+        capacity[tuple(m)] += words[i]
+    flow = mixing.route(dict(capacity), target)
+    taken = collections.Counter()
+    for r in got:
+        taken[tuple(r.sources)] += r["__mix"].taken
+    assert all(abs(taken[p] - sum(flow[p].values())) <= 10 for p in capacity)
+    assert abs(sum(taken.values()) - min(sum(target.values()), 2 * sum(words.values()))) <= 40
