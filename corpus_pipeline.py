@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gritmill.llm import bpe, language, minhash, mixing, quality
-from gritmill.llm.common import Workspace
+from gritmill.llm.common import Workspace, free_name
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with calibrated confidence; the others go."""
-    marked = ("__lang_pred", "__lang_score", "__lang_rejected")
+    marked = tuple(free_name(docs, name) for name in ("lang_pred", "lang_score", "lang_rejected"))
     out = language.identify(docs, language.fit_language(docs), columns=marked)
-    return out.where("not __lang_rejected").drop(*marked)
+    return out.where(~out[marked[2]]).drop(*marked)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes, a row per row."""
-    return bpe.digest(docs)
+    """The packed token ids, their number, and digests of the ids and of the decoded bytes, a row per row."""
+    return bpe.digest(docs, ids=True)
 
 
 STAGES = [
