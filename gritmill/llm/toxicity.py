@@ -37,11 +37,14 @@ _FOLD[[*range(33), *b".,;:!?()[]{}\"'`|<>/\\"]] = 32
 
 
 def _padded(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The characters of all texts, each between spaces, as code points, and the offsets of the texts."""
+    """The bytes of all texts, each between spaces, white space and marks as spaces, and the offsets of the texts."""
     data, offsets = buffer_of(pc.binary_join_element_wise(" ", pc.utf8_lower(array), " ", ""))
-    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)))
-    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(chars < 256, _FOLD[np.minimum(chars, 255)], chars).astype(np.uint32), lead[offsets]
+    return _FOLD[data], offsets
+
+
+def _chars(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and the place of the first byte of each."""
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4"), np.flatnonzero((data & 0xC0) != 0x80)
 
 
 def word_ngrams(data: np.ndarray, bits: int = BITS):
@@ -60,8 +63,8 @@ def word_ngrams(data: np.ndarray, bits: int = BITS):
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray):
-    """Mean weight of the n-grams of each word: (word's mean, its row, its first character), in order. A row longer than
-    a block is taken in pieces that begin and end at white space."""
+    """Mean weight of the n-grams of each word: (word's mean, its row, its first byte), in order. A row longer than a
+    block is taken in pieces that begin and end at white space."""
     if len(offsets) == 2 and len(data) > BLOCK_BYTES:
         gaps, found, at = np.flatnonzero(data == 32), [], 0
         while at < len(data) - 1:
@@ -76,16 +79,17 @@ def words_of(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray):
 
 
 def _block_words(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray):
-    total, count = np.zeros(len(data)), np.zeros(len(data), np.int32)
-    for ids, ok in word_ngrams(data, int(np.log2(len(weights)))):
+    chars, place = _chars(data)
+    total, count = np.zeros(len(chars)), np.zeros(len(chars), np.int32)
+    for ids, ok in word_ngrams(chars, int(np.log2(len(weights)))):
         total[: len(ids)] += weights[ids] * ok
         count[: len(ids)] += ok
-    start = np.flatnonzero(data == 32)
+    start = np.flatnonzero(chars == 32)
     if not len(start):
         return np.zeros(0), np.zeros(0, np.int64), start
     total, count = np.add.reduceat(total, start), np.add.reduceat(count, start)
     some = count > 0
-    start = start[some]
+    start = place[start[some]]
     return total[some] / count[some], np.searchsorted(offsets, start, "right") - 1, start
 
 
@@ -149,7 +153,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6, bits: int = BITS) -> ToxicityModel:
+def train(rows: list[tuple[str, int]], seed: int = 11, turns: int = 4, bits: int = BITS) -> ToxicityModel:
     """Fits embeddings and softmax on (text, label) rows; every fifth row is kept back for the logistic fit. With rows
     of one label only, all scores are that label's rate."""
     size = 1 << bits
@@ -179,7 +183,7 @@ def train(rows: list[tuple[str, int]], seed: int = 11, turns: int = 6, bits: int
 
     def bag(first, end):
         a, b = start[first], stop[end - 1]
-        return np.concatenate([ids[ok] for ids, ok in word_ngrams(data[a : b + 1], bits)])
+        return np.concatenate([ids[ok] for ids, ok in word_ngrams(_chars(data[a : b + 1])[0], bits)])
 
     pool: dict[int, np.ndarray] = {}
     marks: dict[int, int] = {}
