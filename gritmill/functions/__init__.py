@@ -43,8 +43,10 @@ def version_key(version: Column) -> Column:
     """Dotted numeric versions as arrays that compare in version order; missing parts are 0, a leading v and anything
     after the first - or + are ignored."""
     core = F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1)
-    parts = F.transform(F.split(core, r"\."), lambda x: F.coalesce(F.expr("try_cast(0 as bigint)") + x.try_cast("long"), F.lit(0)))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("long"), 4)), 1, 4)
+    parts = F.transform(F.split(core, r"\."), lambda x: F.coalesce(x.try_cast("long"), F.lit(0)))
+    # missing parts are 0 and zeros at the end say nothing, so arrays of any length compare
+    used = F.array_max(F.transform(parts, lambda x, i: F.when(x > 0, i + 1).otherwise(0)))
+    return F.slice(parts, 1, used)
 
 
 def logistic(logit: Column, a: float = -1.0, b: float = 0.0) -> Column:
@@ -85,3 +87,36 @@ def cvss_base(vector: Column) -> Column:
     raw = F.when(iss <= 0, F.lit(0.0)).otherwise(F.least(F.lit(10.0), F.when(changed, wide).otherwise(6.42 * iss + exploit)))
     known = F.upper(vector).rlike(r"CVSS:3\.[01]/") & exploit.isNotNull()  # greatest and least skip nulls
     return F.when(known, F.greatest(F.lit(0.0), F.ceil(F.round(raw * 100000) / 10000) / 10))
+
+
+def risk_class(score: Column, medium: int = 40) -> Column:
+    """CRITICAL from 80, HIGH from 60, MEDIUM from ``medium`` (40 for files, 30 for pull requests), else LOW."""
+    return F.when(score >= 80, "CRITICAL").when(score >= 60, "HIGH").when(score >= medium, "MEDIUM").otherwise("LOW")
+
+
+def file_maintainability(complexity: Column, nesting: Column, smells: Column) -> Column:
+    return clamp(round_half_up(100 - 2.5 * complexity - 4 * nesting - 5 * smells), 10, 100).cast("int")
+
+
+def overview_health(complexity: Column, smells: Column) -> Column:
+    return clamp(round_half_up(100 - 2.5 * complexity - 2 * smells), 10, 100).cast("int")
+
+
+def hash_prefix(parts: Column, length: int = 16) -> Column:
+    """The first hex digits of the SHA-256 of the parts, joined by line ends."""
+    return F.substring(F.sha2(F.array_join(parts, "\n").cast("binary"), 256), 1, length)
+
+
+def age_seconds(then: Column, now: Column) -> Column:
+    return F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(then.cast("timestamp")) / 1e6
+
+
+def kilobytes(size: Column) -> Column:
+    """Bytes as kilobytes with one decimal."""
+    return F.concat(F.format_string("%.1f", size / 1024), F.lit(" KB"))
+
+
+def metric_delta(previous: Column, current: Column) -> Column:
+    """struct(previous, current, absoluteDelta to four decimals, percentageDelta to two); nulls count as 0."""
+    p, c = F.coalesce(previous, F.lit(0)).cast("double"), F.coalesce(current, F.lit(0)).cast("double")
+    return F.struct(p.alias("previous"), c.alias("current"), F.round(c - p, 4).alias("absoluteDelta"), F.round(pct_delta(p, c), 2).alias("percentageDelta"))

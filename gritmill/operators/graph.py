@@ -30,3 +30,30 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.union(frontier)
     return seen
+
+
+def impact(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
+    """(node, depth, via) of all nodes that depend on changed ones: edges (src, dst) say that src uses dst, so they are
+    walked backwards. ``via`` is the smallest node of the level before through which a node is reached; depth 1 is direct,
+    more is transitive. Changed nodes themselves are left out. Null ends count for nothing; loops and repeats are allowed."""
+    uses = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
+    seen = frontier = changed.select("node").distinct().select("node", F.lit(0).alias("depth"), F.col("node").alias("via"))
+    for d in range(1, depth + 1):
+        step = uses.join(frontier.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("via"))
+        frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "via")
+        seen = seen.union(frontier)
+    return seen.where("depth > 0")
+
+
+def cycles_of_two_steps(edges: DataFrame) -> DataFrame:
+    """The nodes of reciprocal edges, with how many such partners each has."""
+    pairs = reciprocal(edges)
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("partners"))
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that touch one of the nodes: the one-step neighbourhood."""
+    n = nodes.select("node").distinct()
+    a = edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
+    b = edges.join(n.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    return a.union(b).distinct()

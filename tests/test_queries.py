@@ -2,7 +2,7 @@ import pytest
 from conftest import DATA
 from compare import rows
 
-from gritmill.plans import core
+from gritmill.plans import core, more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(core.QUERIES))
