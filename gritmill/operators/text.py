@@ -12,12 +12,14 @@ def words(text: Column) -> Column:
 
 def clone_windows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(hash, n_docs, n_places) of word windows that at least two documents share, built by higher-order functions;
-    groups are counted, never expanded into pairs."""
+    groups are counted, never expanded into pairs. Hashes travel as 32 bytes and become text for shared windows only.
+    Null and short texts have no window; rows that repeat an id count as one document."""
     w = words(F.col(text_col))
     windows = docs.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w") >= size)
-    hashes = windows.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.sha2(F.array_join(F.slice("w", i, size), " ").cast("binary"), 256))).alias("hash"))
-    by_doc = hashes.groupBy("hash", "id").agg(F.count("*").alias("n"))
-    return by_doc.groupBy("hash").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_places")).where("n_docs >= 2")
+    place = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.unhex(F.sha2(F.array_join(F.slice("w", i, size), " ").cast("binary"), 256)))
+    by_doc = windows.select("id", F.explode(place).alias("h")).groupBy("h", "id").agg(F.count("*").alias("n"))
+    shared = by_doc.groupBy("h").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_places")).where("n_docs >= 2")
+    return shared.select(F.lower(F.hex("h")).alias("hash"), "n_docs", "n_places")
 
 
 def equal_texts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

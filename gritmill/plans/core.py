@@ -102,13 +102,8 @@ def dynamic_filter_page(spark, d):
     return relational.page(o.select("o_orderkey", "o_orderstatus", "o_orderpriority"), [F.col("o_orderkey")], 50, 1).join(F.broadcast(total))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%1%' AND p_type ILIKE '%e%'")
-def search_ilike(spark, d):
-    return table(spark, d, "part").where(F.col("p_name").ilike("%1%") & F.col("p_type").ilike("%e%")).select("p_partkey", "p_name")
-
-
 @query("""SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%ed%' OR p_brand ILIKE '%ed%' OR p_type ILIKE '%ed%' OR list_contains(string_split(p_name,' '),'bolt')""")
-def search_ilike_whole(spark, d):
+def search_ilike(spark, d):
     """A pattern in one of three columns, or a word among the name's."""
     match = F.col("p_name").ilike("%ed%") | F.col("p_brand").ilike("%ed%") | F.col("p_type").ilike("%ed%") | F.array_contains(F.split("p_name", " "), "bolt")
     return table(spark, d, "part").where(match).select("p_partkey", "p_name")
@@ -187,10 +182,11 @@ def json_agg_filter(spark, d):
 @query("""SELECT p AS l_partkey, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_first' ELSE 'only_second' END AS side FROM (
   SELECT l_partkey AS p, bool_or(year(l_shipdate)=1996) AS a, bool_or(year(l_shipdate)=1997) AS b FROM lineitem WHERE year(l_shipdate) IN (1996,1997) GROUP BY l_partkey)""")
 def semi_anti(spark, d):
-    li = table(spark, d, "lineitem").withColumn("y", F.year("l_shipdate"))
-    a, b = (li.where(F.col("y") == y).select("l_partkey").distinct() for y in (1996, 1997))
-    tag = lambda df, s: df.withColumn("side", F.lit(s))
-    return relational.union_all(tag(a.join(b, "l_partkey", "left_semi"), "both"), tag(a.join(b, "l_partkey", "left_anti"), "only_first"), tag(b.join(a, "l_partkey", "left_anti"), "only_second"))
+    """Parts shipped in one of two years or in both: one aggregate with two flags over a range that the scan takes."""
+    li = table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz'1996-01-01 00:00:00' and l_shipdate < timestamp_ntz'1998-01-01 00:00:00'")
+    first = F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")
+    g = li.groupBy("l_partkey").agg(F.bool_or(first).alias("a"), F.bool_or(~first).alias("b"))
+    return g.select("l_partkey", F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "only_first").otherwise("only_second").alias("side"))
 
 
 def _weekly(spark, d):
@@ -212,21 +208,10 @@ def lag_timeline(spark, d):
     return relational.lag_deltas(table(spark, d, "events").groupBy(_week().alias("week")).agg(F.count("*").alias("n")), "week", "n")
 
 
-@query(f"""WITH w AS (SELECT DISTINCT user_id, {_WEEK} AS week FROM events WHERE event_type='error') SELECT coalesce(b.week, a.week+1) AS week,
-  count(*) FILTER (a.week IS NULL) AS new_users, count(*) FILTER (a.week IS NOT NULL AND b.week IS NOT NULL) AS persistent, count(*) FILTER (b.week IS NULL) AS resolved
-  FROM (SELECT * FROM w WHERE week<5) a FULL JOIN (SELECT * FROM w WHERE week>1) b ON a.user_id=b.user_id AND b.week=a.week+1 GROUP BY 1""")
-def pairwise_trajectory(spark, d):
-    w = table(spark, d, "events").where("event_type = 'error'").select("user_id", _week().alias("week")).distinct()
-    # each presence votes in its own week and in the next: one aggregation instead of a join
-    votes = w.select("user_id", "week", F.lit(1).alias("now"), F.lit(0).alias("before")).where("week > 1").union(w.where("week < 5").select("user_id", F.col("week") + 1, F.lit(0), F.lit(1)))
-    p = votes.groupBy("user_id", "week").agg(F.max("now").alias("now"), F.max("before").alias("before"))
-    return p.groupBy("week").agg(F.count_if(F.col("before") == 0).alias("new_users"), F.count_if((F.col("before") == 1) & (F.col("now") == 1)).alias("persistent"), F.count_if(F.col("now") == 0).alias("resolved"))
-
-
 @query(f"""WITH v AS (SELECT *, {_WEEK} AS week FROM events), m AS (SELECT min(week) AS lo, max(week) AS hi FROM v), w AS (SELECT DISTINCT user_id, week FROM v WHERE event_type='error')
   SELECT coalesce(b.week, a.week+1) AS week, count(*) FILTER (a.week IS NULL) AS new_users, count(*) FILTER (a.week IS NOT NULL AND b.week IS NOT NULL) AS persistent, count(*) FILTER (b.week IS NULL) AS resolved
   FROM (SELECT w.* FROM w, m WHERE week<hi) a FULL JOIN (SELECT w.* FROM w, m WHERE week>lo) b ON a.user_id=b.user_id AND b.week=a.week+1 GROUP BY 1""")
-def pairwise_trajectory_whole(spark, d):
+def pairwise_trajectory(spark, d):
     """All consecutive pairs from the first to the last week of the events."""
     e = table(spark, d, "events").select("user_id", "event_type", _week().alias("week"))
     ends = F.broadcast(e.agg(F.min("week").alias("lo"), F.max("week").alias("hi")))  # one row
@@ -258,18 +243,10 @@ def first_seen(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(_week()).alias("first_week"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 49) SELECT s_suppkey AS node, 0 AS fan_in, count(l_partkey) AS fan_out
-  FROM supplier LEFT JOIN e ON l_suppkey=s_suppkey GROUP BY 1""")
-def degree_metrics(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"))
-    out = graph.degrees(e, table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")))
-    return out.select("node", F.col("fan_in").cast("int").alias("fan_in"), F.col("fan_out").cast("long").alias("fan_out"))
-
-
 @query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
   SELECT s_suppkey AS node, 0::BIGINT AS fan_in, count(l_partkey) AS fan_out FROM supplier LEFT JOIN e ON l_suppkey=s_suppkey GROUP BY 1
   UNION ALL SELECT -p_partkey-1, count(l_suppkey), 0 FROM part LEFT JOIN e ON l_partkey=p_partkey GROUP BY 1""")
-def degree_metrics_whole(spark, d):
+def degree_metrics(spark, d):
     """Degrees of all suppliers and parts (-key-1) over all lineitem edges."""
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"))
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")).union(table(spark, d, "part").select(-F.col("p_partkey") - 1))
@@ -289,13 +266,6 @@ def reciprocal_edges(spark, d):
     return graph.reciprocal(_successions(spark, d))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, -l_partkey-1 AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a,b FROM e UNION SELECT b,a FROM e),
-  r AS (SELECT max(b) AS node, 0 AS depth FROM e UNION SELECT u.b, r.depth+1 FROM r JOIN u ON u.a=r.node WHERE r.depth<3) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def blast_radius(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"))
-    return graph.reach(e, e.agg(F.max("dst").alias("node")), 3)
-
-
 _SHIP = "SELECT o_custkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 20 + o_orderkey % 15 AS e FROM orders"
 
 
@@ -343,22 +313,11 @@ def _orders_agg(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"), F.max("l_discount").alias("disc"), F.count_if(F.col("l_returnflag") == "R").alias("ret"), F.count_distinct("l_suppkey").alias("sup"))
 
 
-@query(f"""WITH a AS ({_ORDER_AGG}) SELECT l_orderkey, 'TOO_MANY_LINES' AS rule, 'high' AS severity, CAST(n AS DOUBLE) AS measured FROM a WHERE n>=8
-  UNION ALL SELECT l_orderkey,'LARGE_QUANTITY',CASE WHEN 1=1 THEN 'medium' END, CAST(q AS DOUBLE) FROM a WHERE q>200 UNION ALL SELECT l_orderkey,'RETURNS','low',CAST(ret AS DOUBLE) FROM a WHERE ret>=3
-  UNION ALL SELECT l_orderkey,'MANY_SUPPLIERS','medium',CAST(sup AS DOUBLE) FROM a WHERE sup>=7""")
-def rule_engine(spark, d):
-    c = F.col
-    return relational.rule_rows(_orders_agg(spark, d), ["l_orderkey"], [
-        ("TOO_MANY_LINES", "high", c("n") >= 8, c("n")), ("LARGE_QUANTITY", "medium", c("q") > 200, c("q")),
-        ("RETURNS", "low", c("ret") >= 3, c("ret")), ("MANY_SUPPLIERS", "medium", c("sup") >= 7, c("sup")),
-    ])
-
-
 @query(f"""WITH a AS ({_ORDER_AGG}) SELECT l_orderkey, 'TOO_MANY_LINES' AS rule, 'high' AS severity, CAST(n AS DOUBLE) AS measured FROM a WHERE n>=8
   UNION ALL SELECT l_orderkey,'LARGE_QUANTITY','medium',CAST(q AS DOUBLE) FROM a WHERE q>200 UNION ALL SELECT l_orderkey,'RETURNS','low',CAST(ret AS DOUBLE) FROM a WHERE ret>=3
   UNION ALL SELECT l_orderkey,'MANY_SUPPLIERS','medium',CAST(sup AS DOUBLE) FROM a WHERE sup>=7 UNION ALL SELECT l_orderkey,'DEEP_DISCOUNT','low',CAST(disc AS DOUBLE) FROM a WHERE disc>=0.1
   UNION ALL SELECT l_orderkey,'LARGE_LINES',CASE WHEN q>45*n THEN 'high' ELSE 'medium' END,q::DOUBLE/n FROM a WHERE q>40*n""")
-def rule_engine_whole(spark, d):
+def rule_engine(spark, d):
     """Six threshold rules; the last one's severity depends on the measured value."""
     c = F.col
     return relational.rule_rows(_orders_agg(spark, d), ["l_orderkey"], [
@@ -405,39 +364,17 @@ def notify_filter(spark, d):
     return a.join(F.broadcast(prefs), "rest").where("k >= least_rank").select("event_id", "who")
 
 
-#: Intercept, Platt slope and shift of the defect model; weight, mean and deviation of three features.
+#: Intercept, Platt slope and shift of the defect model.
 _MODEL = (0.8294944851331408, -0.9812037165617706, -0.3323704321727805)
-_FEATURES = {"lines": (0.957, 998.0886, 1952.563), "fan_in": (-0.0875, 43.1646, 114.7328), "smells": (1.1824, 5.8443, 12.8372)}
-
-
-@query("""WITH f AS (SELECT l_suppkey, count(*) AS lines, count(DISTINCT l_partkey) AS fan_in, count(*) FILTER (l_returnflag='R') AS smells FROM lineitem GROUP BY l_suppkey),
-  p AS (SELECT *, 1/(1+exp(-0.9812037165617706*(0.8294944851331408 + 0.957*(lines-998.0886)/1952.563 + -0.0875*(fan_in-43.1646)/114.7328 + 1.1824*(smells-5.8443)/12.8372) + -0.3323704321727805)) AS pr FROM f)
-  SELECT l_suppkey, round(pr,4) AS probability, CAST(greatest(5,least(98,floor(100*pr+0.5))) AS BIGINT) AS score FROM p""")
-def defect_scoring(spark, d):
-    f = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("lines"), F.count_distinct("l_partkey").alias("fan_in"), F.count_if(F.col("l_returnflag") == "R").alias("smells"))
-    logit = F.lit(_MODEL[0])
-    for name, (w, mu, sd) in _FEATURES.items():
-        logit = logit + F.lit(w) * (F.col(name) - mu) / sd
-    p = logistic(logit, _MODEL[1], _MODEL[2])
-    return f.select("l_suppkey", F.round(p, 4).alias("probability"), clamp(round_half_up(100 * p), 5, 98).cast("long").alias("score"))
-
-
-@query("""WITH f AS (SELECT l_suppkey, count(*) AS lines, count(DISTINCT l_partkey) AS fan_in, count(*) FILTER (l_returnflag='R') AS smells FROM lineitem GROUP BY l_suppkey),
-  p AS (SELECT *, 1/(1+exp(-0.9812037165617706*(0.8294944851331408 + 0.957*(lines-998.0886)/1952.563 + -0.0875*(fan_in-43.1646)/114.7328 + 1.1824*(smells-5.8443)/12.8372) + -0.3323704321727805)) AS pr FROM f)
-  SELECT l_suppkey, lines, round(pr,4) AS probability, CAST(greatest(5,least(98,floor(100*pr+0.5))) AS BIGINT) AS score FROM p ORDER BY score DESC, lines DESC, l_suppkey LIMIT 10""")
-def hotspots(spark, d):
-    """The ten suppliers with the highest scores; more lines first, then the smaller key."""
-    lines = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("lines"))
-    return defect_scoring(spark, d).join(lines, "l_suppkey").orderBy(F.desc("score"), F.desc("lines"), "l_suppkey").limit(10)
 
 
-#: (weight, mean, deviation) of all features of the defect model, in its order.
-_FEATURES_WHOLE = {
+#: Fixed values: (weight, mean, deviation) of all features of the defect model, in its order.
+_FEATURES = {
     "lines": (0.957, 998.0886, 1952.563), "function_count": (-0.4329, 37.5443, 91.7371), "class_count": (-0.278, 4.4962, 15.9435), "import_count": (1.3524, 9.9646, 18.7364),
     "export_count": (0.8165, 36.057, 89.5209), "avg_complexity": (-0.0807, 3.3122, 4.4512), "max_complexity": (0.7963, 12.0051, 17.5816), "fan_in": (-0.0875, 43.1646, 114.7328),
     "fan_out": (-0.5085, 212.3266, 405.4502), "smells": (1.1824, 5.8443, 12.8372), "has_test": (0.0, 0.0, 1.0),
 }
-_DEFECT_WHOLE = """WITH f AS (SELECT l_suppkey, count(*) AS lines, count(DISTINCT date_trunc('month', l_shipdate)) AS function_count, count(DISTINCT l_returnflag) AS class_count,
+_DEFECT = """WITH f AS (SELECT l_suppkey, count(*) AS lines, count(DISTINCT date_trunc('month', l_shipdate)) AS function_count, count(DISTINCT l_returnflag) AS class_count,
     count(*) FILTER (l_linestatus='O' AND l_quantity<=2) AS import_count, count(*) FILTER (l_linestatus='F' AND l_quantity<=5) AS export_count, avg(l_linenumber) AS avg_complexity, max(l_linenumber) AS max_complexity,
     count(DISTINCT l_partkey) AS fan_in, count(DISTINCT l_orderkey) AS fan_out, count(*) FILTER (l_returnflag='R' AND l_quantity>=49) AS smells, max(CASE WHEN l_discount=0 THEN 1 ELSE 0 END) AS has_test FROM lineitem GROUP BY l_suppkey),
   g AS (SELECT *, 0.8294944851331408::DOUBLE + 0.957::DOUBLE*(lines-998.0886::DOUBLE)/1952.563::DOUBLE - 0.4329::DOUBLE*(function_count-37.5443::DOUBLE)/91.7371::DOUBLE - 0.278::DOUBLE*(class_count-4.4962::DOUBLE)/15.9435::DOUBLE
@@ -448,7 +385,7 @@ _DEFECT_WHOLE = """WITH f AS (SELECT l_suppkey, count(*) AS lines, count(DISTINC
   s AS (SELECT l_suppkey, lines, round(pr,4) AS probability, CAST(greatest(5,least(98,floor(100*pr+0.5))) AS BIGINT) AS score FROM p)"""
 
 
-def _defects_whole(spark, d):
+def _defects(spark, d):
     """Analogs of all features by supplier: lines; ship months, return flags; small open and finished lines; mean and
     largest line number; parts, orders; large returns; whether a line has no discount. Counts lie in the model's scale."""
     f = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
@@ -457,20 +394,20 @@ def _defects_whole(spark, d):
         F.count_distinct("l_partkey").alias("fan_in"), F.count_distinct("l_orderkey").alias("fan_out"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49)).alias("smells"), F.max(F.when(F.col("l_discount") == 0, 1).otherwise(0)).alias("has_test"),
     )
     logit = F.lit(_MODEL[0])
-    for name, (w, mu, sd) in _FEATURES_WHOLE.items():
+    for name, (w, mu, sd) in _FEATURES.items():
         logit = logit + F.lit(w) * (F.col(name) - mu) / sd
     p = logistic(logit, _MODEL[1], _MODEL[2])
     return f.select("l_suppkey", "lines", F.round(p, 4).alias("probability"), clamp(round_half_up(100 * p), 5, 98).cast("long").alias("score"))
 
 
-@query(f"{_DEFECT_WHOLE} SELECT l_suppkey, probability, score FROM s")
-def defect_scoring_whole(spark, d):
-    return _defects_whole(spark, d).select("l_suppkey", "probability", "score")
+@query(f"{_DEFECT} SELECT l_suppkey, probability, score FROM s")
+def defect_scoring(spark, d):
+    return _defects(spark, d).select("l_suppkey", "probability", "score")
 
 
-@query(f"{_DEFECT_WHOLE} SELECT l_suppkey, lines, probability, score FROM s ORDER BY score DESC, lines DESC, l_suppkey LIMIT 10")
-def hotspots_whole(spark, d):
-    return _defects_whole(spark, d).orderBy(F.desc("score"), F.desc("lines"), "l_suppkey").limit(10)
+@query(f"{_DEFECT} SELECT l_suppkey, lines, probability, score FROM s ORDER BY score DESC, lines DESC, l_suppkey LIMIT 10")
+def hotspots(spark, d):
+    return _defects(spark, d).orderBy(F.desc("score"), F.desc("lines"), "l_suppkey").limit(10)
 
 
 _CVSS_KEYS = {"AV": "NALP", "AC": "LH", "PR": "NLH", "UI": "NR", "S": "UC", "C": "NLH", "I": "NLH", "A": "NLH"}
@@ -520,18 +457,9 @@ def histogram_buckets(spark, d):
     return g.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 3))  # four rows
 
 
-@query(r"""WITH p AS (SELECT list_filter(string_split(regexp_replace(regexp_replace(url,'^[a-z]+://',''),'[?#].*$',''),'/'), lambda x: x<>'') AS parts FROM pages WHERE url IS NOT NULL)
-  SELECT array_to_string(parts[1:i],'/') AS prefix, count(*) AS n FROM (SELECT parts, unnest(range(1,least(len(parts),2)+1)) AS i FROM p) GROUP BY 1""")
-def tree_rollup(spark, d):
-    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
-    p = table(spark, d, "pages").where("url is not null").select(F.filter(F.split(bare, "/"), lambda x: x != "").alias("parts")).where("size(parts) > 0")
-    pre = F.transform(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(2))), lambda i: F.array_join(F.slice("parts", 1, i), "/"))
-    return p.select(F.explode(pre).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
-
-
 @query(r"""WITH p AS (SELECT list_filter(string_split(regexp_replace(regexp_replace(url,'^[a-z]+://',''),'[?#].*$',''),'/'), lambda x: x<>'') AS parts FROM pages WHERE url IS NOT NULL)
   SELECT array_to_string(parts[1:i],'/') AS prefix, count(*) AS n FROM (SELECT parts, unnest(range(1,len(parts)+1)) AS i FROM p) GROUP BY 1""")
-def tree_rollup_whole(spark, d):
+def tree_rollup(spark, d):
     """Prefixes of every depth, the page itself as the leaf."""
     bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     p = table(spark, d, "pages").where("url is not null").select(F.filter(F.split(bare, "/"), lambda x: x != "").alias("parts")).where("size(parts) > 0")

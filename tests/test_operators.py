@@ -59,13 +59,13 @@ def test_degrees_of_suppliers_and_parts(spark, tmp_path):
         spark, tmp_path, supplier=spark.createDataFrame([(0,), (1,), (2,)], "s_suppkey long"), part=spark.createDataFrame([(0,), (1,), (2,)], "p_partkey long"),
         lineitem=spark.createDataFrame([(0, 0, 50.0), (0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0)], "l_suppkey long, l_partkey long, l_quantity double"),
     )
-    got = {r.node: (r.fan_in, r.fan_out) for r in core.QUERIES["degree_metrics_whole"](spark, d).collect()}
+    got = {r.node: (r.fan_in, r.fan_out) for r in core.QUERIES["degree_metrics"](spark, d).collect()}
     assert got == {0: (0, 2), 1: (0, 1), 2: (0, 0), -1: (1, 0), -2: (2, 0), -3: (0, 0)}
 
 
 def test_tree_rollup_reaches_the_leaves(spark, tmp_path):
     d = _tables(spark, tmp_path, pages=spark.createDataFrame([(1, "http://h/a/b/c?x#y"), (2, "http://h/a/b/"), (3, "http://h"), (4, None), (5, "")], "page_id long, url string"))
-    got = {r.prefix: r.n for r in core.QUERIES["tree_rollup_whole"](spark, d).collect()}
+    got = {r.prefix: r.n for r in core.QUERIES["tree_rollup"](spark, d).collect()}
     assert got == {"h": 3, "h/a": 2, "h/a/b": 2, "h/a/b/c": 1}
 
 
@@ -79,7 +79,7 @@ def test_defect_scores_sum_all_features(spark, tmp_path):
         (0.957, 998.0886, 1952.563), (-0.4329, 37.5443, 91.7371), (-0.278, 4.4962, 15.9435), (1.3524, 9.9646, 18.7364), (0.8165, 36.057, 89.5209), (-0.0807, 3.3122, 4.4512),
         (0.7963, 12.0051, 17.5816), (-0.0875, 43.1646, 114.7328), (-0.5085, 212.3266, 405.4502), (1.1824, 5.8443, 12.8372), (0, 0, 1),
     ]
-    got = {r.l_suppkey: (r.probability, r.score) for r in core.QUERIES["defect_scoring_whole"](spark, d).collect()}
+    got = {r.l_suppkey: (r.probability, r.score) for r in core.QUERIES["defect_scoring"](spark, d).collect()}
     for key, x in vectors.items():
         logit = 0.8294944851331408 + sum(w * (v - mu) / sd for v, (w, mu, sd) in zip(x, model))
         p = 1 / (1 + math.exp(-0.9812037165617706 * logit - 0.3323704321727805))
@@ -90,7 +90,7 @@ def test_trajectory_takes_its_weeks_from_the_data(spark, tmp_path):
     day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(n)
     rows = [(1, "error", day(35)), (1, "error", day(42)), (2, "error", day(42)), (1, "view", day(49))]
     d = _tables(spark, tmp_path, events=spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz"))
-    assert {tuple(r) for r in core.QUERIES["pairwise_trajectory_whole"](spark, d).collect()} == {(7, 1, 1, 0), (8, 0, 0, 2)}
+    assert {tuple(r) for r in core.QUERIES["pairwise_trajectory"](spark, d).collect()} == {(7, 1, 1, 0), (8, 0, 0, 2)}
 
 
 def test_calibration_error(spark, tmp_path):
@@ -106,7 +106,7 @@ def test_rule_search_and_pivot_parts(spark, tmp_path):
         part=spark.createDataFrame([(1, "x bolt", "b", "t"), (2, "x bolts", "b", "t"), (3, "x", "RED", "t")], "p_partkey long, p_name string, p_brand string, p_type string"),
         events=spark.createDataFrame([(1, "click", 2.0), (1, "error", 3.0), (2, "click", 4.0)], "user_id long, event_type string, value double"),
     )
-    assert {(r.l_orderkey, r.rule, r.severity) for r in core.QUERIES["rule_engine_whole"](spark, d).collect()} == {(1, "DEEP_DISCOUNT", "low"), (1, "LARGE_LINES", "high"), (2, "LARGE_LINES", "medium")}
-    assert {r.p_partkey for r in core.QUERIES["search_ilike_whole"](spark, d).collect()} == {1, 3}
+    assert {(r.l_orderkey, r.rule, r.severity) for r in core.QUERIES["rule_engine"](spark, d).collect()} == {(1, "DEEP_DISCOUNT", "low"), (1, "LARGE_LINES", "high"), (2, "LARGE_LINES", "medium")}
+    assert {r.p_partkey for r in core.QUERIES["search_ilike"](spark, d).collect()} == {1, 3}
     r = core.QUERIES["conditional_pivot_whole"](spark, d).first()
     assert (r.users, r.click_sum, r.click_avg, r.error_avg, r.purchase_max, r.with_errors) == (2, 6.0, 3.0, 1.5, 0.0, 1)
