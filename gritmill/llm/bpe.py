@@ -8,15 +8,15 @@ the lowest rank, leftmost first. Pre-tokens repeat, so each worker remembers the
 bound. Decoding maps ids to their byte symbols and these back to bytes.
 """
 
-from __future__ import annotations
-
 import base64
 import hashlib
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from .common import texts, tune
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 #: Pre-tokens that a task remembers; beyond, it forgets all and begins anew.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
 #: Characters after which a longer text is cut, where its pattern allows.
 PIECE_CHARS = 1 << 18
 #: Longer pre-tokens are encoded each time and not remembered.
@@ -188,8 +188,6 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
 
     @F.pandas_udf("array<int>")
     def run(text):
-        import pandas as pd
-
         codec = _codec(key, model.value, pattern)
         values = texts(pa.Array.from_pandas(text, type=pa.string())).to_pylist()
         return pd.Series([np.frombuffer(x, "<u4").astype(np.int32) for x in codec.encode(values)])
@@ -203,8 +201,6 @@ def decode(rows: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", pa
 
     @F.pandas_udf("binary")
     def run(ids):
-        import pandas as pd
-
         codec = _codec(key, model.value, pattern)
         return pd.Series([None if x is None else codec.decode(np.asarray(x, "<u4").tobytes()) for x in ids])
 
@@ -217,12 +213,12 @@ def pack(docs: DataFrame, text_col: str = "text", data_col: str = "data", path:
     key, model, pattern = _model(docs, path, pattern, 1 << 16)
 
     @F.pandas_udf("binary")
-    def run(text):
-        import pandas as pd
-
+    def run(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(key, model.value, pattern)
-        values = texts(pa.Array.from_pandas(text, type=pa.string())).to_pylist()
-        return pd.Series([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in codec.encode(values)])
+        for part in text:
+            values = texts(pa.Array.from_pandas(part, type=pa.string())).to_pylist()
+            yield pd.Series([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in codec.encode(values)])
+        codec.known.clear()
 
     return docs.withColumn(data_col, run(F.col(text_col)))
 

@@ -159,8 +159,9 @@ def pack(rows: DataFrame, root: str | None = None, id_col: str = "doc_id", data_
     root = root or scratch(spark, "packed")
     ws = Workspace(spark, "packing")
     width = np.dtype(dtype).itemsize
-    plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")).where(F.octet_length("data") > 0)
-    plain = ws.cut(plain, "ids")  # ids may come from a Python stage, which should run once
+    # ids may come from a Python stage, which should run once: they are written before anything else looks at them
+    written = ws.cut(rows.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")), "ids")
+    plain = written.where(F.octet_length("data") > 0)
     step = length * width
     total = plain.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
@@ -172,7 +173,7 @@ def pack(rows: DataFrame, root: str | None = None, id_col: str = "doc_id", data_
     report = ws.cut(dealt.mapInArrow(_pack(root, dtype, length, pad), _REPORT_SQL), "report")
     report.select("temporary", "file").distinct().mapInArrow(_commit(root), "temporary string, file string").write.parquet(f"{root}/manifest")
     remove(spark, f"{root}/_temporary")
-    ws.drop(plain)
+    ws.drop(written)
     return report.drop("temporary")
 
 

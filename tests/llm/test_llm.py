@@ -193,7 +193,7 @@ def test_bpe_equals_tiktoken(spark, docs):
     tokens = bpe.read_ranks(P.path(bpe.VOCABULARY))
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
     codec = bpe.Codec(bpe.serialise(tokens), P.PATTERN)
-    cases = ["", "  a", "x  \n\n y", "日本 😀", "a" * 500, "<unk> ▁", "I'll ١٢ 1234 !?", "\x00\x1c \x85", "".join(map(chr, range(0x250)))]
+    cases = [" ", "a ", " a", "a b ", "a\n b", "a \nb", "a\u3000 b c", "a\x1c b", "it's I'll  two", "x, y.\nz w\n\nv", "", "  a", "x  \n\n y", "日本 😀", "a" * 500, "<unk> ▁", "I'll ١٢ 1234 !?", "\x00\x1c \x85", "".join(map(chr, range(0x250)))]
     for t, packed in zip(cases, codec.encode(cases)):
         assert np.frombuffer(packed, "<u4").tolist() == e.encode_ordinary(t)
         assert codec.decode(packed) == t.encode()
