@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 #: Bytes of text that the numpy kernels take at a time; they take longer texts in pieces.
 BLOCK_BYTES = 1 << 18
+#: Rows that are worth a task of their own where a table's size is known.
+TASK_ROWS = 4096
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -81,9 +83,18 @@ class Workspace:
         self.spark, self.root, self.made = spark, scratch(spark, name), 0
         _ROOTS[self.root] = spark
 
-    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes the rows as Parquet and reads them back: executors may be lost without losing them."""
+    def few(self, df: DataFrame, rows: int | None, task_rows: int = TASK_ROWS) -> DataFrame:
+        """The same rows in as few tasks as ``rows``, about their number, are worth; never in more than there are.
+        Partitions are joined without a shuffle, so that small tables don't cost a task and a file for each of them."""
+        tasks = -(-rows // task_rows) if rows else 1
+        whole = rows is None or tasks >= int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return df if whole else df.coalesce(tasks)
+
+    def cut(self, df: DataFrame, name: str = "t", rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+        """Writes the rows as Parquet and reads them back: executors may be lost without losing them. ``rows`` is about
+        how many there are, where that is known (see :meth:`few`)."""
         self.made += 1
+        df = self.few(df, rows, task_rows)
         path = f"{self.root}/{self.made:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

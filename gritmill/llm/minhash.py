@@ -40,6 +40,8 @@ MORE = 16, 16
 BITMAP = [f"w{k}" for k in range(16)]
 #: Steps of the histogram of shares by which representatives are chosen.
 LEVELS = 256
+#: Multisets, or pairs of them, that are worth a task of their own.
+SET_ROWS = 256
 #: Bytes of text, and words, shingles or points, that the kernels take at a time.
 BLOCK_BYTES = 1 << 18
 POINTS = 250_000
@@ -258,10 +260,10 @@ def _sets(words: int):
     return run
 
 
-def _own_items(sets: DataFrame, open_: DataFrame, ws: Workspace) -> DataFrame:
-    """(node, n, own, bits, bitmap) of the texts in buckets of more than SMALL: the size of the multiset, how much of it
-    none of the others has, and its bitmap. Such shingles are in no intersection, which bounds the similarity of a pair
-    from above without looking at its texts."""
+def _own_items(sets: DataFrame, open_: DataFrame, ws: Workspace, rows: int) -> DataFrame:
+    """(node, n, own, bits, bitmap) of the texts, ``rows`` at most, in buckets of more than SMALL: the size of the multiset,
+    how much of it none of the others has, and its bitmap. Such shingles are in no intersection, which bounds the
+    similarity of a pair from above without looking at its texts."""
     large = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select("key")
     heavy = open_.join(large, "key", "left_semi").select("node").distinct()
     mine = ws.cut(sets.join(heavy, "node", "left_semi"), "heavy")
@@ -269,7 +271,7 @@ def _own_items(sets: DataFrame, open_: DataFrame, ws: Workspace) -> DataFrame:
     once = once.groupBy("node").agg(F.count("*").alias("own"))
     bits = sum(F.bit_count(w) for w in BITMAP)
     out = mine.select("node", F.size("items").alias("n"), bits.alias("bits"), *BITMAP).join(once, "node", "left")
-    out = ws.cut(out.select("node", "n", F.coalesce("own", F.lit(0)).alias("own"), "bits", *BITMAP), "own")
+    out = ws.cut(out.select("node", "n", F.coalesce("own", F.lit(0)).alias("own"), "bits", *BITMAP), "own", rows)
     ws.drop(mine)
     return out
 
@@ -340,28 +342,30 @@ def _undecided(labelled: DataFrame, threshold: float) -> DataFrame:
 
 def _links(open_: DataFrame, sets: DataFrame, threshold: float, ws: Workspace) -> DataFrame:
     """(node, component) of all texts that link with another one, from the open buckets (key, node, comp, what is KNOWN)."""
-    q, turn, found = 1, 0, None
+    q, turn, found, linked = 1, 0, None, 0
     empty = open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     links = empty
-    while open_.limit(1).count():
-        lists = ws.cut(open_.groupBy("node", "comp", *KNOWN).agg(F.collect_list("key").alias("keys")), "members")
+    while n := open_.count():  # from the files' footers
+        lists = ws.cut(open_.groupBy("node", "comp", *KNOWN).agg(F.collect_list("key").alias("keys")), "members", n)
         ws.drop(open_)
         open_ = lists.withColumn("key", F.explode("keys"))
-        reps = ws.cut(_representatives(open_, q, turn), "reps")
+        reps = ws.cut(_representatives(open_, q, turn), "reps", n)
         # a pair is met in the first bucket only that the member shares with those its representative has
         once = F.array_min(F.array_intersect("keys", "rep_keys")) == F.col("key")
         met = open_.repartition("key", "node").join(reps, "key").where((F.col("node") != F.col("rep")) & (F.col("comp") != F.col("rep_comp")) & _may_link(threshold) & once)
         pairs = ws.cut(met.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "pairs")
+        p = pairs.count()
         # the sets of these pairs alone are moved: a written table's size is known, so a small one is broadcast to the scan
-        need = ws.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need")
-        own = ws.cut(sets.select("node", "items").join(need, "node", "left_semi"), "compared")
+        need = ws.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need", 2 * p)
+        own = ws.cut(sets.select("node", "items").join(need, "node", "left_semi"), "compared", 2 * p, SET_ROWS)
         left = pairs.join(own.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
         both = left.join(own.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         inter = F.size(F.array_intersect("x", "y"))
-        seen = ws.cut(both.select("a", "b", (inter / (F.size("x") + F.size("y") - inter)).alias("s")), "seen")
+        seen = ws.cut(both.select("a", "b", (inter / (F.size("x") + F.size("y") - inter)).alias("s")), "seen", p, SET_ROWS)
         close = seen.where(F.col("s") >= threshold).select("a", "b")
         if close.limit(1).count():  # else the components stay as they are
-            found = components(links.union(close), ws)
+            found = components(links.union(close), ws, linked + p)
+            linked += p
             links = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         # what the round leaves open: members that were no representative, against those the triangle inequality allows
         rest = (
@@ -382,8 +386,8 @@ def _links(open_: DataFrame, sets: DataFrame, threshold: float, ws: Workspace) -
             labelled = split.withColumn("comp", F.col("node"))
         else:
             labelled = split.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        labelled = ws.cut(labelled, "labelled")
-        open_ = ws.cut(_undecided(labelled, threshold), "open")
+        labelled = ws.cut(labelled, "labelled", 2 * n)
+        open_ = ws.cut(_undecided(labelled, threshold), "open", 2 * n)
         ws.drop(lists, reps, pairs, need, own, seen, labelled)
         q, turn = MORE[0] if q == 1 else MORE[1] * q, turn + 1
     return found if found is not None else empty.toDF("node", "component")
@@ -405,7 +409,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, w
     # exact copies: a text is one node whatever the number of its rows; combined before the shuffle
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("least")
     texts_ = signed.where("n_words > 0").groupBy("f1", "f2").agg(least, F.first("bands").alias("bands"))
-    nodes = ws.cut(texts_.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows_ = signed.count()  # from the files' footers
+    nodes = ws.cut(texts_.withColumn("node", F.monotonically_increasing_id()), "nodes", rows_)
     exploded = nodes.select("node", F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = ws.cut(exploded.join(shared, "key", "left_semi").distinct(), "buckets")
@@ -413,7 +418,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, w
     wanted = plain.groupBy("h1", "h2").agg(F.first("text").alias("text")).join(wanted, ["h1", "h2"]).select("node", "text")
     sets = ws.cut(wanted.mapInArrow(_sets(words), f"node long, items array<long>, {', '.join(f'{w} long' for w in BITMAP)}"), "sets")
 
-    own = _own_items(sets, buckets, ws)
+    own = _own_items(sets, buckets, ws, rows_)
     open_ = buckets.join(own, "node", "left").withColumn("comp", F.col("node"))
     # a text with more shingles of its own than the threshold leaves over links with nothing in a large bucket
     possible = F.coalesce((F.col("n") - F.col("own")) / F.col("n") >= threshold, F.lit(True))
@@ -422,7 +427,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, w
     ws.drop(buckets, own)
     found = _links(open_, sets, threshold, ws)
 
-    ranked = ws.cut(found.join(nodes.select("node", "least"), "node"), "ranked")
+    ranked = ws.cut(found.join(nodes.select("node", "least"), "node"), "ranked", rows_)
     tops = ranked.groupBy("component").agg(F.min("least").alias("top"))
     tops = ranked.join(tops, "component").select("node", "top")
     top = nodes.select("f1", "f2", "node", "least").join(tops, "node", "left").select("f1", "f2", F.coalesce("top", "least").alias("top"))
