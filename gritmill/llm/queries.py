@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, chunking, language, minhash, mixing, packing, quality, toxicity, warc
+from . import alignment, bpe, caps, chunking, language, minhash, mixing, negatives, packing, quality, toxicity, urls, warc
 from .common import Workspace, crc_of
 
 
@@ -76,9 +76,29 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, dtype="<u2", pad=0xFFFF)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+#: The list that pages are judged by.
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_minhash, op3_quality, op4_packing, op5_media, op6_language, op7_warc, op8_embedding, op9_bpe, op10_mixing, pipeline)
+    for f in (
+        op1_toxicity, op2_minhash, op3_quality, op4_packing, op5_media, op6_language, op7_warc, op8_embedding, op9_bpe, op10_mixing,
+        op11_negatives, op12_alignment, op13_urls, pipeline,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -124,4 +144,27 @@ ORACLE_SQL: dict[str, str] = {
                CAST(size * (whole + CASE WHEN more > 0 AND (upto <= more OR (upto - size <= more AND upto - more < more - (upto - size))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM r
     """,
+    "op11_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+        n AS (SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS rank
+              FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+    "op13_urls": r"""
+        WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
+        h AS (SELECT page_id, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.path AS path FROM u),
+        r(verdict, rule_host, rule_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+        f AS (SELECT h.page_id, rule_host || rule_path AS rule, verdict FROM h JOIN r
+              ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+        b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM f GROUP BY page_id)
+        SELECT h.page_id, h.host, h.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM h LEFT JOIN b ON h.page_id = b.page_id
+    """,
 }
