@@ -17,7 +17,7 @@ def package_name(ecosystem: Column, name: Column) -> Column:
 
 def bare_version(specifier: Column, default: str = "1.0.0") -> Column:
     """A version specifier without its leading operators; the default for null or nothing left."""
-    v = F.regexp_replace(specifier, r"^[\^~>=<]+", "")
+    v = F.trim(F.regexp_replace(specifier, r"^[\^~>=<]+", ""))
     return F.when(F.coalesce(v, F.lit("")) == "", default).otherwise(v)
 
 

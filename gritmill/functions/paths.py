@@ -38,6 +38,12 @@ ENDINGS = {
 }
 
 
+#: Routes that are open by design.
+PUBLIC_ROUTES = [
+    r"^/health(?:/.*)?$", r"^/api/health(?:/.*)?$", r"^/api/auth/(?:login|google|register|signup|callback|csrf|token)$", r"^/api/webhooks(?:/.*)?$", r"^/api/docs(?:/.*)?$", r"^/favicon\.ico$", r"^/public(?:/.*)?$",
+]
+
+
 def normal_path(path: Column) -> Column:
     """Forward slashes, no leading ./, no outer white space; null becomes empty."""
     return F.trim(F.regexp_replace(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), r"^\./", ""))
@@ -115,3 +121,8 @@ def route_path(prefix: Column, path: Column) -> Column:
     joined = F.regexp_replace(F.concat(F.coalesce(prefix, F.lit("")), F.lit("/"), F.coalesce(path, F.lit(""))), "/+", "/")
     bare = F.regexp_replace(joined, "/$", "")
     return F.when(bare == "", "/").when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare))
+
+
+def is_public_route(path: Column) -> Column:
+    """Whether a route is open by design; null is not."""
+    return F.coalesce(path.rlike("|".join(PUBLIC_ROUTES)), F.lit(False))

@@ -1,10 +1,23 @@
-"""Clones of source code: tokens, windows of tokens, groups of equal regions and the lines that they take."""
+"""Clones of source code: tokens, windows of tokens, groups of equal regions and the lines that they take.
+
+Two equal windows lie on a run of equal tokens. What begins a run is told without pairs: windows of one hash whose left
+contexts are all equal begin none, so only classes with different left contexts go on. The texts that follow their windows,
+as far as any two can agree, are sorted; neighbours' common prefixes give the nested intervals of a suffix tree, and each
+interval is a group of the windows that meet one of another branch there with another left context.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .intervals import merge_intervals
 from .rounds import settled
 
@@ -26,71 +39,325 @@ def _kind(token: Column) -> Column:
     )
 
 
-def tokens(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
-    """(path, lines, tokens: array of struct(raw, norm, kind, line)) of each file by one general pattern a line: identifiers
-    and literals become $ID and $LIT, other tokens stand for themselves with their kind. Lines that are blank, comments or
-    imports have no token; null texts have no row."""
+JAVASCRIPT = r"\.(js|jsx|ts|tsx|mjs|cjs)$"
+_TOKEN = pa.struct([("raw", pa.string()), ("norm", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("end", pa.int32())])
+
+
+def _norm(raw, kind, when=None):
+    """How a token is compared."""
+    if when is None:
+        return {"literal": "$LIT", "identifier": "$ID", "keyword": f"kw:{raw}", "operator": f"op:{raw}", "delimiter": f"del:{raw}"}.get(kind, raw)
+    prefix = lambda p: F.concat(F.lit(p), raw)
+    return when(kind == "literal", "$LIT").when(kind == "identifier", "$ID").when(kind == "keyword", prefix("kw:")).when(kind == "operator", prefix("op:")).when(kind == "delimiter", prefix("del:")).otherwise(raw)
+
+
+def _script(batches):
+    """Tokens of JavaScript files; import statements have none."""
+    from ..sources.javascript import scan
+
+    for batch in batches:
+        rows = []
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found, out, skipping = scan(text, not re.search(r"\.[mc]?ts$", path.lower()))[0], [], False
+            for i, t in enumerate(found):
+                after = found[i + 1].raw if i + 1 < len(found) else ""
+                before = found[i - 1] if i else None
+                if t.kind == "word" and t.raw == "import" and after not in ("(", ".") and (before is None or before.end < t.line or before.raw in (";", "}")):
+                    skipping = True
+                if skipping and t.raw != "import" and before.end < t.line and before.raw not in _GOES_ON and t.raw not in _GOES_ON | {"}"}:
+                    skipping = False  # an unfinished import ends with its line
+                if skipping:
+                    # up to the module's name and a semicolon on its line
+                    skipping = not (t.raw == ";" or (t.kind == "string" and not (after == ";" and found[i + 1].line == t.end)))
+                    continue
+                kind = (
+                    "keyword" if t.kind == "word" or (t.kind == "name" and t.raw in _WORDS) else "identifier" if t.kind == "name"
+                    else "literal" if t.kind in ("string", "num", "regexp", "text", "template") else "operator" if t.raw in _OPERATORS else "delimiter" if t.raw in _DELIMITERS else "other"
+                )
+                out.append({"raw": t.raw, "norm": _norm(t.raw, kind), "kind": kind, "line": t.line, "end": t.end})
+            rows.append(out)
+        lines = pa.array([t.count("\n") + 1 for t in batch.column(1).to_pylist()], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), lines, pa.array(rows, pa.list_(_TOKEN))], names=["path", "lines", "tokens"])
+
+
+#: Tokens of an import statement around which lines may end.
+_GOES_ON = {"import", "{", ",", "from", "*", "as", "type"}
+_WORDS, _OPERATORS, _DELIMITERS = set(KEYWORDS), set(OPERATORS), set(DELIMITERS)
+_SCHEMA = "path string, lines int, tokens array<struct<raw: string, norm: string, kind: string, line: int, end: int>>"
+
+
+def _generic(files: DataFrame) -> DataFrame:
     def of_line(line, i):
         bare = F.trim(line)
         skip = (bare == "") | bare.rlike(r"^(//|#|/\*|import |from |package )")
         raws = F.when(skip, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)))
         return F.transform(raws, lambda t: F.struct(t.alias("raw"), _kind(t).alias("kind"), (i + 1).alias("line")))
 
-    lines = F.split(text, "\n")
-    found = files.where(F.col(text).isNotNull()).select(F.col(path).alias("path"), F.size(lines).alias("lines"), F.flatten(F.transform(lines, of_line)).alias("t"))
-    norm = lambda t: F.when(t["kind"] == "literal", "$LIT").when(t["kind"] == "identifier", "$ID").when(t["kind"] == "keyword", F.concat(F.lit("kw:"), t["raw"])).when(t["kind"] == "operator", F.concat(F.lit("op:"), t["raw"])).when(t["kind"] == "delimiter", F.concat(F.lit("del:"), t["raw"])).otherwise(t["raw"])
-    return found.select("path", "lines", F.transform("t", lambda t: F.struct(t["raw"].alias("raw"), norm(t).alias("norm"), t["kind"].alias("kind"), t["line"].alias("line"))).alias("tokens"))
+    lines = F.split("text", "\n")
+    found = files.select("path", F.size(lines).alias("lines"), F.flatten(F.transform(lines, of_line)).alias("t"))
+    token = lambda t: F.struct(t["raw"].alias("raw"), _norm(t["raw"], t["kind"], F.when).alias("norm"), t["kind"].alias("kind"), t["line"].alias("line"), t["line"].alias("end"))
+    return found.select("path", "lines", F.transform("t", token).alias("tokens"))
+
+
+def tokens(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
+    """(path, lines, tokens: array of struct(raw, norm, kind, line, end)) of each file. JavaScript and TypeScript files are
+    scanned, without comments and import statements; others are read by one general pattern a line, and lines that are
+    blank, comments or imports have no token. Identifiers and literals become $ID and $LIT, other tokens stand for themselves
+    with their kind. Null paths and texts have no row; paths must be distinct."""
+    ship(files.sparkSession)
+    known = files.where(F.col(text).isNotNull() & F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"))
+    script = F.lower("path").rlike(JAVASCRIPT)
+    return known.where(script).mapInArrow(_script, _SCHEMA).unionByName(_generic(known.where(~script)))
+
+
+#: An odd factor of rolling hashes modulo 2^64, and its inverse.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+def _hash64(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+class _Rolling:
+    """Hashes of all stretches of a file's tokens in constant time."""
+
+    def __init__(self, ids: np.ndarray):
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * _powers(_FACTOR, len(ids)), dtype=np.uint64)))
+        self.back = _powers(_INVERSE, len(ids) + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
+def _coded(batches):
+    """Each file's normalised tokens as 64-bit codes."""
+    for batch in batches:
+        flat = batch.column(1).flatten()
+        norm = flat.field("norm").dictionary_encode()
+        codes = np.array([_hash64(x) for x in norm.dictionary.to_pylist()], np.uint64)
+        codes = codes[norm.indices.to_numpy()] if len(norm) else codes
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in batch.column(1)]))).astype(np.int64)
+        data = [codes[a:b].astype("<u8").tobytes() for a, b in zip(ends, ends[1:])]
+        kinds, line, last = flat.field("kind").to_pylist(), flat.field("line").to_numpy().astype("<i4"), flat.field("end").to_numpy().astype("<i4")
+        kind = np.array([1 if k == "delimiter" else 2 if k in ("keyword", "identifier", "literal") else 0 for k in kinds], np.uint8)
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), cut(kind), cut(line), cut(last)], names=["path", "codes", "kinds", "line", "last"])
+
+
+def _qualifying(size: int, least_lines: int, most_delimiters: float, least_words: int):
+    def run(batches):
+        for batch in batches:
+            for path, codes, kinds, line, last in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, kind = np.frombuffer(codes, "<u8"), np.frombuffer(kinds, np.uint8)
+                n = len(ids) - size + 1
+                if n < 1:
+                    continue
+                within = lambda mark: (lambda c: c[size:] - c[:-size])(np.concatenate(([0], np.cumsum(kind == mark))))
+                spread = np.frombuffer(last, "<i4")[size - 1 :] - np.frombuffer(line, "<i4")[:n] + 1
+                at = np.flatnonzero((spread >= least_lines) & (within(1) / size <= most_delimiters) & (within(2) >= least_words))
+                if not len(at):
+                    continue
+                rolling = _Rolling(ids)
+                # what stands before a window, back to the last one that qualifies; the first has a context of its own
+                left = rolling.of(np.concatenate((at[:1], at[:-1])), at)
+                left[0] = _hash64(f"{path}|")
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array(at.astype(np.int32)), pa.array(rolling.of(at, at + size).astype(np.int64)), pa.array(left.astype(np.int64))], names=["path", "start", "hash", "left"])
+
+    return run
 
 
 def windows(tokenized: DataFrame, size: int = 40, least_lines: int = 4, most_delimiters: float = 0.75, least_words: int = 5) -> DataFrame:
-    """(path, start, hash) of all windows of ``size`` tokens, by place from 0, that span enough lines, hold few enough
-    delimiters and enough keywords, identifiers and literals. Hashes stay bytes."""
-    flag = lambda *kinds: F.transform("tokens", lambda t: t["kind"].isin(*kinds))
-    long = tokenized.where(F.size("tokens") >= size).select(
-        "path", F.size("tokens").alias("n"), F.col("tokens.norm").alias("norm"), F.col("tokens.line").alias("line"), flag("delimiter").alias("delimiter"), flag("keyword", "identifier", "literal").alias("word")
-    )
-    count = lambda field, i: F.size(F.array_compact(F.transform(F.slice(field, i, size), lambda x: F.when(x, 1))))
+    """(path, start, hash, left) of all windows of ``size`` tokens, by place from 0, that span enough lines, hold few enough
+    delimiters and enough keywords, identifiers and literals. ``left`` is the hash of what stands before the window, back to
+    the file's last window that qualifies."""
+    return _windows(_codes(tokenized), size, least_lines, most_delimiters, least_words)
+
+
+def _codes(tokenized: DataFrame) -> DataFrame:
+    ship(tokenized.sparkSession)
+    return tokenized.select("path", "tokens").mapInArrow(_coded, "path string, codes binary, kinds binary, line binary, last binary")
+
+
+def _windows(codes: DataFrame, *rules) -> DataFrame:
+    return codes.mapInArrow(_qualifying(*rules), "path string, start int, hash long, left long")
+
+
+def _lengthened(size: int):
+    """Hashes of the stretches of twice, four times ... a window's length that begin at the places of a file."""
+    def run(batches):
+        for batch in batches:
+            for path, codes, starts in zip(*(c.to_pylist() for c in batch.columns)):
+                rolling, starts = _Rolling(np.frombuffer(codes, "<u8")), np.array(starts, np.int64)
+                n, k = len(codes) // 8, 1
+                while len(at := starts[starts + (size << k) <= n]):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(rolling.of(at, at + (size << k)).astype(np.int64))], names=["path", "start", "k", "hash"])
+                    k += 1
+
+    return run
+
+
+def _following(size: int):
+    """The codes from each place on, as far as another place may agree."""
+    def run(batches):
+        for batch in batches:
+            for path, codes, places in zip(*(c.to_pylist() for c in batch.columns)):
+                for first in range(0, len(places), 64):
+                    part = places[first : first + 64]
+                    cut = [codes[8 * p["start"] : 8 * (p["start"] + (size << (p["k"] + 1)))] for p in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([p["hash"] for p in part], pa.int64()), pa.array(cut, pa.binary()), pa.array([path] * len(part)), pa.array([p["start"] for p in part], pa.int32()), pa.array([p["left"] for p in part], pa.int64())], names=["hash", "following", "path", "start", "left"])
+
+    return run
+
+
+class _Nest:
+    """The suffix tree's intervals over the sorted places of one class of windows; holds each place's path, start and left
+    context, not what follows it. A subtree is (first, last, places by left context)."""
+
+    def __init__(self, size: int):
+        self.size, self.places, self.found = size, [], []
+        self.at: dict[tuple[str, int], int] = {}
+        self.stack: list[tuple[int, list]] = []
+
+    def add(self, path: str, start: int, left: int, agreed: int) -> None:
+        """The next place, and how many tokens it has in common with the one before."""
+        i = len(self.places)
+        if i:
+            self._meet(agreed)
+        self.places.append((path, start, left))
+        self.at[path, start] = i
+        self.last = (i, i, {left: [i]})
+
+    def _meet(self, agreed: int) -> None:
+        while self.stack and self.stack[-1][0] > agreed:
+            depth, parts = self.stack.pop()
+            self._close(depth, [*parts, self.last])
+        if agreed < self.size:
+            return
+        if self.stack and self.stack[-1][0] == agreed:
+            self.stack[-1][1].append(self.last)
+        else:
+            self.stack.append((agreed, [self.last]))
+
+    def finish(self) -> list[tuple[str, int, int]]:
+        """(path, start, length) of all instances."""
+        self._meet(-1)
+        return self.found
+
+    def _close(self, depth: int, parts: list) -> None:
+        whole = Counter()
+        for _, _, by in parts:
+            for left, own in by.items():
+                whole[left] += len(own)
+        first, last = parts[0][0], parts[-1][1]
+        for a, b, by in parts:
+            for left, own in by.items():
+                # places of other branches with other left contexts, less those too near in the same file
+                others = last - first - (b - a) - (whole[left] - len(own))
+                for i in own if others > 0 else ():
+                    if others >= self.size or others > self._near(i, first, last, a, b, left):
+                        self.found.append((*self.places[i][:2], depth))
+        parts.sort(key=lambda p: p[1] - p[0])
+        joined = parts.pop()[2]
+        for _, _, by in parts:
+            for left, own in by.items():
+                joined.setdefault(left, []).extend(own)
+        self.last = (first, last, joined)
+
+    def _near(self, i: int, first: int, last: int, a: int, b: int, left: int) -> int:
+        path, start, _ = self.places[i]
+        n = 0
+        for d in range(1, (self.size + 1) // 2):
+            for other in (self.at.get((path, start - d)), self.at.get((path, start + d))):
+                n += other is not None and first <= other <= last and not a <= other <= b and self.places[other][2] != left
+        return n
+
+
+def _repeated(size: int):
+    def flushed(nest):
+        found = nest.finish()
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], names=["path", "start", "length"])
+
+    def run(batches):
+        key, nest, before = None, None, b""
+        for batch in batches:
+            for h, following, path, start, left in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != key:
+                    if nest:
+                        yield flushed(nest)
+                    key, nest, before = h, _Nest(size), b""
+                n = min(len(before), len(following))
+                differ = np.flatnonzero(np.frombuffer(before[:n], "<u8") != np.frombuffer(following[:n], "<u8")) if before[:n] != following[:n] else ()
+                nest.add(path, start, left, int(differ[0]) if len(differ) else n // 8)
+                before = following
+        if nest:
+            yield flushed(nest)
+
+    return run
+
+
+def _regions(batches):
+    for batch in batches:
+        for path, toks, places in zip(*(c.to_pylist() for c in batch.columns)):
+            norm, raw = [t["norm"] for t in toks], [t["raw"] for t in toks]
+            digest = lambda field, p: hashlib.sha256("|".join(field[p["start"] : p["start"] + p["length"]]).encode("utf-8", "surrogatepass")).hexdigest()
+            for first in range(0, len(places), 1024):
+                part = places[first : first + 1024]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([digest(norm, p)[:32] for p in part]), pa.array([digest(raw, p) for p in part]), pa.array([p["length"] for p in part], pa.int32()), pa.array([path] * len(part)),
+                    pa.array([toks[p["start"]]["line"] for p in part], pa.int32()), pa.array([toks[p["start"] + p["length"] - 1]["end"] for p in part], pa.int32()),
+                ], names=["clone_hash", "raw_hash", "token_count", "path", "start_line", "end_line"])
+
 
-    def at(i):
-        spread = F.element_at("line", i + size - 1) - F.element_at("line", i) + 1
-        ok = (spread >= least_lines) & (count("delimiter", i) / size <= most_delimiters) & (count("word", i) >= least_words)
-        return F.when(ok, F.struct((i - 1).alias("start"), F.unhex(F.sha2(F.array_join(F.slice("norm", i, size), "|").cast("binary"), 256)).alias("hash")))
+def clone_places(tokenized: DataFrame, size: int = 40, least_lines: int = 4) -> DataFrame:
+    """(path, start, length): the instances of all groups of equal regions, in tokens.
 
-    return long.select("path", F.explode(F.array_compact(F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), at))).alias("w")).select("path", "w.*")
+    Two equal windows, of different files or half a window apart, begin a run if what stands before them differs, back to
+    the last window of each that qualifies; the run goes on to the last token that they have in common. A group is what
+    equals a run, an instance a place that begins one of the group's length with another place. No pair is made: see the
+    module. Places of one class of windows, some 200 bytes each, are held by one task."""
+    codes = settled(_codes(tokenized))
+    w = settled(_windows(codes, size, least_lines, 0.75, 5))
+    mixed = w.groupBy("hash").agg(F.min("left").alias("a"), F.max("left").alias("b")).where("a <> b").select("hash")
+    begun = settled(w.join(mixed, "hash", "left_semi"))
+    code = codes.select("path", "codes")
+    longer = settled(code.join(begun.groupBy("path").agg(F.collect_list("start").alias("starts")), "path").mapInArrow(_lengthened(size), "path string, start int, k int, hash long"))
+    again = longer.groupBy("k", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    reach = longer.join(again, ["k", "hash"], "left_semi").groupBy("path", "start").agg(F.max("k").alias("k"))
+    place = F.struct("start", "hash", "left", F.coalesce("k", F.lit(0)).alias("k"))
+    wanted = begun.join(reach, ["path", "start"], "left").groupBy("path").agg(F.collect_list(place).alias("places"))
+    following = code.join(wanted, "path").mapInArrow(_following(size), "hash long, following binary, path string, start int, left long")
+    return following.repartition("hash").sortWithinPartitions("hash", "following", "path", "start").mapInArrow(_repeated(size), "path string, start int, length int")
 
 
 def clone_regions(tokenized: DataFrame, size: int = 40, least_lines: int = 4) -> DataFrame:
-    """(clone_hash, type, token_count, path, start_line, end_line): the instances of each group of equal regions.
-
-    Every window is held against the first window of its hash by path and place, never against all others; runs of
-    windows on one diagonal to the same first file are one region of a longest common run. Windows of one file must be
-    half a window apart. A region's hash is that of its normalised tokens, so regions that equal the same first region
-    fall together; TYPE_1 if all tokens of all instances are equal as written, else TYPE_2. Instances that start and end
-    on the same lines count once. Copies that share more with each other than with the first one are cut there: what only the
-    others share is a region of its own. Tokens and windows are made once and kept in checkpoints."""
+    """(clone_hash, type, token_count, path, start_line, end_line): the instances of each group of equal regions, which are
+    those of :func:`clone_places`. A region's hash is that of its normalised tokens; TYPE_1 if all tokens of all instances are
+    equal as written, else TYPE_2. In the order of their lines, an instance goes whose both ends lie within two lines of one
+    that was kept in its file; groups with fewer than two kept instances go too. An empty table gives an empty result."""
     tokenized = settled(tokenized)
-    w = settled(windows(tokenized, size, least_lines))
-    first = w.groupBy("hash").agg(F.min(F.struct("path", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    apart = (F.col("path") != F.col("first.path")) | (F.col("start") - F.col("first.start") >= size / 2)
-    met = w.join(first, "hash").where(apart).select("path", "start", F.col("first.path").alias("of"), (F.col("start") - F.col("first.start")).alias("diagonal"))
-    rank = F.row_number().over(Window.partitionBy("path", "of", "diagonal").orderBy("start"))
-    runs = met.withColumn("run", F.col("start") - rank).groupBy("path", "of", "diagonal", "run").agg(F.min("start").alias("start"), (F.count("*") + size - 1).cast("int").alias("length"))
-    own = runs.select("path", "start", "length")
-    theirs = runs.select(F.col("of").alias("path"), (F.col("start") - F.col("diagonal")).alias("start"), "length")
-    places = own.union(theirs).distinct()
-    cut = places.join(tokenized, "path").select("path", F.slice("tokens", F.col("start") + 1, F.col("length")).alias("t"))
-    digest = lambda field: F.sha2(F.array_join(F.transform("t", lambda t: t[field]), "|").cast("binary"), 256)
-    region = settled(cut.select(
-        F.substring(digest("norm"), 1, 32).alias("clone_hash"), digest("raw").alias("raw_hash"), F.size("t").alias("token_count"), "path",
-        F.element_at("t", 1)["line"].alias("start_line"), F.element_at("t", -1)["line"].alias("end_line"),
-    ))
-    # equal regions whose both ends lie within two lines of one kept before are one instance
-    by = Window.partitionBy("clone_hash", "path").orderBy("start_line", "end_line")
-    near = (F.col("start_line") - F.lag("start_line").over(by) <= 2) & (F.abs(F.col("end_line") - F.lag("end_line").over(by)) <= 2)
-    kept = region.withColumn("near", F.coalesce(near, F.lit(False))).where("not near").drop("near")
-    kinds = region.groupBy("clone_hash").agg(F.min("raw_hash").alias("a"), F.max("raw_hash").alias("b"))
-    several = kept.groupBy("clone_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return kept.join(several, "clone_hash").join(kinds, "clone_hash").select("clone_hash", F.when(F.col("a") == F.col("b"), "TYPE_1").otherwise("TYPE_2").alias("type"), "token_count", "path", "start_line", "end_line")
+    places = clone_places(tokenized, size, least_lines).groupBy("path").agg(F.collect_list(F.struct("start", "length")).alias("places"))
+    cut = tokenized.select("path", "tokens").join(places, "path")
+    region = settled(cut.mapInArrow(_regions, "clone_hash string, raw_hash string, token_count int, path string, start_line int, end_line int"))
+    lines = F.array_sort(F.collect_list(F.struct("start_line", "end_line")))
+    near = lambda x: lambda y: (F.abs(x["start_line"] - y["start_line"]) <= 2) & (F.abs(x["end_line"] - y["end_line"]) <= 2)
+    keep = lambda kept, x: F.when(F.exists(kept, near(x)), kept).otherwise(F.concat(kept, F.array(x)))
+    of_file = region.groupBy("clone_hash", "path", "token_count").agg(lines.alias("l"), F.min("raw_hash").alias("a"), F.max("raw_hash").alias("b"))
+    folded = of_file.withColumn("l", F.aggregate("l", F.array().cast("array<struct<start_line: int, end_line: int>>"), keep))
+    groups = folded.groupBy("clone_hash").agg(F.sum(F.size("l")).alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).where("n > 1")
+    kind = groups.select("clone_hash", F.when(F.col("a") == F.col("b"), "TYPE_1").otherwise("TYPE_2").alias("type"))
+    return folded.select("clone_hash", "token_count", "path", F.explode("l").alias("l")).join(kind, "clone_hash").select("clone_hash", "type", "token_count", "path", "l.start_line", "l.end_line")
 
 
 def clone_groups(regions: DataFrame) -> DataFrame:

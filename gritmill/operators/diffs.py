@@ -1,57 +1,89 @@
-"""Unified diffs as relations: lines, hunks and files by windows over a diff's line numbers, ranges by islands."""
+"""Unified diffs as relations: each diff's lines by one pass over its text, files and hunks by grouping, ranges by islands."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import git_path
+from ..shipping import ship
 from .intervals import compress
 
+# The header of a hunk, and what lines between hunks begin with.
 _HUNK = r"^@@\s+-([0-9]+)(?:,([0-9]+))?\s+\+([0-9]+)(?:,([0-9]+))?\s+@@(?:\s+(.*))?$"
+_HEAD = r"(diff --git |new file mode |deleted file mode |rename (from|to) |copy (from|to) |Binary files .*differ|GIT binary patch|--- |\+\+\+ )"
+_KINDS = {"+": "add", "-": "del", " ": "context", "\\": "mark"}
+_hunk, _head = re.compile(_HUNK, re.ASCII), re.compile(_HEAD)
+
+
+def read_lines(text: str):
+    """(line_no, file_no, hunk_no, kind, old_line, new_line, line) of one diff's lines from its first header on."""
+    lines = re.split(r"\r?\n", text)
+    git = False  # whether a git header came before
+    file_no = hunk_no = old = new = old_left = new_left = 0
+    inside = False
+    for i, line in enumerate(lines):
+        opens = line.startswith("diff --git ")
+        if not file_no and not git and not opens:
+            opens = line.startswith("--- ")  # a diff without git's headers begins with its first old path
+        git |= line.startswith("diff --git ")
+        if opens:
+            file_no, hunk_no, inside, old_left, new_left = file_no + 1, 0, False, 0, 0
+        if not file_no:
+            continue
+        # a deleted line -- x looks like a header; it is one if the hunk has all its lines, or a new hunk follows too early
+        content = inside and line[:1] in "+-" and (old_left if line[:1] == "-" else new_left) > 0
+        if content and line.startswith("--- ") and (old_left, new_left) != (1, 1):
+            content = not (lines[i + 1 : i + 2] and lines[i + 1].startswith("+++ ") and lines[i + 2 : i + 3] and lines[i + 2].startswith("@@ "))
+        old_line = new_line = None
+        if opens or (_head.match(line) and not content):
+            kind = "head"
+            if line.startswith("--- "):
+                old_left = new_left = 0
+        elif line.startswith("@@ "):
+            m = _hunk.match(line)
+            kind, inside = ("hunk", True) if m else ("malformed", False)
+            if m:
+                hunk_no += 1
+                old, new = int(m[1]), int(m[3])
+                old_left, new_left = (1 if m[k] is None else int(m[k]) for k in (2, 4))
+        elif inside and line[:1] in _KINDS:
+            kind = _KINDS[line[0]]
+            if kind in ("del", "context"):
+                old_line, old, old_left = old, old + 1, old_left - 1
+            if kind in ("add", "context"):
+                new_line, new, new_left = new, new + 1, new_left - 1
+        else:
+            kind = "other"
+        yield i, file_no, hunk_no, kind, old_line, new_line, line
 
 
 def diff_lines(diffs: DataFrame, id_col: str = "diff_id", text_col: str = "diff") -> DataFrame:
-    """(diff_id, line_no, file_no, hunk_no, kind, old_line, new_line, line) of all lines of all diffs.
+    """(diff_id, line_no, file_no, hunk_no, kind, old_line, new_line, line) of all lines of all diffs, without a shuffle.
 
     ``kind`` is add, del, context or mark within a hunk, and head, hunk, malformed or other elsewhere; old_line and
-    new_line are the line's places in the old and the new file. A diff is one row of text, so its windows hold no more
-    than that row. Null and blank diffs have no lines; equal ids of several diffs must be made distinct before."""
+    new_line are the line's places in the old and the new file. As long as a hunk lacks lines of its header's counts, a line
+    that looks like a file's header is one of its lines. A malformed header ends the hunk before it. Null and blank diffs
+    have no lines; equal ids of several diffs must be made distinct before."""
     rows = diffs.select(F.col(id_col).alias("diff_id"), F.col(text_col).alias("t")).where(F.trim("t") != "")
-    lines = rows.select("diff_id", F.posexplode(F.split("t", r"\r?\n")).alias("line_no", "line"))
-    by = Window.partitionBy("diff_id").orderBy("line_no")
-    git = F.col("line").startswith("diff --git ")
-    ever = F.max(git.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    plain = F.col("line").startswith("--- ") & (ever == 0)  # a diff without git's headers begins with its first old path
-    first_plain = F.sum(plain.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    lines = lines.withColumn("opens", git | (plain & (first_plain == 1))).withColumn("file_no", F.sum(F.col("opens").cast("int")).over(by))
-    lines = lines.where("file_no > 0")
-    in_file = Window.partitionBy("diff_id", "file_no").orderBy("line_no")
-    head = F.col("line").rlike(r"^(diff --git |new file mode |deleted file mode |rename (from|to) |copy (from|to) |Binary files .*differ|GIT binary patch|--- |\+\+\+ )")
-    good = F.col("line").rlike(_HUNK)
-    lines = lines.withColumn("hunk_no", F.sum(F.when(F.col("line").startswith("@@ ") & good, 1).otherwise(0)).over(in_file))
-    # a malformed header ends the hunk before it
-    lines = lines.withColumn("section", F.sum(F.col("line").startswith("@@ ").cast("int")).over(in_file))
-    lines = lines.withColumn("broken", F.max(F.when(F.col("line").startswith("@@ ") & ~good, True)).over(Window.partitionBy("diff_id", "file_no", "section")))
-    inside = (F.col("hunk_no") > 0) & F.col("broken").isNull()
-    kind = (
-        F.when(F.col("opens") | head, "head")
-        .when(F.col("line").startswith("@@ "), F.when(good, "hunk").otherwise("malformed"))
-        .when(inside & F.col("line").startswith("+"), "add")
-        .when(inside & F.col("line").startswith("-"), "del")
-        .when(inside & F.col("line").startswith(" "), "context")
-        .when(inside & F.col("line").startswith("\\"), "mark")
-        .otherwise("other")
-    )
-    lines = lines.withColumn("kind", kind)
-    in_hunk = Window.partitionBy("diff_id", "file_no", "hunk_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = Window.partitionBy("diff_id", "file_no", "hunk_no")
-    place = lambda group, kinds: F.max(F.when(F.col("kind") == "hunk", F.regexp_extract("line", _HUNK, group).cast("int"))).over(starts) + F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("int")).over(in_hunk), F.lit(0))
-    return lines.select(
-        "diff_id", "line_no", "file_no", "hunk_no", "kind",
-        F.when(F.col("kind").isin("del", "context"), place(1, ("del", "context"))).alias("old_line"),
-        F.when(F.col("kind").isin("add", "context"), place(3, ("add", "context"))).alias("new_line"), "line",
-    )
+    kind = diffs.schema[id_col].dataType.simpleString()
+    names = ["line_no", "file_no", "hunk_no", "kind", "old_line", "new_line", "line"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = list(read_lines(text))
+                for first in range(0, len(found), 8192):
+                    columns = zip(*found[first : first + 8192])
+                    own = pa.concat_arrays([batch.column(0).slice(i, 1)] * len(found[first : first + 8192]))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns, types))], names=["diff_id", *names])
+
+    ship(diffs.sparkSession)
+    return rows.mapInArrow(run, f"diff_id {kind}, line_no int, file_no long, hunk_no long, kind string, old_line long, new_line long, line string")
 
 
 def diff_files(lines: DataFrame) -> DataFrame:

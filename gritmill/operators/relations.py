@@ -20,13 +20,13 @@ def joined_path(folder: Column, path: Column) -> Column:
     return F.when(path.endswith("/") & (bare != "."), F.concat(bare, F.lit("/"))).otherwise(bare)
 
 
-def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """The imports (file, target, symbols, line) with ``resolved``: the first existing file that a relative target may
+def resolved_imports(imports: DataFrame, files: DataFrame, endings: list[str] = IMPORT_ENDINGS) -> DataFrame:
+    """The imports (file, target and any other columns) with ``resolved``: the first existing file that a relative target may
     name, the bare joined path if there is none, and any other target as it is. Null targets resolve to null."""
     folder = F.when(F.col("file").contains("/"), F.regexp_replace("file", "/[^/]*$", "")).otherwise(".")
     local = F.col("target").startswith(".")
     rows = imports.withColumn("__path", F.when(local, joined_path(folder, F.col("target"))))
-    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(e).alias("e")) for i, e in enumerate(IMPORT_ENDINGS)])
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(e).alias("e")) for i, e in enumerate(endings)])
     tried = rows.where(local).select("__path").distinct().select("__path", F.explode(ends).alias("x")).select("__path", F.col("x.i").alias("i"), F.concat("__path", "x.e").alias("path"))
     hit = tried.join(files.select("path").distinct(), "path").groupBy("__path").agg(F.min_by("path", "i").alias("__hit"))
     return rows.join(hit, "__path", "left").withColumn("resolved", F.when(local, F.coalesce("__hit", "__path")).otherwise(F.col("target"))).drop("__path", "__hit")

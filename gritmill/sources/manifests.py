@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.advisories import package_name
+from ..functions.advisories import bare_version, package_name
+from ..operators.rounds import settled
+from ..shipping import ship
 
 SCHEMA = "path string, ecosystem string, package_name string, version string, version_specifier string, dependency_type string, is_direct boolean, depth int, parent_package string"
 #: Sections that declare dependencies, in the order in which a name of several sections takes its type.
@@ -18,10 +20,11 @@ _MODULES = re.compile(r"(?:^|/)node_modules/")
 
 
 def kind_of(path: Column) -> Column:
-    """Which reader a file needs, by its name; null for none."""
+    """Which reader a file needs, by its name; null for none. Manifests of installed packages aren't read."""
     p = F.lower(path)
+    npm, pypi = ~p.contains("node_modules"), ~p.contains("site-packages")
     return (
-        F.when(p.endswith("package-lock.json"), "lock").when(p.endswith("package.json"), "package").when(p.endswith("requirements.txt"), "requirements")
+        F.when(npm & p.endswith("package-lock.json"), "lock").when(npm & p.endswith("package.json"), "package").when(pypi & p.rlike(r"requirements(-dev)?\.txt$"), "requirements")
         .when(p.endswith("pom.xml"), "maven").when(p.rlike(r"\.gradle(\.kts)?$"), "gradle")
     )
 
@@ -79,7 +82,7 @@ def lock_rows(text: str | None, manifest: dict | None = None) -> list[tuple]:
     for empty, damaged or other JSON. Rows of one name, version and parent count once."""
     try:
         lock = json.loads(text) if text and text.strip() else {}
-    except ValueError:
+    except (ValueError, RecursionError):
         return []
     if not isinstance(lock, dict):
         return []
@@ -110,10 +113,14 @@ def lock_rows(text: str | None, manifest: dict | None = None) -> list[tuple]:
                 add(name, version, None, _flag(entry), False, depth, parent)
         return list(rows.values())
 
-    def walk(level: dict, parent: str | None, depth: int) -> None:
-        for name, entry in level.items():
-            if not name or not isinstance(entry, dict):
-                continue
+    # depth first in the order of the file, without recursion
+    levels = [(iter(_table(lock.get("dependencies")).items()), None, 1)]
+    while levels:
+        entries, parent, depth = levels[-1]
+        name, entry = next(entries, (None, None))
+        if name is None:
+            levels.pop()
+        elif name and isinstance(entry, dict):
             version = str(entry.get("version") or "0.0.0").strip()
             if depth == 1 and name in direct:
                 kind, spec = direct[name]
@@ -122,9 +129,7 @@ def lock_rows(text: str | None, manifest: dict | None = None) -> list[tuple]:
                 add(name, version, spec, kind, True, 1, None)
             else:
                 add(name, version, None, _flag(entry, ("dev", "optional")), False, depth, parent)
-            walk(_table(entry.get("dependencies")), name, depth + 1)
-
-    walk(_table(lock.get("dependencies")), None, 1)
+            levels.append((iter(_table(entry.get("dependencies")).items()), name, depth + 1))
     return list(rows.values())
 
 
@@ -138,30 +143,34 @@ def read_locks(files: DataFrame) -> DataFrame:
             for path, content, manifest in batch.itertuples(index=False):
                 try:
                     own = json.loads(manifest) if manifest else {}
-                except ValueError:
+                except (ValueError, RecursionError):
                     own = {}
                 out += [(path, "npm", *row) for row in lock_rows(content, _table(own))]
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
+    ship(files.sparkSession)
     return files.select("path", "content", "manifest").mapInPandas(run, SCHEMA)
 
 
-def _direct(rows: DataFrame, ecosystem: str, name: Column, version: Column, kind: Column) -> DataFrame:
+def _direct(rows: DataFrame, ecosystem: str, name: Column, specifier: Column, kind: Column) -> DataFrame:
     none = F.lit(None).cast("string")
-    return rows.select("path", F.lit(ecosystem).alias("ecosystem"), name.alias("package_name"), version.alias("version"), version.alias("version_specifier"), kind.alias("dependency_type"), F.lit(True).alias("is_direct"), F.lit(1).alias("depth"), none.alias("parent_package"))
+    return rows.select(
+        "path", F.lit(ecosystem).alias("ecosystem"), name.alias("package_name"), bare_version(specifier).alias("version"), specifier.alias("version_specifier"),
+        kind.alias("dependency_type"), F.lit(True).alias("is_direct"), F.lit(1).alias("depth"), none.alias("parent_package"),
+    )
 
 
 def read_packages(files: DataFrame) -> DataFrame:
-    """Declared dependencies of package.json files; damaged JSON gives none."""
+    """Declared dependencies of package.json files, a row for each section that has a name; damaged JSON gives none."""
     maps = ", ".join(f"{s}: map<string, string>" for s in SECTIONS)
     parsed = files.select("path", F.from_json("content", f"struct<{maps}>").alias("j"))
 
     def entries(section: str, kind: str) -> Column:
         pairs = F.map_entries(F.coalesce(F.col(f"j.{section}"), F.create_map().cast("map<string,string>")))
-        return F.transform(pairs, lambda e: F.struct(F.trim(e["key"]).alias("name"), F.coalesce(e["value"], F.lit("*")).alias("spec"), F.lit(kind).alias("kind")))
+        spec = lambda e: F.when(F.coalesce(e["value"], F.lit("")) == "", "*").otherwise(e["value"])
+        return F.transform(pairs, lambda e: F.struct(F.trim(e["key"]).alias("name"), spec(e).alias("spec"), F.lit(kind).alias("kind")))
 
-    kinds = [entries(*x) for x in SECTIONS.items()]
-    rows = parsed.select("path", F.explode(F.flatten(F.array(*kinds))).alias("d")).where("d.name <> ''")
+    rows = parsed.select("path", F.explode(F.flatten(F.array(*[entries(*x) for x in SECTIONS.items()]))).alias("d")).where("d.name <> ''")
     return _direct(rows, "npm", F.col("d.name"), F.col("d.spec"), F.col("d.kind"))
 
 
@@ -190,22 +199,26 @@ def read_gradle(files: DataFrame) -> DataFrame:
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """All dependencies of a snapshot's files (path, content). A folder's lockfile stands for its package.json; rows of one
-    ecosystem, normal name, version, parent and file count once. Files of other names and null contents give nothing."""
-    f = files.select("path", "content", kind_of(F.col("path")).alias("kind"), F.regexp_replace("path", "[^/]*$", "").alias("folder")).where("kind is not null and content is not null")
-    locks, packages = f.where("kind = 'lock'"), f.where("kind = 'package'")
-    beside = packages.groupBy("folder").agg(F.min("content").alias("manifest"))
-    parts = [
-        read_locks(locks.join(beside, "folder", "left")),
-        read_packages(packages.join(locks.select("folder").distinct(), "folder", "left_anti")),
-        read_requirements(f.where("kind = 'requirements'")),
-        read_maven(f.where("kind = 'maven'")),
-        read_gradle(f.where("kind = 'gradle'")),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    """All dependencies of a snapshot's files (path, content), with normalized_name.
+
+    A folder's package.json files count only where none of its lockfiles gives a dependency; a lockfile takes its
+    specifiers from the package.json beside it if it has none itself. Versions are specifiers without their operators.
+    Rows of one ecosystem, name, version, parent and file count once: the one with the least depth, then the type that
+    comes first of direct, development, peer, optional and others. Files of other names, of installed packages, null
+    paths and null contents give nothing; of several rows of one path all are read. An empty table gives an empty result."""
+    path = F.replace("path", F.lit("\\"), F.lit("/"))
+    f = files.select(path.alias("path"), "content").where("content is not null")
+    f = f.select("path", "content", kind_of(F.col("path")).alias("kind"), F.regexp_replace("path", "[^/]*$", "").alias("folder")).where("kind is not null")
+    packages = f.where("kind = 'package'")
+    beside = packages.where(F.col("path") == F.concat("folder", F.lit("package.json"))).groupBy("folder").agg(F.min("content").alias("manifest"))
+    locked = settled(read_locks(f.where("kind = 'lock'").join(beside, "folder", "left")))  # read twice below
+    full = locked.select(F.regexp_replace("path", "[^/]*$", "").alias("folder")).distinct()
+    rows = locked.unionByName(read_packages(packages.join(full, "folder", "left_anti")))
+    for kind, read in (("requirements", read_requirements), ("maven", read_maven), ("gradle", read_gradle)):
+        rows = rows.unionByName(read(f.where(F.col("kind") == kind)))
     rows = rows.withColumn("normalized_name", package_name(F.col("ecosystem"), F.col("package_name")))
-    keys = ["ecosystem", "normalized_name", "version", "parent_package", "path"]
+    keys = ["ecosystem", "package_name", "version", "parent_package", "path"]
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min(F.struct(F.col("depth").alias("d"), *rest)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    order = F.array_position(F.array(*[F.lit(t) for t in ("direct", "development", "peer", "optional")]), F.col("dependency_type"))
+    first = F.struct("depth", F.when(order == 0, 9).otherwise(order), F.coalesce("version_specifier", F.lit("")))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), first).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])

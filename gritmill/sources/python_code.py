@@ -7,6 +7,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 #: Patterns of declarations and of what a function's lines are counted for.
 FROM = re.compile(r"^from\s+([\w.\-]+)\s+import\s+(.+)$", re.ASCII)
 CLASS = re.compile(r"^class\s+([a-zA-Z_]\w*)(?:\(([a-zA-Z_]\w*)\))?\s*:", re.ASCII)
@@ -93,7 +95,7 @@ def _count(f: dict, line: str, deeper: int, number: int, calls: list) -> None:
 
 def read_python(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
     """The outline of each file as one row of :data:`SCHEMA`; outlines leave a worker some files at a time."""
-    schema = files.sparkSession.createDataFrame([], SCHEMA).schema
+    schema = ship(files.sparkSession).createDataFrame([], SCHEMA).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)

@@ -123,7 +123,7 @@ def test_lockfiles_and_manifests(spark):
     assert lock["accepts"] == ("1.3.8", None, "transitive", False, 2, "express") and lock["mime-types"][4:] == (3, "accepts") and lock["cookie"][4:] == (2, "express")
     assert by("x/package-lock.json") == {"a": ("1.0.0", "^1", "direct", True, 1, None), "b": ("2.0.0", None, "development", False, 2, "a"), "c": ("0.0.0", None, "optional", False, 1, None)}
     assert {k: v[:3] for k, v in by("y/package.json").items()} == {"q": ("1", "1", "direct"), "r": ("*", "*", "development")}
-    assert {k: v[0] for k, v in by("y/requirements.txt").items()} == {"Flask": ">=2.0", "plain": "*"}
+    assert {k: v[0] for k, v in by("y/requirements.txt").items()} == {"Flask": "2.0", "plain": "*"}
     assert {k: (v[0], v[2]) for k, v in by("z/pom.xml").items()} == {"g:a": ("1", "test"), "g:b": ("*", "direct")}
     assert {k: v[0] for k, v in by("z/build.gradle").items()} == {"g:n": "1.0", "h:m": "2"}
     assert {r.path for r in rows} == {"package-lock.json", "x/package-lock.json", "y/package.json", "y/requirements.txt", "z/pom.xml", "z/build.gradle"}

@@ -1,8 +1,8 @@
 import pytest
 from conftest import DATA
-from compare import rows
+from compare import clone_groups, rows
 
-from gritmill.plans import core, more, repository  # noqa: F401
+from gritmill.plans import code, core, more, repository  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
@@ -20,32 +20,13 @@ def test_entry_imports_and_runs(spark):
 
 
 def test_token_clones_against_brute_force(spark, duck):
-    ops, size = "+-*/%&|^", 40
+    ops = "+-*/%&|^"
     files = {}
     for k, n in duck.sql("SELECT p_partkey, p_size FROM part").fetchall():
         name = f"v{k}" if k % 2 == 0 else "vw"
-        files[f"src/p{k}.js"] = [t for i in range(1, 13) for t in (name, "=", "a", ops[(n * (i * 3 + 1) + i * i) % 8], "b", ops[(n * (i * 5 + 1) + i * i) % 8], "7", ";")]
-    norm = {p: tuple("$ID" if t[0].isalpha() else t for t in ts) for p, ts in files.items()}
-    at = {(p, s): norm[p][s : s + size] for p in files for s in range(len(norm[p]) - size + 1)}
-    first = {}
-    for place in sorted(at):
-        first.setdefault(at[place], place)
-    met = {(p, s, *first[w]) for (p, s), w in at.items() if first[w][0] != p or s - first[w][1] >= size / 2}
-    places = set()
-    for p, s, q, t in met:
-        if (p, s - 1, q, t - 1) not in met:
-            n = 0
-            while (p, s + n, q, t + n) in met:
-                n += 1
-            places |= {(p, s, n + size - 1), (q, t, n + size - 1)}
-    groups = {}
-    for p, s, n in places:
-        groups.setdefault(norm[p][s : s + n], []).append((p, s // 8 + 1, (s + n - 1) // 8 + 1, tuple(files[p][s : s + n])))
-    want = []
-    for key, found in groups.items():
-        found.sort()
-        kept = [x for i, x in enumerate(found) if not (i and found[i - 1][0] == x[0] and x[1] - found[i - 1][1] <= 2 and abs(x[2] - found[i - 1][2]) <= 2)]
-        if len(kept) > 1:
-            want.append(("TYPE_1" if len({x[3] for x in found}) == 1 else "TYPE_2", len(key), len(kept), max(x[2] - x[1] + 1 for x in kept), len({x[0] for x in kept}) == 1))
+        raws = [t for i in range(1, 13) for t in (name, "=", "a", ops[(n * (i * 3 + 1) + i * i) % 8], "b", ops[(n * (i * 5 + 1) + i * i) % 8], "7", ";")]
+        kind = lambda t: "identifier" if t[0].isalpha() else "literal" if t.isdigit() else "delimiter" if t == ";" else "operator"
+        files[f"src/p{k}.js"] = [("$ID" if t[0].isalpha() else t, t, kind(t), i // 8 + 1, i // 8 + 1) for i, t in enumerate(raws)]
+    want = [(kind, n, len(at), max(b - a + 1 for _, a, b in at), len({p for p, _, _ in at}) == 1) for kind, n, at in clone_groups(files, 40, 4)]
     got = [(r.type, r.token_count, r.instances, r.line_count, r.is_intra_file) for r in core.QUERIES["token_clones"](spark, DATA).collect()]
     assert sorted(got) == sorted(want) and got
