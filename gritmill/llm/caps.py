@@ -203,8 +203,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect():
         filters = max(64, r["n"] // PER_FILTER)
         code = Code(r["dim"], filters)
-        part = FIT_ON / r["n"]
-        some = classes.where((F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)).select("v").limit(4 * FIT_ON).toArrow()
+        # a seeded sample of about FIT_ON vectors; the hash decides, so its size is bounded in all likelihood
+        part = F.pmod(F.xxhash64("cid"), F.lit(1 << 40)) < int(min(1.0, FIT_ON / r["n"]) * (1 << 40)) + 1
+        some = classes.where((F.col("dim") == r["dim"]) & part).select("v").toArrow()
         plans[r["dim"]] = (filters, fit_bound(code, _unit(_matrix(some.column(0)))))
 
     kind = classes.schema["v"].dataType.simpleString()

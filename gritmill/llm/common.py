@@ -7,8 +7,6 @@ import contextlib
 import logging
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows of one Arrow batch; texts may be very long, so batches are kept small.
 BATCH_ROWS = 256
 #: Bytes of text that the numpy kernels take at a time; they take longer texts in pieces.
@@ -25,17 +25,12 @@ TASK_ROWS = 4096
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once a session, and keeps Arrow batches small enough for very long texts."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_gritmill_sent", False):
-        package = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="gritmill-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(target))
-        sc._gritmill_sent = True
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Sends this package to the executors, and keeps Arrow batches small enough for very long texts: the session's
+    spark.sql.execution.arrow.maxRecordsPerBatch is lowered to BATCH_ROWS if it is higher, for good."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark
 
 

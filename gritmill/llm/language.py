@@ -4,7 +4,8 @@ A text is lower-cased, every ASCII character that is no letter becomes a space,
 are hashed into buckets; a document is the mean of its buckets' embeddings, a linear softmax gives the languages. As
 the model is linear, scoring needs one table of buckets x languages and runs over whole texts in vectorised blocks.
 Rejection is calibrated: a temperature is fitted on rows kept back from training, and a text is rejected if the
-calibrated probability of its best language is below the ``reject_rate`` quantile of those rows, at most 0.5.
+calibrated probability of its best language is below the bound that best tells the whole texts kept back from the same
+texts with all their letters shuffled. To lose a text weighs as much as to let ``KEEP`` shuffled ones pass.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ DIM = 16
 SIZES = (2, 3, 4)
 #: Training rows of each language at most.
 PER_LANGUAGE = 800
+#: How many shuffled texts may pass for each whole text that is kept.
+KEEP = 100
 
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
@@ -90,6 +93,8 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    lost: float = 0.0  # share of the whole texts kept back that the bound rejects
+    passed: float = 1.0  # share of the shuffled ones that it lets pass
 
     def probabilities(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text: the calibrated probabilities of the languages, and whether it has a letter."""
@@ -105,7 +110,7 @@ class LanguageModel:
         return np.concatenate(probs), np.concatenate(lettered).astype(bool)
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 12, batch: int = 64, rate: float = 20.0, reject_rate: float = 0.0005, bits: int = BUCKETS_LOG2) -> LanguageModel:
+def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 12, batch: int = 64, rate: float = 20.0, bits: int = BUCKETS_LOG2) -> LanguageModel:
     """Fits the embeddings and the softmax jointly. Every fifth row is kept back for the calibration. Besides whole
     texts, pieces of them are learned, so that short texts are known too. Without rows the model knows no language."""
     rng = np.random.default_rng(seed)
@@ -174,11 +179,29 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 12, batch: i
         return -z[np.arange(len(truth)), truth].mean()
 
     model.temperature = float(min(np.geomspace(0.2, 5, 40), key=loss))
-    probs, _ = model.probabilities(pa.array([pieces[k] for k in check]))
-    model.threshold = float(min(0.5, np.quantile(probs.max(axis=1), reject_rate)))
+    back = [text for k, (text, _) in enumerate(rows) if k % 5 == 4] or [text for text, _ in rows]
+    best = lambda texts_: model.probabilities(pa.array(texts_, pa.string()))[0].max(axis=1)
+    model.threshold, model.lost, model.passed = bound(best(back), best([shuffled(t, rng) for t in back]))
     return model
 
 
+def shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters in another order, all else in place."""
+    chars = np.array(list(text), dtype=object)
+    at = np.flatnonzero([c.isalpha() for c in chars])
+    chars[at] = chars[rng.permutation(at)]
+    return "".join(chars)
+
+
+def bound(genuine: np.ndarray, nonsense: np.ndarray) -> tuple[float, float, float]:
+    """The smallest bound of least cost, and the shares of genuine scores below it and of nonsense at or above it."""
+    places = np.unique(np.concatenate(([0.0], genuine, nonsense, nonsense + 1e-9)))
+    lost = np.searchsorted(np.sort(genuine), places) / max(1, len(genuine))
+    passed = 1 - np.searchsorted(np.sort(nonsense), places) / max(1, len(nonsense))
+    k = int(np.argmin(KEEP * lost + passed))
+    return float(places[k]), float(lost[k]), float(passed[k])
+
+
 def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE, learn=None) -> LanguageModel:
     """Trains on a sample of at most about ``per_language`` documents of each language, each row with its own label; rows
     whose crc32(doc_id as text) mod 4 is 2 are never learned from. ``learn`` may replace that condition on id."""

@@ -17,7 +17,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, seeded
+from .common import Workspace, free_name, seeded
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -127,7 +127,8 @@ def mix(
     share: float = SHARE,
     copies: int = MAX_COPIES,
 ) -> DataFrame:
-    """All rows of ``docs`` and their columns, with ``__mix``: a struct of size, source_size, target, copies, taken.
+    """All rows of ``docs`` and their columns, with ``__mix``: a struct of size, source_size, target, copies, taken. An
+    existing column of that name is replaced; all others stay as they are, whatever their names.
 
     A document belongs to the source in ``source_col``, or to all those in the array ``sources_col`` (repeats count
     once; null is a source of its own, an empty array none: nothing is taken of it). ``taken`` is copies x size, at most
@@ -140,8 +141,11 @@ def mix(
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     own = F.col(source_col).cast("string")
     member: Column = F.array(own) if sources_col is None else F.coalesce(F.array_sort(F.array_distinct(F.col(sources_col))), F.array(own))
-    rows = docs.withColumn("__size", size).withColumn("__own", own).withColumn("__in", member).withColumn("__u", seeded(F.col(id_col), seed)).withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    base = ws.cut(rows.select("__own", "__in", "__u", "__id", "__size"), "sizes")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    helper = F.struct(own.alias("__own"), member.alias("__in"), seeded(F.col(id_col), seed).alias("__u"), key.alias("__id"), size.alias("__size"))
+    held = free_name(docs, "helper")
+    rows = docs.withColumn(held, helper)
+    base = ws.cut(rows.select(f"{held}.*"), "sizes")
 
     capacity = {tuple(r[0]): int(r[1]) for r in base.groupBy("__in").agg(F.sum("__size")).collect()}
     sums: dict = {r[0]: 0 for r in base.select("__own").distinct().collect()}
@@ -181,19 +185,19 @@ def mix(
     )
     totals = ws.cut(spark.createDataFrame([(s, int(n), float(target[s])) for s, n in sums.items()], "`__source` string, `__source_size` long, `__target` double"), "totals")
 
-    got = rows.join(bound, F.col("__in").eqNullSafe(F.col("__pattern"))).join(totals, F.col("__own").eqNullSafe(F.col("__source")))
-    b = F.shiftright("__u", 48)
-    at_edge = (b == F.col("__edge")) & ((F.col("__u") < F.col("__last_u")) | ((F.col("__u") == F.col("__last_u")) & (F.col("__id") <= F.col("__last_id"))))
-    n = F.col("__whole") + ((b < F.col("__edge")) | at_edge).cast("int")
-    n = F.least(n, F.lit(copies))
-    struct = F.struct(
-        F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        n.alias("copies"), (n * F.col("__size")).cast("long").alias("taken"),
-    )
-    return got.withColumn("__mix", struct).select(*[F.col(f"`{c}`") for c in docs.columns], "__mix")
+    m, ends, sums_ = F.col(held), free_name(rows, "bound"), free_name(rows, "totals")
+    whole = lambda df, name: df.select(F.struct("*").alias(name))
+    got = rows.join(whole(bound, ends), m["__in"].eqNullSafe(F.col(ends)["__pattern"])).join(whole(totals, sums_), m["__own"].eqNullSafe(F.col(sums_)["__source"]))
+    e, t = F.col(ends), F.col(sums_)
+    b = F.shiftright(m["__u"], 48)
+    at_edge = (b == e["__edge"]) & ((m["__u"] < e["__last_u"]) | ((m["__u"] == e["__last_u"]) & (m["__id"] <= e["__last_id"])))
+    n = F.least(e["__whole"] + ((b < e["__edge"]) | at_edge).cast("int"), F.lit(copies))
+    struct = F.struct(m["__size"].alias("size"), t["__source_size"].alias("source_size"), t["__target"].alias("target"), n.alias("copies"), (n * m["__size"]).cast("long").alias("taken"))
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "__mix"], struct.alias("__mix"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of ``docs``."""
     out = mix(docs, **options).where("__mix.copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).drop("__copy", "__mix")
+    copy = free_name(out, "copy")
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).drop(copy, "__mix")

@@ -22,7 +22,6 @@ import dataclasses
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -256,12 +255,12 @@ def judge(scored: DataFrame, ws: Workspace, prior: float, reject_below: float =
     all its documents but the row itself. The join is a plain one: the planner broadcasts a small table of sites and splits
     the rows of a hot site otherwise."""
     sites, mu, of_hosts, of_paths = site_counts(scored, ws, prior, name)
-    s = F.struct("host", "path", "n", "k", "hn", "hk").alias("__site")
-    e = F.col(name)
-    joined = scored.join(sites.select(s), (e["host"] == F.col("__site.host")) & (e["path"] == F.col("__site.path")))
+    s = free_name(scored, "site")
+    e, of = F.col(name), F.col(s)
+    joined = scored.join(sites.select(F.struct("host", "path", "n", "k", "hn", "hk").alias(s)), (e["host"] == of["host"]) & (e["path"] == of["path"]))
     own = expected(e["e"], prior)
-    host = (F.col("__site.hk") - own + mu * of_hosts) / (F.col("__site.hn") - 1 + of_hosts)
-    rate = (F.col("__site.k") - own + host * of_paths) / (F.col("__site.n") - 1 + of_paths)
+    host = (of["hk"] - own + mu * of_hosts) / (of["hn"] - 1 + of_hosts)
+    rate = (of["k"] - own + host * of_paths) / (of["n"] - 1 + of_paths)
     rate = F.least(F.greatest(rate, F.lit(1e-6)), F.lit(1 - 1e-6))
     site = F.least(F.greatest(F.log(rate / (1 - rate)), F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
     score = 1 / (1 + F.exp(-(e["e"] + site)))

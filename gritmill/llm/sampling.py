@@ -2,45 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a sample has at most, about, and rows.
-SAMPLE_BYTES = 32 << 20
+from .common import Workspace
+
+#: Rows that a sample has at most, about, and characters of text; texts are drawn whole or not at all.
 SAMPLE_ROWS = 12_000
-#: Windows that stand for a text beyond its share of SAMPLE_BYTES, spread evenly over the whole text.
-WINDOWS = 8
+SAMPLE_CHARS = 16 << 20
+#: A longer text takes no part in a sample, as it would fill it alone. It is scored whole like any other.
+LONGEST = SAMPLE_CHARS // 8
 
 
-def spread(text: Column, limit: int) -> Column:
-    """The text, or if it has more than ``limit`` characters, WINDOWS pieces of whole words spread evenly over it."""
-    size = max(1, limit // WINDOWS)
-    parts = []
-    for k in range(WINDOWS):
-        at = (F.lit(1) + F.floor((F.length(text) - size) * k / (WINDOWS - 1))).cast("int")
-        part = F.substring(text, at, F.lit(size))
-        if k:
-            part = F.regexp_replace(part, r"^\S*\s+", "")
-        parts.append(F.regexp_replace(part, r"\s+\S*$", "") if k < WINDOWS - 1 else part)
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat_ws(" ", *parts))
+def _part(seed: str, *columns: str):
+    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def sample_rows(rows: DataFrame, bound: int, seed: str) -> list[tuple[str, str]]:
-    """At most about ``bound`` distinct rows of each label of ``rows`` (id, text, label): [(text, label)], in a fixed order.
+    """At most about ``bound`` distinct rows of each label of ``rows`` (id, text, label): [(whole text, label)], in a fixed order.
 
     Labels are counted first; rows are drawn by a seeded hash of id and text, so rows that repeat an id are drawn one by
-    one, and equal rows count once. With many labels each gets fewer rows, so that SAMPLE_ROWS bounds them all; texts
-    longer than their share of SAMPLE_BYTES take part by windows spread over the whole text."""
+    one, and equal rows count once. With many labels each gets fewer rows, so that SAMPLE_ROWS bounds them all; with long
+    texts all labels get fewer by one rate, so that SAMPLE_CHARS does. What is drawn is written before it is measured, so the
+    table is read twice. More labels than SAMPLE_ROWS raise a ValueError."""
+    ws = Workspace(rows.sparkSession, "sample")
     rows = rows.where("text is not null and label is not null").select("id", "text", "label")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(SAMPLE_ROWS).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(SAMPLE_ROWS + 1).collect()}
+    if len(sizes) > SAMPLE_ROWS:
+        raise ValueError(f"more than {SAMPLE_ROWS} labels")
     if not sizes:
         return []
     bound = max(1, min(bound, SAMPLE_ROWS // len(sizes)))
-    limit = max(256, SAMPLE_BYTES // sum(min(n, bound) for n in sizes.values()))
-    part = F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rates = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, min(1.0, bound / n))])
-    drawn = rows.where(part < F.element_at(rates, F.col("label"))).select("id", "label", spread(F.col("text"), limit).alias("text"))
-    found = [tuple(r) for r in drawn.distinct().collect()]
+    drawn = rows.withColumn("part", _part(seed, "id", "text") / F.element_at(rates, F.col("label"))).where((F.col("part") < 1) & (F.length("text") <= LONGEST)).distinct()
+    drawn = ws.cut(drawn, "drawn", sum(min(n, bound) for n in sizes.values()), 512)
+    chars = drawn.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    found = [tuple(r) for r in drawn.where(F.col("part") < min(1.0, SAMPLE_CHARS / max(chars, 1))).select("id", "label", "text").collect()]
+    ws.close()
     found.sort(key=lambda r: (str(r[0]), str(r[1]), r[2]))
     return [(text, label) for _, label, text in found]
 
@@ -53,7 +51,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: str) -
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
-    part = F.pmod(F.xxhash64(F.lit(f"{seed}:id"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rates = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, min(1.0, 2 * bound / n))])
-    chosen = known.where(part < F.element_at(rates, F.col("label")))
+    chosen = known.where(_part(f"{seed}:id", "id") < F.element_at(rates, F.col("label")))
     return sample_rows(docs.join(F.broadcast(chosen), "id").select("id", "text", "label"), bound, seed)

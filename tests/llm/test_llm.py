@@ -5,7 +5,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from conftest import DATA
 
 from gritmill.llm import bpe, caps, chunking, language, minhash, mixing, packing, quality, sampling, toxicity, warc
 from gritmill.llm.components import components
@@ -412,16 +414,115 @@ def test_samples_are_bounded_and_keep_a_rows_own_label(spark):
     df = spark.createDataFrame([(1, "en text", "en"), (1, "de text", "de"), (2, long, "en"), (2, long, "en"), (3, None, "en"), (4, "x", None)], "id long, text string, label string")
     got = sampling.sample_rows(df, 10, "s")
     assert {(t, k) for t, k in got if t != long} == {("en text", "en"), ("de text", "de")} and len(got) == 3
-    import unittest.mock
-
-    with unittest.mock.patch.object(sampling, "SAMPLE_BYTES", 3000):
-        pieces = next(t for t, _ in sampling.sample_rows(df, 10, "s") if len(t) > 20).split()
-    assert len(" ".join(pieces)) <= 1100 and set(pieces) <= set(long.split()) and pieces[0] == "w0" and pieces[-1] == "w49999"
+    assert [t for t, _ in got if t.startswith("w0")] == [long]
     labels = spark.createDataFrame([(1, 1), (2, 0)], "id long, label int")
     assert sorted(k for _, k in sampling.labelled_sample(df.select("id", "text"), labels, 10, "s")) == [0, 1, 1]
     assert sampling.sample_rows(df.limit(0), 10, "s") == []
 
 
+def test_samples_hold_whole_texts_within_their_bounds(spark, monkeypatch):
+    texts = [(i, f"t{i} " * (1000 if i % 10 == 0 else 10), "ab"[i % 2]) for i in range(2000)]
+    df = spark.createDataFrame(texts, "id long, text string, label string")
+    monkeypatch.setattr(sampling, "SAMPLE_CHARS", 100_000)
+    monkeypatch.setattr(sampling, "LONGEST", 20_000)
+    got = sampling.sample_rows(df, 500, "s")
+    assert {t for t, _ in got} <= {t for _, t, _ in texts} and 40_000 < sum(len(t) for t, _ in got) < 200_000 and got == sampling.sample_rows(df, 500, "s")
+    assert any(len(t) > 4000 for t, _ in got)  # long ones are drawn like others
+    monkeypatch.setattr(sampling, "SAMPLE_ROWS", 1)
+    with pytest.raises(ValueError, match="labels"):
+        sampling.sample_rows(df, 500, "s")
+
+
+def _mixed(h, n):
+    return (((h + n) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF)
+
+
+def plain_language(model, text):
+    """Logits in plain Python: byte n-grams in a dict."""
+    lower = "".join(c if ord(c) > 127 or (c.isascii() and c.isalpha()) else " " for c in f" {text.lower()} ").encode()
+    bits = len(model.table).bit_length() - 1
+    total, count, known = np.zeros(len(model.languages)), 0, {}
+    for i in range(len(lower) - 1):
+        h = lower[i]
+        for n in (2, 3, 4):
+            gram = lower[i : i + n]
+            if len(gram) < n or gram[:2] == b"  ":
+                break
+            h = ((h * 0x01000193) & 0xFFFFFFFF) ^ gram[-1]
+            known.setdefault(gram, model.table[_mixed(h, n) >> (32 - bits)])
+            total, count = total + known[gram], count + 1
+    z = (total / max(1, count) + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    return p / p.sum()
+
+
+def test_language_against_a_plain_scorer(spark):
+    rows = [(r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text", "lang").where("lang is not null").collect()]
+    model = language.train(rows, epochs=3)
+    texts = [t for t, _ in rows[:60]] + ["", "a", "  ", "é", "ab", "Ünïcode ЖЗ 日本 x1y2", "A" * 3000]
+    got, lettered = model.probabilities(pa.array(texts))
+    assert np.allclose(got, [plain_language(model, t) for t in texts], atol=1e-5)
+    assert lettered.tolist() == [any(c.isalpha() for c in t) for t in texts]
+
+
+def plain_toxicity(model, text):
+    """The margin in plain Python, word by word and window by window."""
+    fold = set(" .,;:!?()[]{}\"'`|<>/\\") | {chr(c) for c in range(33)}
+    chars = "".join(" " if c in fold else c for c in f" {text.lower()} ")
+    bits = len(model.weights).bit_length() - 1
+    starts = [i for i, c in enumerate(chars) if c == " "]
+    words = []
+    for a, b in zip(starts, [*starts[1:], len(chars)]):
+        found = []
+        for i in range(a, b):
+            for n in (3, 4, 5):
+                gram = chars[i : i + n]
+                if len(gram) < n or " " in gram[1:-1]:
+                    break
+                h = ord(gram[0])
+                for c in gram[1:]:
+                    h = ((h * 0x01000193) & 0xFFFFFFFF) ^ ord(c)
+                found.append(float(model.weights[_mixed(h, n) >> (32 - bits)]))
+        if found:
+            words.append(sum(found) / len(found))
+    spans = [words[k : k + toxicity.WINDOW] for k in range(max(1, len(words) - toxicity.WINDOW + 1))]
+    return max((sum(w) / len(w) for w in spans if w), default=-np.inf) + model.bias
+
+
+def test_toxicity_against_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r.text, r.toxic) for r in docs.join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").select("text", "toxic").collect()]
+    model = toxicity.train(rows, turns=2)
+    texts = [t for t, _ in rows[:40]] + ["", "a", " . ", "Ünïcode ЖЗ 日本語テキスト, (x)", "one two", "z" * 500]
+    got = model.margins(pa.array(texts))
+    assert np.allclose(got, [plain_toxicity(model, t) for t in texts], atol=1e-4)
+
+
+def test_rejection_tells_texts_from_shuffled_letters():
+    rng = np.random.default_rng(3)
+    vocabulary = {k: ["".join(rng.choice(list(letters), int(rng.integers(2, 9)))) for _ in range(300)] for k, letters in (("x", "abcdefgh"), ("y", "ghijklmn"))}
+    rows = [(" ".join(rng.choice(vocabulary[k], 60)), k) for k in "xy" for _ in range(200)]
+    model = language.train(rows)
+    assert model.lost <= 0.02 and 0 < model.threshold < 1
+    text = "Ab, c1 é"
+    assert sorted(language.shuffled(text, rng)) == sorted(text) and language.shuffled(text, rng)[2:4] == ", "
+    assert language.bound(np.array([0.9, 0.95]), np.array([0.3, 0.5])) == (0.5 + 1e-9, 0.0, 0.0)
+    assert language.bound(np.array([]), np.array([]))[1:] == (0.0, 1.0)
+
+
+def test_mix_keeps_columns_of_any_name(spark, docs):
+    from pyspark.sql import functions as F
+
+    names = ["__size", "__own", "__in", "__u", "__id", "__pattern", "__source", "helper", "bound", "totals", "copy", "__copy"]
+    df = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    plain = {(r.doc_id, r.text, r.source): r["__mix"] for r in mixing.mix(docs).collect()}
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns, "__mix"]
+    for r in got.collect():
+        assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for n in names) and plain[r.doc_id, r.text, r.source] == r["__mix"]
+    assert mixing.mixed_rows(df).columns == df.columns
+
+
 def test_flow_of_overlapping_sources_against_brute_force(spark):
     capacity, quota = {("a", "b"): 2, ("b", "c"): 2, ("a",): 1, ("c",): 1}, {"a": 3, "b": 2, "c": 4}
     flow = mixing.route(capacity, quota)
