@@ -130,3 +130,64 @@ def diff_impact(spark, d):
     side = lambda c: javascript.read_javascript(named(c)).select(F.regexp_extract("path", "^([0-9]+)", 1).alias("diff_id"), F.lit("src/o.js").alias("path"), "line_count", "symbols")
     r = impact.impact(diffs.diff_files(found), diffs.changed_ranges(found, "new"), diffs.changed_ranges(found, "old"), side("old"), side("new"))
     return r.select(F.col("diff_id").cast("long").alias("l_orderkey"), "type", "name", "change", "start", "end", "own_lines")
+
+
+def _scratch(spark, name):
+    """A folder in the shared one that no other run uses."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="gritmill-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_orderstatus = 'F' AS failed, CASE o_orderpriority WHEN '1-URGENT' THEN '' ELSE o_orderpriority || chr(10) || 'é' || chr(10) || o_custkey END AS content, o_custkey % 3 = 0 AS late FROM orders)
+  SELECT o_orderkey, CAST(CASE WHEN failed THEN 3 WHEN late THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN failed THEN 'status 503 after 3 attempts' END AS error, CASE WHEN NOT failed THEN content END AS content,
+  CAST(CASE WHEN NOT failed THEN CASE WHEN content = '' THEN 0 ELSE 3 END END AS INTEGER) AS line_count, CAST(CASE WHEN NOT failed THEN strlen(content) END AS INTEGER) AS size FROM b""")
+def recorded_blobs(spark, d):
+    """Blobs recorded from the orders: some answer at the second attempt, some never."""
+    from ..sources import recorded
+
+    path = _scratch(spark, "recorded")
+    text = F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise(F.concat("o_orderpriority", F.lit("\r\né\r\n"), F.col("o_custkey").cast("string")))
+    good = F.struct(F.lit(200).alias("status"), F.to_json(F.struct(F.base64(F.encode(text, "UTF-8")).alias("content"))).alias("body"))
+    bad = F.struct(F.lit(503).alias("status"), F.lit(None).cast("string").alias("body"))
+    answers = F.when(F.col("o_orderstatus") == "F", F.array(bad)).when(F.col("o_custkey") % 3 == 0, F.array(bad, good)).otherwise(F.array(good))
+    table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("request"), answers.alias("answers"))).alias("value")).write.text(path)
+    answered = recorded.recorded(spark, path, pause=0)
+    rows = answered.select(F.col("request").alias("r"), "attempts", "error").join(recorded.blobs(answered), F.col("r") == F.col("request"), "left")
+    return rows.select(F.col("r").cast("long").alias("o_orderkey"), "attempts", "error", "content", "line_count", "size")
+
+
+@query("""WITH e AS (SELECT *, user_id % 2 = 0 AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type IN ('purchase', 'error', 'view', 'click'))
+  SELECT user_id, count(*) * 2 AS deliveries, CASE WHEN a THEN count(*) ELSE 0 END AS repeated, CASE max(event_type) FILTER (r = 1) WHEN 'purchase' THEN 'merged' WHEN 'error' THEN 'closed' ELSE 'open' END AS status FROM e GROUP BY user_id, a""")
+def delivery_states(spark, d):
+    """All events delivered twice and out of order, by two providers; the state after each, kept by a stream."""
+    from .. import streaming
+    from ..streaming import deliveries
+
+    spark.conf.set(*deliveries.STATE_STORE)
+    root = _scratch(spark, "deliveries")
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    kind, number, at = F.col("event_type"), F.col("user_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    action = F.when(kind.isin("purchase", "error"), "closed").when(kind == "view", "opened").when(kind == "click", "synchronize").otherwise("labeled")
+    a = F.to_json(F.struct(action.alias("action"), F.struct(F.lit("Org/Repo").alias("full_name")).alias("repository"), F.struct(number.alias("number"), (kind == "purchase").alias("merged"), at.alias("updated_at")).alias("pull_request")))
+    done = F.when(kind == "purchase", "merge").when(kind == "error", "close").when(kind == "view", "open").otherwise("update")
+    kept = F.when(kind.isin("purchase", "error", "view", "click"), "merge_request").otherwise("note")
+    b = F.to_json(F.struct(kept.alias("object_kind"), F.struct(F.lit("org/repo").alias("path_with_namespace")).alias("project"), F.struct(number.alias("iid"), done.alias("action"), at.alias("updated_at")).alias("object_attributes")))
+    first = F.col("user_id") % 2 == 0
+    body = F.when(first, a).otherwise(b)
+    sign = F.when(first, F.concat(F.lit("sha256="), deliveries.hmac_sha256(body, "secret"))).otherwise("token")
+    rows = e.select(
+        F.when(first, "a").otherwise("b").alias("provider"), sign.alias("signature"), F.when(first, F.format_string("%020d", "event_id")).alias("delivery"), F.lit("pull_request").alias("event"), body.alias("body"),
+    ).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows.repartitionByRange(4, F.xxhash64("body", "copy")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    streaming.drain(deliveries.changes(deliveries.routed(stream, "secret", "token").where("outcome = 'change'")), f"{root}/out", f"{root}/state")
+    done = spark.read.parquet(f"{root}/out")
+    last = F.max_by("status", F.when(F.col("applied"), F.struct("at", F.coalesce("delivery", F.lit("")))))
+    return done.groupBy(F.col("number").alias("user_id")).agg(F.count("*").alias("deliveries"), F.count_if("repeated").alias("repeated"), last.alias("status"))
