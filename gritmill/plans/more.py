@@ -78,13 +78,14 @@ def second_level(spark, d):
     return p.agg(F.count("*").alias("files"), F.sum(n).alias("lines"), F.round(F.avg(c), 4).alias("mean_complexity"), F.max(c).alias("max_complexity"), F.round(F.sum(c * n) / F.sum(n), 4).alias("weighted"))
 
 
-@query("""SELECT user_id, 100 - 0 AS top, CAST(greatest(10, least(100, floor(100 - 2.5::DOUBLE*c - 4*n - 5*s + 0.5))) AS INTEGER) AS maintainability,
+@query("""SELECT user_id, day, CAST(greatest(10, least(100, floor(100 - 2.5::DOUBLE*c - 4*n - 5*s + 0.5))) AS INTEGER) AS maintainability,
   CASE WHEN 20*c>=80 THEN 'CRITICAL' WHEN 20*c>=60 THEN 'HIGH' WHEN 20*c>=40 THEN 'MEDIUM' ELSE 'LOW' END AS risk
-  FROM (SELECT user_id, count(*) FILTER (event_type='error') AS c, count(*) FILTER (event_type='view') AS n, count(*) FILTER (event_type='click') AS s FROM events GROUP BY user_id)""")
+  FROM (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, count(*) FILTER (event_type='error') AS c, count(*) FILTER (event_type='view') AS n, count(*) FILTER (event_type='click') AS s FROM events GROUP BY 1, 2)""")
 def maintainability(spark, d):
+    """A user's day as a file: errors as complexity, views as nesting, clicks as smells."""
     k = lambda t: F.count_if(F.col("event_type") == t)
-    g = table(spark, d, "events").groupBy("user_id").agg(k("error").alias("c"), k("view").alias("n"), k("click").alias("s"))
-    return g.select("user_id", F.lit(100).alias("top"), file_maintainability(F.col("c"), F.col("n"), F.col("s")).alias("maintainability"), risk_class(20 * F.col("c")).alias("risk"))
+    g = table(spark, d, "events").groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("day")).agg(k("error").alias("c"), k("view").alias("n"), k("click").alias("s"))
+    return g.select("user_id", "day", file_maintainability(F.col("c"), F.col("n"), F.col("s")).alias("maintainability"), risk_class(20 * F.col("c")).alias("risk"))
 
 
 @query("""SELECT o_custkey, CAST(sum(o_totalprice) AS DECIMAL(18,2)) AS churn, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS largest, bool_or(o_orderstatus='F') AS any_final,

@@ -65,18 +65,15 @@ def endpoint_findings(spark, d):
     return endpoints.findings(_endpoints(spark, d), ["p_partkey"])
 
 
-@query(f"""{_API}, c AS (SELECT p_brand, count(*) AS endpoints, count(*) FILTER (NOT is_public) AS closed, count(*) FILTER (NOT is_public AND NOT authenticated) AS unauthenticated, count(*) FILTER (completeness='UNKNOWN') AS unknown,
-    count(*) FILTER (method='GET') AS gets FROM e GROUP BY p_brand), s AS (SELECT p_brand, count(*) FILTER (severity='HIGH') AS high, count(*) FILTER (severity='MEDIUM') AS medium, count(*) FILTER (severity='LOW') AS low FROM f GROUP BY p_brand)
-  SELECT p_brand, endpoints, unauthenticated, unknown, gets, high, medium, low, round(greatest(0, least(100, 100 - 0.1::DOUBLE*(12*high+6*medium+2*low)/endpoints - 15.0::DOUBLE*unauthenticated/closed - 10.0::DOUBLE*unknown/endpoints)), 2) AS mean_score,
-  round(greatest(0, least(100, 100 - (12*high+6*medium+2*low) - 15.0::DOUBLE*unauthenticated/closed - 10.0::DOUBLE*unknown/endpoints)), 2) AS score FROM c JOIN s USING (p_brand)""")
+@query(f"""{_API}, c AS (SELECT p_partkey // 4 AS service, count(*) AS endpoints, count(*) FILTER (NOT is_public) AS closed, count(*) FILTER (NOT is_public AND NOT authenticated) AS unauthenticated, count(*) FILTER (completeness='UNKNOWN') AS unknown,
+    count(*) FILTER (method='GET') AS gets FROM e GROUP BY 1), s AS (SELECT p_partkey // 4 AS service, count(*) FILTER (severity='HIGH') AS high, count(*) FILTER (severity='MEDIUM') AS medium, count(*) FILTER (severity='LOW') AS low FROM f GROUP BY 1)
+  SELECT service, endpoints, unauthenticated, unknown, gets, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low,
+  round(greatest(0, least(100, 100 - coalesce(12*high+6*medium+2*low, 0) - coalesce(15.0::DOUBLE*unauthenticated/nullif(closed, 0), 0) - 10.0::DOUBLE*unknown/endpoints)), 2) AS score FROM c LEFT JOIN s USING (service)""")
 def api_reliability(spark, d):
-    """Scores by brand; mean_score weighs a tenth of the mean cost of an endpoint, as whole brands cost more than 100."""
-    e = _endpoints(spark, d)
-    r = endpoints.reliability(e, endpoints.findings(e, ["p_brand"]), ["p_brand"])
-    mean = 100 - (F.col("high") * 12 + F.col("medium") * 6 + F.col("low") * 2) * 0.1 / F.col("endpoints")
-    closed = e.groupBy("p_brand").agg(F.count_if(~F.col("is_public")).alias("closed"))
-    shares = F.col("unauthenticated") * 15.0 / F.col("closed") + F.col("unknown") * 10.0 / F.col("endpoints")
-    return r.join(closed, "p_brand").select("p_brand", "endpoints", "unauthenticated", "unknown", F.coalesce(F.col("methods")["GET"], F.lit(0)).alias("gets"), "high", "medium", "low", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), mean - shares)), 2).alias("mean_score"), "score")
+    """Scores of services of four endpoints each."""
+    e = _endpoints(spark, d).withColumn("service", F.floor(F.col("p_partkey") / 4))
+    r = endpoints.reliability(e, endpoints.findings(e, ["service"]), ["service"])
+    return r.select("service", "endpoints", "unauthenticated", "unknown", F.coalesce(F.col("methods")["GET"], F.lit(0)).alias("gets"), "high", "medium", "low", "score")
 
 
 @query(f"""WITH e AS ({_ENDPOINTS}), a AS (SELECT * FROM e WHERE p_partkey % 10 <> 1), b AS (SELECT * REPLACE ((p_partkey % 13 = 0) <> authenticated AS authenticated, CASE WHEN p_partkey % 17 = 0 THEN 'UNKNOWN' ELSE completeness END AS completeness) FROM e WHERE p_partkey % 10 <> 2)

@@ -110,3 +110,15 @@ def test_rule_search_and_pivot_parts(spark, tmp_path):
     assert {r.p_partkey for r in core.QUERIES["search_ilike"](spark, d).collect()} == {1, 3}
     r = core.QUERIES["conditional_pivot_whole"](spark, d).first()
     assert (r.users, r.click_sum, r.click_avg, r.error_avg, r.purchase_max, r.with_errors) == (2, 6.0, 3.0, 1.5, 0.0, 1)
+
+
+def test_null_keys_match_null_keys(spark):
+    a = spark.createDataFrame([(None, 1, 5), (1, None, 6), (2, 2, 7)], "k int, l int, v int")
+    b = spark.createDataFrame([(None, 1, 8), (1, None, 6), (None, None, 9)], "k int, l int, v int")
+    got = {(r.k, r.l): (r.old_value, r.new_value, r.change) for r in relational.snapshot_diff(a, b, ["k", "l"], "v").collect()}
+    assert got == {(None, 1): (5, 8, "MODIFIED"), (1, None): (6, 6, "UNCHANGED"), (2, 2): (7, None, "REMOVED"), (None, None): (None, 9, "ADDED")}
+    assert sorted(map(str, map(tuple, relational.merge_rows(a, b, ["k", "l"]).collect()))) == sorted(map(str, [(2, 2, 7), (None, 1, 8), (1, None, 6), (None, None, 9)]))
+    assert {r.change for r in relational.snapshot_diff(a.limit(0), b, ["k", "l"], "v").collect()} == {"ADDED"}
+    assert relational.merge_rows(a, b.limit(0), ["k", "l"]).count() == 3
+    first = relational.latest_per_group(spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, None, "c"), (1, 0, "d")], "k int, o int, v string"), ["k"], ["o"])
+    assert {(r.k, r.v) for r in first.collect()} == {(None, "b"), (1, "d")} and relational.latest_per_group(first.limit(0), ["k"], ["o"]).count() == 0
