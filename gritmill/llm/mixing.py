@@ -126,8 +126,9 @@ def mix(
     weights=WEIGHTS,
     share: float = SHARE,
     copies: int = MAX_COPIES,
+    column: str = "__mix",
 ) -> DataFrame:
-    """All rows of ``docs`` and their columns, with ``__mix``: a struct of size, source_size, target, copies, taken. An
+    """All rows of ``docs`` and their columns, with ``column``: a struct of size, source_size, target, copies, taken. An
     existing column of that name is replaced; all others stay as they are, whatever their names.
 
     A document belongs to the source in ``source_col``, or to all those in the array ``sources_col`` (repeats count
@@ -193,11 +194,13 @@ def mix(
     at_edge = (b == e["__edge"]) & ((m["__u"] < e["__last_u"]) | ((m["__u"] == e["__last_u"]) & (m["__id"] <= e["__last_id"])))
     n = F.least(e["__whole"] + ((b < e["__edge"]) | at_edge).cast("int"), F.lit(copies))
     struct = F.struct(m["__size"].alias("size"), t["__source_size"].alias("source_size"), t["__target"].alias("target"), n.alias("copies"), (n * m["__size"]).cast("long").alias("taken"))
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "__mix"], struct.alias("__mix"))
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()], struct.alias(column))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of ``docs``."""
-    out = mix(docs, **options).where("__mix.copies > 0")
+    held = free_name(docs, "mixed")
+    out = mix(docs, **options, column=held)
     copy = free_name(out, "copy")
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).drop(copy, "__mix")
+    n = F.col(held)["copies"]
+    return out.where(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n))).drop(copy, held)

@@ -30,6 +30,8 @@ from .minhash import word_hashes
 from .sampling import labelled_sample
 
 PER_LABEL = 2500
+#: Columns that judged rows have.
+RESULTS = ("evidence", "site_log_odds", "score", "rejected")
 #: A document is rejected if its posterior of being good is below this.
 REJECT_BELOW = 0.5
 #: Buckets of hashed words, and the weight of the prior in a word's log-odds.
@@ -264,7 +266,7 @@ def judge(scored: DataFrame, ws: Workspace, prior: float, reject_below: float =
     rate = F.least(F.greatest(rate, F.lit(1e-6)), F.lit(1 - 1e-6))
     site = F.least(F.greatest(F.log(rate / (1 - rate)), F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
     score = 1 / (1 + F.exp(-(e["e"] + site)))
-    keep = [F.col(f"`{c}`") for c in scored.columns if c not in (name, "evidence", "site_log_odds", "score", "rejected")]
+    keep = [F.col(f"`{c}`") for c in scored.columns if c != name and c.lower() not in RESULTS]
     return joined.select(*keep, e["e"].alias("evidence"), site.alias("site_log_odds"), score.alias("score"), (score < reject_below).alias("rejected"))
 
 
