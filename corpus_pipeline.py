@@ -22,7 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of being good is not below the rejection bound."""
     model, prior = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model, prior).where("not rejected").select(docs.columns)
+    own = {c: free_name(docs, f"{c}_own") for c in docs.columns if c.lower() in quality.RESULTS}  # the classifier would replace them
+    kept = quality.classify(docs.withColumnsRenamed(own), model, prior).where("not rejected")
+    return kept.select(*[kept[f"`{own.get(c, c)}`"].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
