@@ -9,9 +9,9 @@ from .common import Workspace
 
 #: Rows that a sample has at most, about, and characters of text; texts are drawn whole or not at all.
 SAMPLE_ROWS = 12_000
-SAMPLE_CHARS = 16 << 20
+SAMPLE_CHARS = 8 << 20
 #: A longer text takes no part in a sample, as it would fill it alone. It is scored whole like any other.
-LONGEST = SAMPLE_CHARS // 8
+LONGEST = SAMPLE_CHARS // 4
 
 
 def _part(seed: str, *columns: str):
