@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..functions import advisories as adv
 from ..functions import paths
-from ..operators import alerts, clones, filters, graph, relations, review, snapshots, splits, usage
+from ..operators import alerts, clones, filters, graph, relations, review, snapshots, splits, training, usage
 from ..sources import advisory_json, table
 from .core import query
 
@@ -207,3 +207,18 @@ def window_rules(spark, d):
     t = clones.tokens(f)
     w = clones.windows(t, 14, 3).groupBy("path").agg(F.count("*").alias("windows"))
     return t.select("path").join(w, "path", "left").fillna(0, ["windows"])
+
+
+@query()
+def defect_training(spark, d):
+    """The weights of a model of the documents' labels over the shapes of their texts, calibrated by folds of sources; the fit
+    is tested against Newton's method."""
+    text = F.coalesce("text", F.lit(""))
+    shapes = {"chars": F.length(text), "words": F.regexp_count(text, F.lit(r"\S+")), "line_ends": F.regexp_count(text, F.lit("\n")), "digits": F.regexp_count(text, F.lit("[0-9]")), "symbols": F.regexp_count(text, F.lit(r"[^\w\s]"))}
+    docs = table(spark, d, "documents").select("doc_id", "source", *[v.alias(k) for k, v in shapes.items()])
+    rows = docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    artifact = training.train_defects(rows, list(shapes), "quality", "source")
+    slope, shift = artifact["platt"]
+    out = [(k, f["weight"], f["mean"], f["std"]) for k, f in artifact["features"].items()] + [("intercept", artifact["intercept"], 0.0, 1.0), ("calibration", slope, shift, 1.0)]
+    frame = spark.createDataFrame(out, "feature string, weight double, mean double, std double")
+    return frame.select("feature", *[F.round(c, 4).alias(c) for c in ("weight", "mean", "std")])
