@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import SEVERITY_RANK, clamp, cvss_base, logistic, pct_delta, posture_score, ranked, round_half_up, version_key
+from ..functions import SEVERITY_RANK, clamp, cvss_base, logistic, posture_score, ranked, round_half_up, version_key
 from ..operators import graph, intervals, relational, text
 from ..sources import table
 

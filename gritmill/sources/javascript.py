@@ -814,7 +814,7 @@ class _Walk:
 
 
 #: An outline's columns: those of Python, exports, and how the parse went.
-SCHEMA = _OUTLINE + ", exports array<struct<name: string, is_default: boolean, line: int>>, status: string, error: string, comment_count: int"
+SCHEMA = _OUTLINE + ", exports array<struct<name: string, is_default: boolean, line: int>>, status string, error string, comment_count int"
 
 
 def outline(path: str | None, text: str | None) -> dict:
@@ -842,8 +842,7 @@ def read_javascript(files: DataFrame, path: str = "path", text: str = "content")
 
     from .python_code import BATCH
 
-    schema = SCHEMA.replace("status: string, error: string, comment_count: int", "status string, error string, comment_count int")
-    arrow = to_arrow_schema(ship(files.sparkSession).createDataFrame([], schema).schema)
+    arrow = to_arrow_schema(ship(files.sparkSession).createDataFrame([], SCHEMA).schema)
 
     def run(batches):
         for b in batches:
@@ -851,4 +850,4 @@ def read_javascript(files: DataFrame, path: str = "path", text: str = "content")
                 part = b.slice(i, BATCH)
                 yield pa.RecordBatch.from_pylist([outline(p.as_py(), t.as_py()) for p, t in zip(part.column(0), part.column(1), strict=True)], schema=arrow)
 
-    return files.select(path, text).mapInArrow(run, schema)
+    return files.select(path, text).mapInArrow(run, SCHEMA)
