@@ -1,4 +1,6 @@
-"""Relationships between files and symbols: imports, inheritance and calls, resolved by equi joins."""
+"""Relationships between files and symbols: imports, inheritance and calls, resolved by equi joins.
+
+All sides of the joins grow with the files, and their sizes are guessed too low, so each asks for a merge join: none is broadcast."""
 
 from __future__ import annotations
 
@@ -28,8 +30,8 @@ def resolved_imports(imports: DataFrame, files: DataFrame, endings: list[str] =
     rows = imports.withColumn("__path", F.when(local, joined_path(folder, F.col("target"))))
     ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(e).alias("e")) for i, e in enumerate(endings)])
     tried = rows.where(local).select("__path").distinct().select("__path", F.explode(ends).alias("x")).select("__path", F.col("x.i").alias("i"), F.concat("__path", "x.e").alias("path"))
-    hit = tried.join(files.select("path").distinct(), "path").groupBy("__path").agg(F.min_by("path", "i").alias("__hit"))
-    return rows.join(hit, "__path", "left").withColumn("resolved", F.when(local, F.coalesce("__hit", "__path")).otherwise(F.col("target"))).drop("__path", "__hit")
+    hit = tried.join(files.select("path").distinct().hint("merge"), "path").groupBy("__path").agg(F.min_by("path", "i").alias("__hit"))
+    return rows.join(hit.hint("merge"), "__path", "left").withColumn("resolved", F.when(local, F.coalesce("__hit", "__path")).otherwise(F.col("target"))).drop("__path", "__hit")
 
 
 def relationships(files: DataFrame, imports: DataFrame, inheritance: DataFrame, calls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -45,18 +47,18 @@ def relationships(files: DataFrame, imports: DataFrame, inheritance: DataFrame,
     first = lambda kinds: one.where(F.col("type").isin(*kinds)).groupBy(F.col("name").alias("parent")).agg(F.min_by("file", F.struct("file", "line")).alias("target_file"))
 
     def heirs(rows, kind, kinds):
-        return rows.join(first(kinds), "parent", "left").select(F.lit(kind).alias("type"), F.col("file").alias("source_file"), F.col("class_name").alias("source_symbol"), "target_file", F.when(F.col("target_file").isNotNull(), F.col("parent")).alias("target_symbol"), F.col("parent").alias("name"))
+        return rows.join(first(kinds).hint("merge"), "parent", "left").select(F.lit(kind).alias("type"), F.col("file").alias("source_file"), F.col("class_name").alias("source_symbol"), "target_file", F.when(F.col("target_file").isNotNull(), F.col("parent")).alias("target_symbol"), F.col("parent").alias("name"))
 
     b = heirs(inheritance.where("parent is not null and not is_interface"), "EXTENDS", ["CLASS"])
     c = heirs(inheritance.where("parent is not null and is_interface"), "IMPLEMENTS", ["CLASS", "INTERFACE"])
     known = one.select(F.col("file").alias("target_file"), F.col("name").alias("callee"))
     asked = calls.select("file", "callee").distinct()
-    own = asked.join(known.withColumnRenamed("target_file", "file"), ["file", "callee"], "left_semi").select("file", "callee", F.col("file").alias("target_file"), F.lit(-1).cast("long").alias("rank"))
+    own = asked.join(known.withColumnRenamed("target_file", "file").hint("merge"), ["file", "callee"], "left_semi").select("file", "callee", F.col("file").alias("target_file"), F.lit(-1).cast("long").alias("rank"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("line", "target")).cast("long"))
     named = ranked.select("file", "rank", F.col("resolved").alias("target_file"), F.explode("symbols").alias("callee"))
-    through = asked.join(named.where("callee <> '*'"), ["file", "callee"]).select("file", "callee", "target_file", "rank")
-    star = asked.join(named.where("callee = '*'").drop("callee"), "file").select("file", "callee", "target_file", "rank")
-    via = through.union(star).join(known, ["target_file", "callee"], "left_semi").select("file", "callee", "target_file", "rank")
+    through = asked.join(named.where("callee <> '*'").hint("merge"), ["file", "callee"]).select("file", "callee", "target_file", "rank")
+    star = asked.join(named.where("callee = '*'").drop("callee").hint("merge"), "file").select("file", "callee", "target_file", "rank")
+    via = through.union(star).join(known.hint("merge"), ["target_file", "callee"], "left_semi").select("file", "callee", "target_file", "rank")
     best = own.union(via).groupBy("file", "callee").agg(F.min_by("target_file", "rank").alias("target_file"))
-    d = calls.join(best, ["file", "callee"], "left").select(F.lit("CALLS").alias("type"), F.col("file").alias("source_file"), F.col("caller").alias("source_symbol"), "target_file", F.when(F.col("target_file").isNotNull(), F.col("callee")).alias("target_symbol"), F.col("callee").alias("name"))
+    d = calls.join(best.hint("merge"), ["file", "callee"], "left").select(F.lit("CALLS").alias("type"), F.col("file").alias("source_file"), F.col("caller").alias("source_symbol"), "target_file", F.when(F.col("target_file").isNotNull(), F.col("callee")).alias("target_symbol"), F.col("callee").alias("name"))
     return a.union(b).union(c).union(d)
