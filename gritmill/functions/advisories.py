@@ -9,6 +9,11 @@ _STRICT = r"^[\s=v]*(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+
 _LOOSE = r"(?:^|[^\d])(\d{1,16})(?:\.(\d{1,16}))?(?:\.(\d{1,16}))?(?:$|[^\d])"
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def package_name(ecosystem: Column, name: Column) -> Column:
     """Lower case without outer space; in PyPI runs of - _ . are one dash. Null becomes empty."""
     low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
@@ -23,6 +28,10 @@ def bare_version(specifier: Column, default: str = "1.0.0") -> Column:
 
 def version_text(version: Column) -> Column:
     """major.minor.patch[-prerelease] of a version, or of the first number in the text that looks like one; else null."""
+    return _once(version, _text)
+
+
+def _text(version: Column) -> Column:
     strict = version.rlike(_STRICT)
     pre = F.regexp_extract(version, _STRICT, 4)
     number = lambda pattern, k: F.coalesce(F.regexp_extract(version, pattern, k).try_cast("decimal(20,0)").cast("string"), F.lit("0"))
@@ -33,7 +42,10 @@ def version_text(version: Column) -> Column:
 
 def version_order(version: Column) -> Column:
     """A value that compares in the order of semantic versions, prereleases before their release; null if none is found."""
-    text = version_text(version)
+    return _once(version_text(version), _order)
+
+
+def _order(text: Column) -> Column:
     part = lambda k: F.regexp_extract(text, r"^(\d+)\.(\d+)\.(\d+)", k).cast("decimal(20,0)")
     pre = F.regexp_extract(text, r"^[^-]*-(.*)$", 1)
     ids = F.transform(
@@ -46,8 +58,11 @@ def version_order(version: Column) -> Column:
 
 def version_change(old: Column, new: Column) -> Column:
     """ADDED, REMOVED, UNCHANGED, UPGRADED, DOWNGRADED; unequal texts that compare alike or not at all are UPDATED."""
-    a, b = version_order(old), version_order(new)
-    return F.when(old.isNull() & new.isNull(), None).when(old.isNull(), "ADDED").when(new.isNull(), "REMOVED").when(old == new, "UNCHANGED").when(b > a, "UPGRADED").when(b < a, "DOWNGRADED").otherwise("UPDATED")
+    def told(p):
+        a, b = p["a"], p["b"]
+        return F.when(old.isNull() & new.isNull(), None).when(old.isNull(), "ADDED").when(new.isNull(), "REMOVED").when(old == new, "UNCHANGED").when(b > a, "UPGRADED").when(b < a, "DOWNGRADED").otherwise("UPDATED")
+
+    return _once(F.struct(version_order(old).alias("a"), version_order(new).alias("b")), told)
 
 
 def severity_of(text: Column, score: Column) -> Column:
@@ -96,41 +111,47 @@ def is_affected(installed: Column, versions: Column, ranges: Column) -> Column:
     """Whether an installed version is affected: named in ``versions``, or within a span of ``ranges`` (array of structs
     with ``events``). Without either list every version is affected; a version that can't be read is in no range; a bound
     that can't be read bounds nothing; ranges without a span decide nothing."""
-    v, text = version_order(installed), version_text(installed)
-    named = F.coalesce(F.array_contains(versions, installed) | F.coalesce(F.array_contains(versions, text), F.lit(False)), F.lit(False))
-    has_versions, has_ranges = F.coalesce(F.size(versions), F.lit(0)) > 0, F.coalesce(F.size(ranges), F.lit(0)) > 0
     spans = F.flatten(F.transform(F.filter(ranges, lambda r: F.coalesce(F.size(r["events"]), F.lit(0)) > 0), lambda r: spans_of(r["events"])))
+    has_versions, has_ranges = F.coalesce(F.size(versions), F.lit(0)) > 0, F.coalesce(F.size(ranges), F.lit(0)) > 0
 
-    def inside(s):
-        low, high, last = version_order(s["introduced"]), version_order(s["fixed"]), version_order(s["last"])
-        above = F.coalesce(v >= low, F.lit(True))
-        below = F.when(high.isNotNull(), v < high).when(last.isNotNull(), v <= last).otherwise(F.lit(True))
-        return above & below
-
-    within = F.coalesce(F.exists(spans, inside), F.lit(False))
-    return (
-        F.when(installed.isNull() | (installed == ""), F.lit(False))
-        .when(has_versions & named, F.lit(True))
-        .when(has_ranges & v.isNull(), F.lit(False))
-        .when(has_ranges & (F.size(spans) > 0), within)
-        .when(has_versions & ~has_ranges, F.lit(False))
-        .otherwise(F.lit(True))
-    )
+    def decided(x):
+        v, text, spans = x["v"], x["text"], x["spans"]
+        named = F.coalesce(F.array_contains(versions, installed) | F.coalesce(F.array_contains(versions, text), F.lit(False)), F.lit(False))
+
+        def inside(o):
+            above = F.coalesce(v >= o["low"], F.lit(True))
+            below = F.when(o["high"].isNotNull(), v < o["high"]).when(o["last"].isNotNull(), v <= o["last"]).otherwise(F.lit(True))
+            return above & below
+
+        bounds = lambda s: F.struct(version_order(s["introduced"]).alias("low"), version_order(s["fixed"]).alias("high"), version_order(s["last"]).alias("last"))
+        within = F.coalesce(F.exists(spans, lambda s: _once(bounds(s), inside)), F.lit(False))
+        return (
+            F.when(installed.isNull() | (installed == ""), F.lit(False))
+            .when(has_versions & named, F.lit(True))
+            .when(has_ranges & v.isNull(), F.lit(False))
+            .when(has_ranges & (F.size(spans) > 0), within)
+            .when(has_versions & ~has_ranges, F.lit(False))
+            .otherwise(F.lit(True))
+        )
+
+    return _once(F.struct(version_order(installed).alias("v"), version_text(installed).alias("text"), spans.alias("spans")), decided)
 
 
 def fixed_target(fixed: Column, installed: Column) -> Column:
     """The lowest fixed version above the installed one, else the highest fixed one; null without any."""
     pairs = F.array_sort(F.filter(F.transform(fixed, lambda x: F.struct(version_order(x).alias("k"), version_text(x).alias("t"))), lambda p: p["k"].isNotNull()))
-    v = version_order(installed)
-    above = F.filter(pairs, lambda p: F.coalesce(p["k"] > v, F.lit(True)))
-    return F.when(F.size(above) > 0, F.get(above, F.lit(0))["t"]).when(F.size(pairs) > 0, F.element_at(pairs, -1)["t"])
+
+    def chosen(x):
+        above = F.filter(x["pairs"], lambda p: F.coalesce(p["k"] > x["v"], F.lit(True)))
+        return F.coalesce(F.get(above, F.lit(0))["t"], F.get(x["pairs"], F.size(x["pairs"]) - 1)["t"])
+
+    return _once(F.struct(pairs.alias("pairs"), version_order(installed).alias("v")), chosen)
 
 
 def remediation(fixed: Column, installed: Column, name: Column) -> Column:
-    target = fixed_target(fixed, installed)
-    return F.when(target.isNotNull(), F.concat(F.lit("Upgrade "), name, F.lit(" to version "), target, F.lit(" or later."))).otherwise(
+    return _once(fixed_target(fixed, installed), lambda target: F.when(target.isNotNull(), F.concat(F.lit("Upgrade "), name, F.lit(" to version "), target, F.lit(" or later."))).otherwise(
         F.concat(F.lit("No official fixed version currently available for "), name, F.lit(". Review advisory details for mitigation."))
-    )
+    ))
 
 
 def queryable(version: Column) -> Column:

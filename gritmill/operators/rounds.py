@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative operators."""
+"""Cutting the lineage of iterative operators, and dealing rows to tasks."""
 
 from __future__ import annotations
 
@@ -20,3 +20,10 @@ def settled(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="gritmill-rounds-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over as many tasks as the session shuffles into, and no fewer than keep all cores busy: a small file is
+    read by few tasks, in which rows that take long would wait for each other."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)

@@ -8,6 +8,7 @@ from .. import functions as fn
 from ..functions import advisories as adv
 from ..functions import paths
 from ..operators import alerts, clones, filters, graph, relations, review, snapshots, splits, training, usage
+from ..operators.rounds import spread
 from ..sources import advisory_json, table
 from .core import query
 
@@ -55,7 +56,7 @@ def advisory_functions(spark, d):
     reference = lambda t, u: F.struct(t.cast("string").alias("type"), u.cast("string").alias("url"))
     refs = adv.references_of(F.array(reference(F.lit(None), F.concat(F.lit("u"), text(n))), reference(F.lit("X"), F.lit("")), reference(F.lit("FIX"), F.lit("v"))))
     then = F.timestamp_micros(F.lit(0)) + F.make_interval(secs=(n / 2).cast("decimal(18,6)"))
-    return table(spark, d, "part").select(
+    return spread(table(spark, d, "part")).select(
         "p_partkey", raw.alias("name"), adv.bare_version(spec).alias("bare"), adv.alert_severity(word).alias("alert"), adv.canonical_id(F.concat(F.lit("X-"), text(n)), aliases).alias("canonical"), adv.queryable(version).alias("queryable"),
         adv.remediation(fixed, F.concat(text(n), F.lit(".0.0")), F.lit("lib")).alias("remediation"), F.array_join(F.transform(refs, lambda r: F.concat(r["type"], F.lit(":"), r["url"])), ",").alias("refs"), fn.kilobytes(n * 100).alias("kb"),
         fn.age_seconds(F.timestamp_micros(F.lit(0)), then).alias("age"), fn.overview_health(n % 20, k % 7).alias("health"), filters.number_or_id(k, F.concat(F.lit("id"), text(k)), "7").alias("found"),

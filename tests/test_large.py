@@ -3,7 +3,9 @@
 import contextlib
 
 from conftest import DATA
+from pyspark.sql import functions as F
 
+from gritmill.functions import advisories
 from gritmill.plans import core, functions  # noqa: F401
 
 
@@ -25,3 +27,11 @@ def test_relationships_broadcast_nothing(spark):
     with broadcasting(spark):
         p = plan(core.QUERIES["relationship_kinds"](spark, DATA))
     assert "SortMergeJoin" in p and "Broadcast" not in p
+
+
+def test_a_version_is_read_once(spark):
+    """Its text is matched by a few patterns, not by some for each place that names the result."""
+    df = spark.createDataFrame([(["10.0.0", "5.1"], "2.0.0")], "fixed array<string>, installed string")
+    said = df.select(advisories.remediation(F.col("fixed"), F.col("installed"), F.lit("lib")).alias("r"))
+    assert said.first().r == "Upgrade lib to version 5.1.0 or later."
+    assert said._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") < 50
