@@ -159,8 +159,8 @@ def recorded_blobs(spark, d):
     answers = F.when(F.col("o_orderstatus") == "F", F.array(bad)).when(F.col("o_custkey") % 3 == 0, F.array(bad, good)).otherwise(F.array(good))
     table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("request"), answers.alias("answers"))).alias("value")).write.text(path)
     answered = recorded.recorded(spark, path, pause=0)
-    rows = answered.select(F.col("request").alias("r"), "attempts", "error").join(recorded.blobs(answered), F.col("r") == F.col("request"), "left")
-    return rows.select(F.col("r").cast("long").alias("o_orderkey"), "attempts", "error", "content", "line_count", "size")
+    rows = recorded.blobs(answered, "attempts", "error", failed=True)
+    return rows.select(F.col("request").cast("long").alias("o_orderkey"), "attempts", "error", "content", "line_count", "size")
 
 
 @query("""WITH e AS (SELECT *, user_id % 2 = 0 AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type IN ('purchase', 'error', 'view', 'click'))

@@ -8,20 +8,24 @@ what failed in rows of its own instead of failing. The folder must be mounted wh
 from __future__ import annotations
 
 import glob
+import itertools
 import json
 import os
 import time
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..shipping import ship
 
-# Requests of a chunk, attempts at one, and milliseconds before the second attempt.
-CHUNK, ATTEMPTS, PAUSE = 250, 3, 500
+# Requests of a stream's chunk, attempts at one, milliseconds before the second attempt, bytes of a partition, and
+# rows of an Arrow batch.
+CHUNK, ATTEMPTS, PAUSE, PART, ROWS = 250, 3, 500, 8 << 20, 4096
 SCHEMA = "request string, attempts int, status int, body string, error string"
+_ARROW = pa.schema([("request", pa.string()), ("attempts", pa.int32()), ("status", pa.int32()), ("body", pa.string()), ("error", pa.string())])
 
 
 def _files(options) -> list[str]:
@@ -53,32 +57,45 @@ class _Chunk(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """A partition for each chunk of a file's requests; only the places of chunks are read on the driver."""
+    """A partition for each stretch of a file, which holds the lines that begin in it; the driver asks for the sizes of files
+    alone. With a chunk given, a partition for each chunk of requests, whose places the driver reads."""
 
     def __init__(self, options):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        out, chunk = [], int(self.options.get("chunk", CHUNK))
+        out = []
         for file in _files(self.options):
+            size = os.path.getsize(file)
+            if "chunk" not in self.options:
+                out += [_Chunk(file, at, min(at + PART, size)) for at in range(0, size, PART)]
+                continue
             with open(file, "rb") as f:
                 at = start = n = 0
                 for line in f:
                     at, n = at + len(line), n + 1
-                    if n % chunk == 0:
+                    if n % int(self.options["chunk"]) == 0:
                         out.append(_Chunk(file, start, at))
                         start = at
                 if at > start:
                     out.append(_Chunk(file, start, at))
         return out
 
-    def read(self, partition: _Chunk) -> Iterator[tuple]:
+    def read(self, partition: _Chunk) -> Iterator[pa.RecordBatch]:
         attempts, pause = int(self.options.get("attempts", ATTEMPTS)), float(self.options.get("pause", PAUSE))
-        with open(partition.file, "rb") as f:
-            f.seek(partition.start)
-            for line in f.read(partition.end - partition.start).decode("utf-8", "replace").splitlines():
-                if line.strip():
-                    yield asked(line, attempts, pause)
+        lines = (line.rstrip("\r\n") for line in _lines_from(partition) if line.strip())
+        while rows := [asked(line, attempts, pause) for line in itertools.islice(lines, ROWS)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+
+
+def _lines_from(part: _Chunk) -> Iterator[str]:
+    """The lines that begin in a stretch of a file."""
+    with open(part.file, "rb") as f:
+        f.seek(max(0, part.start - 1))
+        if part.start:
+            f.readline()  # the rest of a line that begins before the stretch
+        while f.tell() < part.end and (line := f.readline()):
+            yield line.decode("utf-8", "replace")
 
 
 class _Stream(SimpleDataSourceStreamReader):
@@ -133,7 +150,8 @@ class Recorded(DataSource):
 
 
 def recorded(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
-    """(request, attempts, status, body, error) of all requests recorded in a folder; options are chunk, attempts and pause."""
+    """(request, attempts, status, body, error) of all requests recorded in a folder; options are chunk (the
+    requests of a partition or of a stream's batch), attempts and pause."""
     ship(spark).dataSource.register(Recorded)
     reader = (spark.readStream if stream else spark.read).format("recorded").option("path", path)
     for name, value in options.items():
@@ -146,14 +164,15 @@ def failures(answered: DataFrame) -> DataFrame:
     return answered.where("error is not null").select("request", "attempts", "error")
 
 
-def blobs(answered: DataFrame) -> DataFrame:
-    """(request, content, line_count, size) of answers {"content": base64}: UTF-8 with LF line ends. An empty text has no line; a
-    body without content is an empty text."""
+def blobs(answered: DataFrame, *others: str, failed: bool = False) -> DataFrame:
+    """(request, content, line_count, size, and any other columns) of answers {"content": base64}: UTF-8 with LF line ends. An
+    empty text has no line; a body without content is an empty text. With ``failed``, requests without an answer have rows of
+    nulls."""
     raw = F.regexp_replace(F.coalesce(F.get_json_object("body", "$.content"), F.lit("")), r"\s", "")
     text = F.replace(F.decode(F.unbase64(raw), "UTF-8"), F.lit("\r\n"), F.lit("\n"))
-    rows = answered.where("error is null").select("request", text.alias("content"))
-    lines = F.when(F.col("content") == "", 0).otherwise(F.size(F.split("content", "\n")))
-    return rows.select("request", "content", lines.alias("line_count"), F.octet_length("content").alias("size"))
+    rows = (answered if failed else answered.where("error is null")).select("request", *others, F.when(F.col("error").isNull(), text).alias("content"))
+    lines = F.when(F.col("content") == "", 0).when(F.col("content").isNotNull(), F.size(F.split("content", "\n")))
+    return rows.select("request", "content", lines.alias("line_count"), F.octet_length("content").alias("size"), *others)
 
 
 def trees(answered: DataFrame) -> DataFrame:

@@ -128,3 +128,18 @@ def test_pauses_double(monkeypatch):
 @pytest.mark.parametrize("line", ["[]", "3", "null", "{}", '{"answers": null}'])
 def test_odd_recordings(line):
     assert recorded.asked(line, 1, 0)[4]
+
+
+def test_partitions_follow_bytes_and_hold_each_line_once(tmp_path, monkeypatch):
+    lines = [json.dumps({"request": f"é{i}" * (i % 9 + 1), "answers": [{"status": 200}]}, ensure_ascii=False) for i in range(200)]
+    (tmp_path / "a.json").write_text("\n".join(lines) + "\n\n")
+    (tmp_path / "b.json").write_text(lines[0])
+    reader = recorded._Reader({"path": str(tmp_path)})
+    assert len(reader.partitions()) == 2  # one a file, not one for each 250 requests
+    want = [json.loads(x)["request"] for x in [*lines, lines[0]]]
+    for part in (1, 7, 50, 100, 1000):
+        monkeypatch.setattr(recorded, "PART", part)
+        assert [r for p in reader.partitions() for b in reader.read(p) for r in b.column(0).to_pylist()] == want
+    (tmp_path / "c.json").write_text("\n".join(lines * 3))
+    monkeypatch.setattr(recorded, "PART", 8 << 20)
+    assert len(reader.partitions()) == 3
