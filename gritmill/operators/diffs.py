@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .intervals import compress
 _HUNK = r"^@@\s+-([0-9]+)(?:,([0-9]+))?\s+\+([0-9]+)(?:,([0-9]+))?\s+@@(?:\s+(.*))?$"
 _HEAD = r"(diff --git |new file mode |deleted file mode |rename (from|to) |copy (from|to) |Binary files .*differ|GIT binary patch|--- |\+\+\+ )"
 _KINDS = {"+": "add", "-": "del", " ": "context", "\\": "mark"}
+#: Characters of the diffs whose lines a task remembers at most.
+REMEMBERED = 4_000_000
 _hunk, _head = re.compile(_HUNK, re.ASCII), re.compile(_HEAD)
 
 
@@ -66,21 +69,44 @@ def diff_lines(diffs: DataFrame, id_col: str = "diff_id", text_col: str = "diff"
 
     ``kind`` is add, del, context or mark within a hunk, and head, hunk, malformed or other elsewhere; old_line and
     new_line are the line's places in the old and the new file. As long as a hunk lacks lines of its header's counts, a line
-    that looks like a file's header is one of its lines. A malformed header ends the hunk before it. Null and blank diffs
+    that looks like a file's header is one of its lines. Diffs of equal texts are read once as long as a task remembers them. A malformed header ends the hunk before it. Null and blank diffs
     have no lines; equal ids of several diffs must be made distinct before."""
     rows = diffs.select(F.col(id_col).alias("diff_id"), F.col(text_col).alias("t")).where(F.trim("t") != "")
     kind = diffs.schema[id_col].dataType.simpleString()
     names = ["line_no", "file_no", "hunk_no", "kind", "old_line", "new_line", "line"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
+    def lined(pending, known):
+        texts = {t: None for _, t in pending if t not in known["at"]}
+        if texts:
+            found = []
+            for t in texts:
+                lines = list(read_lines(t))
+                known["at"][t] = known["n"] + len(found), len(lines)
+                found += lines
+                known["held"] += len(t) + 1000
+            new = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * len(types), types)], names=names)
+            known["lines"] = pa.concat_batches([known["lines"], new]) if known["lines"] is not None else new
+            known["n"] += len(found)
+        start, size = np.array([known["at"][t] for _, t in pending], np.int64).T
+        row = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        own, of = pa.concat_arrays([i for i, _ in pending]), np.repeat(np.arange(len(pending)), size)
+        for first in range(0, len(row), 8192):
+            cut = known["lines"].take(pa.array(row[first : first + 8192]))
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(of[first : first + 8192])), *cut.columns], names=["diff_id", *names])
+
     def run(batches):
+        known = {"at": {}, "lines": None, "n": 0, "held": 0}
         for batch in batches:
+            pending, chars = [], 0
             for i, text in enumerate(batch.column(1).to_pylist()):
-                found = list(read_lines(text))
-                for first in range(0, len(found), 8192):
-                    columns = zip(*found[first : first + 8192])
-                    own = pa.concat_arrays([batch.column(0).slice(i, 1)] * len(found[first : first + 8192]))
-                    yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns, types))], names=["diff_id", *names])
+                pending.append((batch.column(0).slice(i, 1), text))
+                chars += len(text)
+                if len(pending) == 1024 or chars > 1_000_000 or i + 1 == batch.num_rows:
+                    yield from lined(pending, known)
+                    pending, chars = [], 0
+                    if known["held"] > REMEMBERED:
+                        known = {"at": {}, "lines": None, "n": 0, "held": 0}
 
     ship(diffs.sparkSession)
     return rows.mapInArrow(run, f"diff_id {kind}, line_no int, file_no long, hunk_no long, kind string, old_line long, new_line long, line string")

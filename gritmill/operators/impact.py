@@ -61,7 +61,9 @@ def impact(files: DataFrame, new_ranges: DataFrame, old_ranges: DataFrame, base:
     sides = lambda df, path: df.select(F.col("diff_id"), F.col("path").alias(path), F.col("line_count"), F.filter("symbols", lambda s: s["type"] != "FILE").alias("symbols"))
     ranges = lambda df, name: df.groupBy("diff_id", "file_no").agg(F.array_sort(F.collect_list(F.struct(F.col("first").cast("int").alias("start"), F.col("last").cast("int").alias("end")))).alias(name))
     old, new = (sides(df, p).select("diff_id", p, F.col("line_count").alias(f"{n}_count"), F.col("symbols").alias(n)) for df, p, n in ((base, "old_path", "base"), (head, "new_path", "head")))
-    rows = files.join(ranges(new_ranges, "new_ranges"), ["diff_id", "file_no"], "left").join(ranges(old_ranges, "old_ranges"), ["diff_id", "file_no"], "left").join(old, ["diff_id", "old_path"], "left").join(new, ["diff_id", "new_path"], "left")
+    # all sides grow with the diffs: none is to be broadcast
+    rows = files.join(ranges(new_ranges, "new_ranges").hint("merge"), ["diff_id", "file_no"], "left").join(ranges(old_ranges, "old_ranges").hint("merge"), ["diff_id", "file_no"], "left")
+    rows = rows.join(old.hint("merge"), ["diff_id", "old_path"], "left").join(new.hint("merge"), ["diff_id", "new_path"], "left")
     none = F.array().cast("array<struct<type: string, name: string, start: int, end: int>>")
     listed = lambda c: F.coalesce(F.col(c), F.array().cast(_RANGES))
     has_base, has_head = F.col("base").isNotNull(), F.col("head").isNotNull()

@@ -3,11 +3,12 @@
 import contextlib
 
 import pyarrow as pa
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from gritmill.functions import advisories
-from gritmill.plans import core, functions  # noqa: F401
+from gritmill.plans import code, core, functions, repository  # noqa: F401
 from gritmill.sources import javascript
 
 
@@ -25,9 +26,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_relationships_broadcast_nothing(spark):
+@pytest.mark.parametrize("name", ["relationship_kinds", "diff_impact", "token_clones", "route_discovery"])
+def test_broadcasts_nothing(spark, name):
     with broadcasting(spark):
-        p = plan(core.QUERIES["relationship_kinds"](spark, DATA))
+        p = plan(core.QUERIES[name](spark, DATA))
     assert "SortMergeJoin" in p and "Broadcast" not in p
 
 
