@@ -4,6 +4,8 @@ Two equal windows lie on a run of equal tokens. What begins a run is told withou
 contexts are all equal begin none, so only classes with different left contexts go on. The texts that follow their windows,
 as far as any two can agree, are sorted; neighbours' common prefixes give the nested intervals of a suffix tree, and each
 interval is a group of the windows that meet one of another branch there with another left context.
+
+The tables of windows and places grow with the texts by factors that Spark can't guess, so their joins are merge joins.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .intervals import merge_intervals
-from .rounds import settled
+from .rounds import settled, spread
 
 #: Keywords of the languages read.
 KEYWORDS = """async await break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return
@@ -105,7 +107,7 @@ def tokens(files: DataFrame, path: str = "path", text: str = "content") -> DataF
     blank, comments or imports have no token. Identifiers and literals become $ID and $LIT, other tokens stand for themselves
     with their kind. Null paths and texts have no row; paths must be distinct."""
     ship(files.sparkSession)
-    known = files.where(F.col(text).isNotNull() & F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"))
+    known = spread(files.where(F.col(text).isNotNull() & F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text")), "path")
     script = F.lower("path").rlike(JAVASCRIPT)
     return known.where(script).mapInArrow(_script, _SCHEMA).unionByName(_generic(known.where(~script)))
 
@@ -330,14 +332,14 @@ def clone_places(tokenized: DataFrame, size: int = 40, least_lines: int = 4) ->
     codes = settled(_codes(tokenized))
     w = settled(_windows(codes, size, least_lines, 0.75, 5))
     mixed = w.groupBy("hash").agg(F.min("left").alias("a"), F.max("left").alias("b")).where("a <> b").select("hash")
-    begun = settled(w.join(mixed, "hash", "left_semi"))
+    begun = settled(w.join(mixed.hint("merge"), "hash", "left_semi"))
     code = codes.select("path", "codes")
-    longer = settled(code.join(begun.groupBy("path").agg(F.collect_list("start").alias("starts")), "path").mapInArrow(_lengthened(size), "path string, start int, k int, hash long"))
+    longer = settled(code.join(begun.groupBy("path").agg(F.collect_list("start").alias("starts")).hint("merge"), "path").mapInArrow(_lengthened(size), "path string, start int, k int, hash long"))
     again = longer.groupBy("k", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    reach = longer.join(again, ["k", "hash"], "left_semi").groupBy("path", "start").agg(F.max("k").alias("k"))
+    reach = longer.join(again.hint("merge"), ["k", "hash"], "left_semi").groupBy("path", "start").agg(F.max("k").alias("k"))
     place = F.struct("start", "hash", "left", F.coalesce("k", F.lit(0)).alias("k"))
-    wanted = begun.join(reach, ["path", "start"], "left").groupBy("path").agg(F.collect_list(place).alias("places"))
-    following = code.join(wanted, "path").mapInArrow(_following(size), "hash long, following binary, path string, start int, left long")
+    wanted = begun.join(reach.hint("merge"), ["path", "start"], "left").groupBy("path").agg(F.collect_list(place).alias("places"))
+    following = code.join(wanted.hint("merge"), "path").mapInArrow(_following(size), "hash long, following binary, path string, start int, left long")
     return following.repartition("hash").sortWithinPartitions("hash", "following", "path", "start").mapInArrow(_repeated(size), "path string, start int, length int")
 
 
@@ -348,7 +350,7 @@ def clone_regions(tokenized: DataFrame, size: int = 40, least_lines: int = 4) ->
     that was kept in its file; groups with fewer than two kept instances go too. An empty table gives an empty result."""
     tokenized = settled(tokenized)
     places = clone_places(tokenized, size, least_lines).groupBy("path").agg(F.collect_list(F.struct("start", "length")).alias("places"))
-    cut = tokenized.select("path", "tokens").join(places, "path")
+    cut = tokenized.select("path", "tokens").join(places.hint("merge"), "path")
     region = settled(cut.mapInArrow(_regions, "clone_hash string, raw_hash string, token_count int, path string, start_line int, end_line int"))
     lines = F.array_sort(F.collect_list(F.struct("start_line", "end_line")))
     near = lambda x: lambda y: (F.abs(x["start_line"] - y["start_line"]) <= 2) & (F.abs(x["end_line"] - y["end_line"]) <= 2)
@@ -357,7 +359,7 @@ def clone_regions(tokenized: DataFrame, size: int = 40, least_lines: int = 4) ->
     folded = of_file.withColumn("l", F.aggregate("l", F.array().cast("array<struct<start_line: int, end_line: int>>"), keep))
     groups = folded.groupBy("clone_hash").agg(F.sum(F.size("l")).alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).where("n > 1")
     kind = groups.select("clone_hash", F.when(F.col("a") == F.col("b"), "TYPE_1").otherwise("TYPE_2").alias("type"))
-    return folded.select("clone_hash", "token_count", "path", F.explode("l").alias("l")).join(kind, "clone_hash").select("clone_hash", "type", "token_count", "path", "l.start_line", "l.end_line")
+    return folded.select("clone_hash", "token_count", "path", F.explode("l").alias("l")).join(kind.hint("merge"), "clone_hash").select("clone_hash", "type", "token_count", "path", "l.start_line", "l.end_line")
 
 
 def clone_groups(regions: DataFrame) -> DataFrame:
@@ -371,7 +373,7 @@ def duplication(tokenized: DataFrame, regions: DataFrame) -> DataFrame:
     """(total_lines, duplicated_lines, ratio, clones, groups, intra, inter) of all files: a file's duplicated lines are the
     union of its regions, at most its lines; the ratio has four decimals, 0 without lines. clones counts instances."""
     union = merge_intervals(regions.select("path", "start_line", "end_line"), ["path"], "start_line", "end_line").groupBy("path").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("d"))
-    lines = tokenized.join(union, "path", "left").agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"), F.coalesce(F.sum(F.least(F.coalesce("d", F.lit(0)), "lines")), F.lit(0)).alias("duplicated_lines"))
+    lines = tokenized.join(union.hint("merge"), "path", "left").agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"), F.coalesce(F.sum(F.least(F.coalesce("d", F.lit(0)), "lines")), F.lit(0)).alias("duplicated_lines"))
     groups = clone_groups(regions).agg(F.coalesce(F.sum("instances"), F.lit(0)).alias("clones"), F.count("*").alias("groups"), F.count_if("is_intra_file").alias("intra"), F.count_if(~F.col("is_intra_file")).alias("inter"))
     ratio = F.coalesce(F.round(F.try_divide("duplicated_lines", "total_lines"), 4), F.lit(0.0))
     return lines.join(groups).select("total_lines", "duplicated_lines", ratio.alias("ratio"), "clones", "groups", "intra", "inter")  # one row each
