@@ -1,5 +1,5 @@
 """Endpoints of an interface from its files' declarations: mounts followed from file to file, routes under all prefixes, and
-the contract of each handler."""
+the contract of each handler. All sides of the joins grow with the files, so they are merge joins: none is broadcast."""
 
 from __future__ import annotations
 
@@ -26,23 +26,23 @@ def mounts(declared: DataFrame) -> DataFrame:
     named = imports.groupBy("file", "local").agg(F.max_by("target", "line").alias("target")).where(F.col("target").startswith("."))
     found = resolved_imports(named, declared.select("path"), ENDINGS).select("file", F.col("local").alias("name"), F.col("resolved").alias("target"))
     use = declared.select(F.col("path").alias("file"), F.explode("mounts").alias("m")).select("file", "m.*")
-    return use.join(found, ["file", "name"]).select("file", "prefix", "target").distinct()
+    return use.join(found.hint("merge"), ["file", "name"]).select("file", "prefix", "target").distinct()
 
 
 def prefixes(mounted: DataFrame) -> DataFrame:
     """(file, prefix) of all ways from files that nothing mounts: the prefixes along a way joined. A way that comes back to
     a file of its own ends before it. One round for each step of the longest way; a round joins on the file."""
     edges = settled(mounted)
-    roots = edges.select("file").distinct().join(edges.select(F.col("target").alias("file")).distinct(), "file", "left_anti")
+    roots = edges.select("file").distinct().join(edges.select(F.col("target").alias("file")).distinct().hint("merge"), "file", "left_anti")
     frontier = settled(roots.select("file", F.lit("").alias("prefix"), F.array("file").alias("way")))
     reached = frontier
     while frontier.take(1):
-        step = frontier.withColumnRenamed("prefix", "before").join(edges, "file").where(~F.array_contains("way", F.col("target")))
+        step = frontier.withColumnRenamed("prefix", "before").join(edges.hint("merge"), "file").where(~F.array_contains("way", F.col("target")))
         frontier = settled(step.select(F.col("target").alias("file"), F.concat("before", F.lit("/"), "prefix").alias("prefix"), F.concat("way", F.array("target")).alias("way")))
         reached = reached.union(frontier)
     found = reached.where(F.size("way") > 1).select("file", "prefix").distinct()
     # files on circles that no root leads to keep their mounts' own prefixes
-    alone = edges.select(F.col("target").alias("file"), "prefix").join(reached.select("file").distinct(), "file", "left_anti").distinct()
+    alone = edges.select(F.col("target").alias("file"), "prefix").join(reached.select("file").distinct().hint("merge"), "file", "left_anti").distinct()
     return found.union(alone)
 
 
@@ -57,11 +57,11 @@ def discover(declared: DataFrame) -> DataFrame:
     are not read, or declare no route, give nothing."""
     declared = settled(declared)
     route = declared.select(F.col("path").alias("file"), F.col("middleware").alias("shared"), F.explode("routes").alias("r")).select("file", "shared", "r.*")
-    placed = route.join(prefixes(mounts(declared)), "file", "left").withColumn("full", route_path(F.col("prefix"), F.col("path")))
+    placed = route.join(prefixes(mounts(declared)).hint("merge"), "file", "left").withColumn("full", route_path(F.col("prefix"), F.col("path")))
     first = placed.groupBy("method", F.col("full").alias("path")).agg(F.min_by(F.struct(*[c for c in placed.columns if c not in ("method", "path", "full", "prefix")]), F.struct("file", "place")).alias("r"))
     function = declared.select("path", F.posexplode("functions").alias("n", "f")).groupBy(F.col("f.name").alias("handler"), "path").agg(F.max_by("f.contract", "n").alias("c"))
     known = function.groupBy("handler").agg(F.min_by("c", "path").alias("named"))
-    rows = first.select("method", "path", "r.*").join(known, "handler", "left")
+    rows = first.select("method", "path", "r.*").join(known.hint("merge"), "handler", "left")
     c = F.coalesce("contract", F.when(F.col("handler") != "anonymous", F.col("named")))
     rows = rows.withColumn("c", c).withColumn("chain", F.concat("shared", "middleware"))
     bare = lambda m: F.regexp_replace(F.lower(m), r"\(\)$", "")

@@ -97,7 +97,7 @@ def route_discovery(spark, d):
     named = F.when(k % 7 == 2, F.concat(F.lit("const named"), k, F.lit(" = (req, res) => { res.send('ok'); };\n"))).otherwise("")
     method = F.when(k % 2 == 0, "get").otherwise("post")
     text = F.concat(F.coalesce("uses", F.lit("")), shared, named, F.lit("router."), method, F.lit("('/x' + '"), k, F.lit("/:id', "), own, handler, F.lit(");\nexport default router;\n"))
-    files = p.join(below, "p_partkey", "left").select(F.concat(F.lit("src/f"), k, F.lit(".js")).alias("path"), text.alias("content"))
+    files = p.join(below.hint("merge"), "p_partkey", "left").select(F.concat(F.lit("src/f"), k, F.lit(".js")).alias("path"), text.alias("content"))
     e = discovery.discover(routes.read_routes(files))
     joined = F.array_join(F.transform("parameters", lambda x: F.concat(x["name"], F.lit(":"), x["place"])), ",").alias("parameters")
     return e.select("method", "path", "file", "authenticated", "authorized", "database", "is_async", F.array_join("statuses", ",").alias("statuses"), joined, F.array_join("fields", ",").alias("fields"), "found")
