@@ -1,5 +1,6 @@
 import datetime
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -122,3 +123,55 @@ def test_null_keys_match_null_keys(spark):
     assert relational.merge_rows(a, b.limit(0), ["k", "l"]).count() == 3
     first = relational.latest_per_group(spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, None, "c"), (1, 0, "d")], "k int, o int, v string"), ["k"], ["o"])
     assert {(r.k, r.v) for r in first.collect()} == {(None, "b"), (1, "d")} and relational.latest_per_group(first.limit(0), ["k"], ["o"]).count() == 0
+
+
+def test_clone_windows_equal_a_plain_count(spark, monkeypatch):
+    import hashlib
+
+    from gritmill.operators import text
+
+    monkeypatch.setattr(text, "COUNTED", 50, raising=False)
+    rng, stems = random.Random(3), ["a", "bé", "c", "d" * 40, "\t"]
+    rows = [(i, rng.choice([" ", "  "]).join(rng.choices(stems, k=rng.randint(0, 60)))) for i in range(40)]
+    rows += [(5, rows[6][1]), (5, rows[5][1]), (None, rows[7][1]), (None, rows[7][1]), (90, None), (91, " "), (92, "a " * 300), (93, " a" * 300)]
+    rows += [(100, "x1 x2 x3 x4 x5 x6 x7 x8"), (100, "x1 x2 x3 x4 x5 x6 x7 x8"), (None, "y1 y2 y3 y4 y5 y6 y7 y8"), (101, "y1 y2 y3 y4 y5 y6 y7 y8")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    for size in (1, 2, 8, 70):
+        want: dict = {}
+        for i, t in rows:
+            w = [x for x in (t or "").split(" ") if x]
+            for k in range(len(w) - size + 1):
+                ids, n = want.get(x := " ".join(w[k : k + size]), (set(), 0))
+                want[x] = (ids | ({i} - {None}), n + 1)
+        want = {hashlib.sha256(x.encode()).hexdigest(): (len(ids), n) for x, (ids, n) in want.items() if len(ids) >= 2}
+        assert {r.hash: (r.n_docs, r.n_places) for r in text.clone_windows(docs, "id", "t", size).collect()} == want
+
+
+def test_clone_windows_where_all_hashes_are_equal():
+    """The words decide: kernels whose hashes are all 0 give the same counts."""
+    import numpy as np
+
+    from gritmill.operators import text
+
+    real, rows = text._runs, [b"a b c d a b c e a b c d", b"x b c d y a b c"]
+    blocks = []
+    for runs in (real, lambda h, size: np.zeros(len(h) - size + 1, np.uint64)):
+        text._runs = runs
+        try:
+            blocks.append(text._Block(rows, 3).new().tolist())
+        finally:
+            text._runs = real
+    assert blocks[0] == blocks[1] and not all(blocks[0])
+
+
+def test_clone_windows_move_less_than_a_row_for_each():
+    """A row for each window and its digest is some 80 bytes; packed stretches are a fraction of it."""
+    import pyarrow as pa
+
+    from gritmill.operators import text
+
+    rng = random.Random(5)
+    value = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(40_000)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([value], pa.binary()), pa.nulls(1, pa.string()), pa.array([True])], names=["value", "own", "once"])
+    out = list(text._stretch(8, 8)([batch]))
+    assert sum(b.nbytes for b in out) < 12 * 40_000
