@@ -220,7 +220,8 @@ def pack(docs: DataFrame, text_col: str = "text", data_col: str = "data", path:
             yield pd.Series([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in codec.encode(values)])
         codec.known.clear()
 
-    return docs.withColumn(data_col, run(F.col(text_col)))
+    # nondeterministic to Spark, which else encodes once more for a filter on the ids
+    return docs.withColumn(data_col, run.asNondeterministic()(F.col(text_col)))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = False) -> DataFrame:

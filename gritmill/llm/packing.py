@@ -148,22 +148,25 @@ def _commit(root: str):
     return run
 
 
-def pack(rows: DataFrame, root: str | None = None, id_col: str = "doc_id", data_col: str = "data", dtype: str = "u1", length: int = LENGTH, pad: int = 255, seed: str = "pack") -> DataFrame:
+def pack(rows: DataFrame, root: str | None = None, id_col: str = "doc_id", data_col: str = "data", dtype: str = "u1", length: int = LENGTH, pad: int = 255, seed: str = "pack", total: int | None = None) -> DataFrame:
     """Packs all rows' ids and writes them below ``root``; returns a row per packed row: group, row, n_tokens, ids and
     pieces (the documents and pieces in it, in order), cu_lengths, sha256 (of the padded row), file.
 
     ``data_col`` holds ids packed as ``dtype``. Null and empty data have no tokens and are in no row. Null ids stay as
     null; repeated rows are packed as often as they come. Runs agree for equal tables, as pieces are sorted before they
-    are packed. An empty table gives an empty result."""
+    are packed. An empty table gives an empty result. ``total`` is about how many bytes of data there are, if that is known:
+    then rows go to their groups as they are made and are not written before, and ``data_col`` should be made by a
+    function that Spark takes for nondeterministic, so that it runs once."""
     spark = tune(rows.sparkSession)
     root = root or scratch(spark, "packed")
     ws = Workspace(spark, "packing")
     width = np.dtype(dtype).itemsize
-    # ids may come from a Python stage, which should run once: they are written before anything else looks at them
-    written = ws.cut(rows.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data")), "ids")
+    written = rows.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data"))
+    if total is None:  # ids may come from a Python stage, which should run once: they are written before anything else looks at them
+        written = ws.cut(written, "ids")
+        total = written.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     plain = written.where(F.octet_length("data") > 0)
     step = length * width
-    total = plain.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
     cut = plain.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.octet_length("data") - 1) / step))))
     cut = cut.select("id", "piece", F.substring(F.col("data"), (F.col("piece") * step + 1).cast("int"), F.lit(step)).alias("data"))

@@ -72,8 +72,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of op9, as unsigned 16-bit integers, packed into rows."""
-    docs = bpe.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return packing.pack(docs, dtype="<u2", pad=0xFFFF)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a token of two bytes stands for four bytes of prose, and for one at least: groups may have half the usual size, or twice
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return packing.pack(bpe.pack(docs), dtype="<u2", pad=0xFFFF, total=total)
 
 
 def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -560,3 +560,18 @@ def test_mix_of_overlapping_sources(spark):
         taken[tuple(r.sources)] += r["__mix"].taken
     assert all(abs(taken[p] - sum(flow[p].values())) <= 10 for p in capacity)
     assert abs(sum(taken.values()) - min(sum(target.values()), 2 * sum(words.values()))) <= 40
+
+
+def test_packing_writes_no_ids_where_the_total_is_known(spark, docs, monkeypatch):
+    from gritmill.llm.common import Workspace, scratch
+
+    cut, real = [], Workspace.cut
+    monkeypatch.setattr(Workspace, "cut", lambda self, df, name="t", *a: cut.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(self, df, name, *a))
+    root = scratch(spark, "packed")
+    report = packing.pack(bpe.pack(docs.select("doc_id", "text")), root, dtype="<u2", length=128, pad=0xFFFF, total=1000)
+    assert [name for name, _ in cut] == ["report"] and cut[0][1].count("ArrowEvalPython") == 1  # encoded once
+    back = collections.defaultdict(dict)
+    for r in packing.unpack(spark, root, report, dtype="<u2").collect():
+        back[r.id][r.piece] = np.frombuffer(bytes(r.data), "<u2").astype("<u4")
+    want = {r.doc_id: r.ids for r in bpe.encode(docs).collect() if r.ids}
+    assert {i: np.concatenate([p[k] for k in sorted(p)]).tolist() for i, p in back.items()} == {i: list(x) for i, x in want.items()}
