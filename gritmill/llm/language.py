@@ -206,7 +206,7 @@ def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE, learn=None)
     """Trains on a sample of at most about ``per_language`` documents of each language, each row with its own label; rows
     whose crc32(doc_id as text) mod 4 is 2 are never learned from. ``learn`` may replace that condition on id."""
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label"))
-    return train(sample_rows(rows.where(crc_of(F.col("id")) % 4 != 2 if learn is None else learn), per_language, "language"))
+    return sample_rows(rows.where(crc_of(F.col("id")) % 4 != 2 if learn is None else learn), per_language, "language", train)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", columns: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

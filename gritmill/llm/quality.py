@@ -196,7 +196,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
     total = known.agg(F.count("*").alias("n"), F.sum("label").alias("good")).first()
     rate = ((total["good"] or 0) + 1.0) / (total["n"] + 2.0)
     plain = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text")
-    return train(labelled_sample(plain, known, per_label, "quality")), rate
+    return labelled_sample(plain, known, per_label, "quality", train), rate
 
 
 def with_evidence(docs: DataFrame, model: QualityModel, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", name: str = "evidence") -> DataFrame:

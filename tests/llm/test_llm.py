@@ -562,6 +562,23 @@ def test_mix_of_overlapping_sources(spark):
     assert abs(sum(taken.values()) - min(sum(target.values()), 2 * sum(words.values()))) <= 40
 
 
+def test_classifiers_are_trained_in_a_task(spark, monkeypatch):
+    """The sample's texts don't reach the driver, and the model is the one that the driver would have trained, but for the order of sums."""
+    rows = [(i, f"{'the fine day' if i % 2 else 'der gute Tag'} {i} {i * 7}", "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = language.train(sampling.sample_rows(docs.selectExpr("doc_id as id", "text", "lang as label"), 20, "language"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    known = quality.train(sampling.labelled_sample(docs.selectExpr("doc_id as id", "text"), labels.selectExpr("doc_id as id", "quality as label"), 20, "quality"))
+    seen, real = [], sampling._ordered
+    monkeypatch.setattr(sampling, "_ordered", lambda found: seen.append(len(found)) or real(found))
+    got = language.fit_language(docs, 20, learn="true")
+    assert got.languages == want.languages and np.allclose(got.table, want.table, atol=1e-3)
+    model, rate = quality.fit_quality(docs, labels, 20)
+    assert np.allclose(model.hidden, known.hidden, atol=1e-3) and abs(model.bias - known.bias) < 1e-3 and rate == 31 / 62
+    assert not seen  # in this process
+    assert language.fit_language(docs.limit(0)).languages == ["und"]
+
+
 def test_packing_writes_no_ids_where_the_total_is_known(spark, docs, monkeypatch):
     from gritmill.llm.common import Workspace, scratch
 
