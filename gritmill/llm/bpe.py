@@ -2,18 +2,18 @@
 
 Every token's bytes become a string of byte symbols (printable characters one to one with the 256 bytes); the pieces,
 scored by negative rank, are written as a sentencepiece BPE model with identity normalisation: no dummy prefix, no
-removal or escaping of white space. Texts are cut into pre-tokens by the tokenizer's pattern; each pre-token that is a
+removal or escaping of white space. Texts are cut into pre-tokens by the tokenizer's pattern: those of Latin letters
+alone by classes of bytes, a block of texts at a time, the others by the pattern itself. Each pre-token that is a
 token itself takes its id, all others are encoded by sentencepiece, which merges the pair with the best score, that is
-the lowest rank, leftmost first. Pre-tokens repeat, so each worker remembers the ids of those it has seen, up to a
-bound. Decoding maps ids to their byte symbols and these back to bytes.
+the lowest rank, leftmost first. Pre-tokens repeat, so a block's are looked up once each, and each worker remembers the
+ids of those it has seen, up to a bound. Decoding maps ids to their byte symbols and these back to bytes.
 """
 
 import base64
 import hashlib
 import re
-import sys
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -21,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, tune
+from .common import blocks, buffer_of, texts, tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-assert array("I").itemsize == 4 and sys.byteorder == "little"
 #: Pre-tokens that a task remembers; beyond, it forgets all and begins anew.
 REMEMBERED = 400_000
-#: Characters after which a longer text is cut, where its pattern allows.
-PIECE_CHARS = 1 << 18
+#: Bytes of text that are cut and looked up at a time, and characters after which a longer text is cut first, where its
+#: pattern allows.
+PIECE_CHARS = 1 << 20
 #: Longer pre-tokens are encoded each time and not remembered.
-REMEMBERED_CHARS = 64
+REMEMBERED_BYTES = 64
 
 
 def byte_symbols() -> list[str]:
@@ -66,16 +66,71 @@ def serialise(tokens: list[bytes]) -> bytes:
     return m.SerializeToString()
 
 
-#: The same pattern in the syntax of ``re``, which is faster; it holds for texts of the characters in _PLAIN alone,
-#: where the classes of both modules agree.
-_FAST = {
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": re.compile(
-        r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-    ).findall
-}
-_PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xc0-\u024f]*").fullmatch
+#: The pattern whose pre-tokens :func:`starts` finds.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between letters: with that pattern a pre-token always begins there, whatever stands before.
 _SEAM = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+_LETTER, _DIGIT, _OTHER, _WHITE, _BEYOND = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """The pattern's class of each byte. The bytes of U+00C0 to U+024F count as letters, which all but two of these are;
+    what may be of another class, or is white space to some engines only, is beyond what bytes tell."""
+    out = np.full(256, _BEYOND, np.uint8)
+    out[:0x1C] = out[0x20:0x80] = _OTHER
+    out[[9, 10, 11, 12, 13, 32]] = _WHITE
+    out[48:58] = _DIGIT
+    out[65:91] = out[97:123] = out[0x80:0xC0] = out[0xC3:0xC9] = _LETTER
+    return out
+
+
+_KINDS = _kinds()
+
+
+def plain(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a text's pre-tokens follow from the classes of its bytes, by text."""
+    beyond = _KINDS[data] == _BEYOND
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    beyond[lead[(data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)]] = True  # the signs of multiplication and division
+    out = np.ones(len(at) - 1, bool)
+    out[np.searchsorted(at, np.flatnonzero(beyond), "right") - 1] = False
+    return out
+
+
+def starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of plain texts begin; each goes as far as the next one, or its text."""
+    if not (n := len(data)):
+        return np.zeros(0, np.int64)
+    kind, first, out = _KINDS[data], np.zeros(n + 1, bool), np.ones(n + 4, bool)
+    first[at] = True
+    np.not_equal(kind[1:], kind[:-1], out=out[1:n])
+    out[:n] |= first[:n]
+    white = kind == _WHITE
+    last = white[:-1] & ~white[1:] & ~first[1:n]  # before something else, the last white space is apart,
+    out[: n - 1] |= last
+    out[1:n] &= ~(last & (data[:-1] == 32))  # and a space belongs to what follows
+    quote = np.flatnonzero((data == 39) & out[:n])
+    end = at[np.searchsorted(at, quote, "right")]
+    a, b = (np.where(quote + k < end, data[np.minimum(quote + k, n - 1)], 0) for k in (1, 2))
+    one = np.isin(a, list(b"stmd"))
+    two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+    out[quote[one | two] + 1] = False
+    out[quote[one] + 2] = True
+    out[quote[two] + 3] = True
+    return np.flatnonzero(out[:n])
+
+
+def _slices(whole, at: Iterable[int]) -> list:
+    """The parts of a string or bytes between these places."""
+    return [whole[a:b] for a, b in pairwise(at)]
+
+
+def _gather(table: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches of a table, given by start and size, one after another."""
+    n = size[which]
+    at = np.repeat(start[which] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return table[at]
 
 
 class Codec:
@@ -90,75 +145,87 @@ class Codec:
         back = {ord(c): b for b, c in enumerate(symbols)}
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.vocab_size() - 1)]
         self.id_of = {p: i for i, p in enumerate(pieces)}
-        self.symbols = dict(enumerate(symbols))
+        self.symbols = np.array([ord(c) for c in symbols], "<u2")
         self.general = regex.compile(pattern).findall
-        self.fast = _FAST.get(pattern)
-        self.known: dict[str, bytes] = {}
+        self.by_bytes = pattern == _PATTERN
+        self.known: dict[bytes, bytes] = {}
         token_bytes = [bytes(back[ord(c)] for c in p) for p in pieces]
         self.table = np.frombuffer(b"".join(token_bytes), np.uint8)
         self.size = np.array([len(x) for x in token_bytes], np.int64)
         self.start = np.cumsum(self.size) - self.size
 
-    def split(self, text: str) -> list[str]:
-        return self.fast(text) if self.fast and _PLAIN(text) else self.general(text)
-
-    def learn(self, new: list[str]) -> None:
-        """Encodes pre-tokens and remembers their packed ids."""
-        raws = [t.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols) for t in new]
-        whole = [self.id_of.get(r) for r in raws]
+    def learn(self, new: list[bytes]) -> list[bytes]:
+        """The packed ids of pre-tokens."""
+        symbols = self.symbols[np.frombuffer(b"".join(new), np.uint8)].tobytes().decode("utf-16-le")
+        raws = _slices(symbols, accumulate(map(len, new), initial=0))
+        whole = list(map(self.id_of.get, raws))
         parts = iter(self.sp.encode([r for r, w in zip(raws, whole) if w is None], num_threads=1))
-        for t, w in zip(new, whole):
-            self.known[t] = array("I", next(parts) if w is None else (w,)).tobytes()
+        ids = [next(parts) if w is None else (w,) for w in whole]
+        packed = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        return _slices(packed, accumulate((4 * len(x) for x in ids), initial=0))
 
     def pieces(self, text: str) -> list[str]:
         """A long text cut where a pre-token begins in any case; one that has no such place is one piece."""
         out, at = [], 0
-        while self.fast and len(text) - at > PIECE_CHARS and (seam := _SEAM.search(text, at + PIECE_CHARS)):
+        while self.by_bytes and len(text) - at > PIECE_CHARS and (seam := _SEAM.search(text, at + PIECE_CHARS)):
             out.append(text[at : seam.start()])
             at = seam.start()
         return [*out, text[at:]]
 
-    def encode(self, values: list[str]) -> list[bytes]:
+    def encode(self, values: list[str] | pa.Array) -> list[bytes]:
         """Ids of whole texts, packed as little-endian unsigned 32-bit integers. Texts are taken a few at a time."""
+        array = values if isinstance(values, pa.Array) else pa.array(values, pa.string())
+        array.validate(full=True)  # else bytes that aren't UTF-8 would pass for letters
+        data, at = buffer_of(array)
         out: list[bytes] = []
-        held, size = [], 0
-        for text in values:
-            if len(text) > PIECE_CHARS:
-                out += self._encode(held)
-                out.append(b"".join(self._encode([p])[0] for p in self.pieces(text)))
-                held, size = [], 0
-                continue
-            held.append(text)
-            size += len(text)
-            if size > PIECE_CHARS:
-                out += self._encode(held)
-                held, size = [], 0
-        return out + self._encode(held)
-
-    def _encode(self, values: list[str]) -> list[bytes]:
+        for a, b in blocks(at, PIECE_CHARS):
+            if at[b] - at[a] > PIECE_CHARS:
+                out.append(b"".join(self._encode(*buffer_of(pa.array([p])))[0] for p in self.pieces(array[a].as_py())))
+            else:
+                out += self._encode(data[at[a] : at[b]], at[a : b + 1] - at[a])
+        return out
+
+    def _encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut, out, known = [], [], self.known
-        for text in values:
-            tokens = self.split(text)
-            cut.append(tokens)
-        new = {t for tokens in cut for t in tokens if t not in known}
-        if new:
-            self.learn(list(new))
-        for tokens in cut:
-            out.append(b"".join(map(known.__getitem__, tokens)))
-        for t in new:
-            if len(t) > REMEMBERED_CHARS:
-                del known[t]
-        return out
+        tokens, counts = self.split(data, at)
+        coded = tokens.dictionary_encode()
+        content, ends = buffer_of(coded.dictionary)
+        distinct, code, known = _slices(content.tobytes(), ends.tolist()), coded.indices.to_numpy(), self.known
+        packed = list(map(known.get, distinct))
+        if new := [k for k, p in enumerate(packed) if p is None]:
+            for k, ids in zip(new, self.learn([distinct[k] for k in new])):
+                packed[k] = ids
+                if len(distinct[k]) <= REMEMBERED_BYTES:
+                    known[distinct[k]] = ids
+        n = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids = _gather(np.frombuffer(b"".join(packed), "<u4"), np.cumsum(n) - n, n, code)
+        ends = np.append(0, np.cumsum(n[code]))[np.append(0, np.cumsum(counts))]
+        return [ids[a:b].tobytes() for a, b in pairwise(ends.tolist())]
+
+    def split(self, data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The pre-tokens of all texts, in order, and their number by text."""
+        easy = plain(data, at) if self.by_bytes else np.zeros(len(at) - 1, bool)
+        if easy.all():
+            begin = starts(data, at)
+            offsets = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
+            counts = np.diff(np.searchsorted(begin, at))
+            return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, offsets, pa.py_buffer(data)]), counts
+        parts, counts = [], np.zeros(len(easy), np.int64)
+        bounds = [0, *(np.flatnonzero(np.diff(easy)) + 1).tolist(), len(easy)]
+        for a, b in pairwise(bounds):  # runs of texts that are all plain, or all not
+            if easy[a]:
+                tokens, counts[a:b] = self.split(data[at[a] : at[b]], at[a : b + 1] - at[a])
+            else:
+                found = [self.general(data[x:y].tobytes().decode()) for x, y in pairwise(at[a : b + 1].tolist())]
+                counts[a:b] = list(map(len, found))
+                tokens = pa.array([t.encode() for own in found for t in own], pa.large_binary())
+            parts.append(tokens)
+        return pa.concat_arrays(parts), counts
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes of packed ids, by one gather from the table of all tokens' bytes."""
-        ids = np.frombuffer(packed, "<u4")
-        size = self.size[ids]
-        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
-        at += np.arange(len(at))
-        return self.table[at].tobytes()
+        return _gather(self.table, self.start, self.size, np.frombuffer(packed, "<u4")).tobytes()
 
 
 _CODECS: dict[str, Codec] = {}
@@ -189,7 +256,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     @F.pandas_udf("array<int>")
     def run(text):
         codec = _codec(key, model.value, pattern)
-        values = texts(pa.Array.from_pandas(text, type=pa.string())).to_pylist()
+        values = texts(pa.Array.from_pandas(text, type=pa.string()))
         return pd.Series([np.frombuffer(x, "<u4").astype(np.int32) for x in codec.encode(values)])
 
     return docs.withColumn(ids_col, run(F.col(text_col)))
@@ -212,12 +279,11 @@ def pack(docs: DataFrame, text_col: str = "text", data_col: str = "data", path:
     :func:`packing.pack` takes; null texts count as empty. The vocabulary must have at most 65536 tokens."""
     key, model, pattern = _model(docs, path, pattern, 1 << 16)
 
-    @F.pandas_udf("binary")
-    def run(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(key, model.value, pattern)
         for part in text:
-            values = texts(pa.Array.from_pandas(part, type=pa.string())).to_pylist()
-            yield pd.Series([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in codec.encode(values)])
+            yield pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in codec.encode(texts(part))], pa.binary())
         codec.known.clear()
 
     # nondeterministic to Spark, which else encodes once more for a filter on the ids
@@ -235,7 +301,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         codec = _codec(key, model.value, pattern)
         for batch in batches:
             n, a, b, all_ = [], [], [], []
-            for packed in codec.encode(texts(batch.column(1)).to_pylist()):
+            for packed in codec.encode(texts(batch.column(1))):
                 n.append(len(packed) // 4)
                 a.append(hashlib.sha256(packed).hexdigest())
                 b.append(hashlib.sha256(codec.decode(packed)).hexdigest())

@@ -592,3 +592,47 @@ def test_packing_writes_no_ids_where_the_total_is_known(spark, docs, monkeypatch
         back[r.id][r.piece] = np.frombuffer(bytes(r.data), "<u2").astype("<u4")
     want = {r.doc_id: r.ids for r in bpe.encode(docs).collect() if r.ids}
     assert {i: np.concatenate([p[k] for k in sorted(p)]).tolist() for i, p in back.items()} == {i: list(x) for i, x in want.items()}
+
+
+def test_bpe_by_bytes_equals_tiktoken_where_classes_meet(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    tokens = bpe.read_ranks(P.path(bpe.VOCABULARY))
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    codec = bpe.Codec(bpe.serialise(tokens), P.PATTERN)
+    parts = ["'", " ", "\n", "\t", "a", "s", "t", "re", "ve", "ll", "m", "d", "l", "S", "1", "9", ".", "!", "_", "\x00", "é", "ȿ", "×", "÷", "ɏ", "ɐ", "\x1c", "\xa0", "日", "٣"]
+    rng = np.random.default_rng(7)
+    cases = ["".join(rng.choice(parts[: 22 if k % 2 else None], rng.integers(0, 12))) for k in range(6000)] + [f"{chr(i)} {chr(i)}a1{chr(i)}" for i in range(0x300)]
+    for t, packed in zip(cases, codec.encode(cases)):
+        assert np.frombuffer(packed, "<u4").tolist() == e.encode_ordinary(t), t
+    part = pa.array(["xy", *cases], pa.string()).slice(5, 900)
+    assert codec.encode(part) == codec.encode(part.to_pylist())
+    with pytest.raises(pa.ArrowInvalid):
+        codec.encode(pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 2], np.int32)), pa.py_buffer(b"a\x80")]))
+    words = bpe.Codec(bpe.serialise(tokens), r"\w+")  # a pattern that leaves something out
+    assert [words.decode(x) for x in words.encode(["a, b", "", "c d\n"])] == [b"ab", b"", b"cd"]
+
+
+def test_bpe_looks_a_blocks_pre_tokens_up_once_each(spark):
+    import public_tokenizers as P
+
+    class Counted(dict):
+        seen = 0
+
+        def get(self, key, default=None):
+            Counted.seen += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counted.seen += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.seen += 1
+            return super().__contains__(key)
+
+    codec = bpe.Codec(bpe.serialise(bpe.read_ranks(P.path(bpe.VOCABULARY))), P.PATTERN)
+    codec.known = Counted()
+    got = codec.encode(["the cat sat\n"] * 500)
+    assert Counted.seen <= 10 and set(map(codec.decode, got)) == {b"the cat sat\n"}
